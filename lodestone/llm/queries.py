@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from lodestone.llm import decontaminate, license_scan
+from lodestone.llm.decontaminate import op2_decontamination
+from lodestone.llm.license_scan import op4_license_scan
 from lodestone.llm.piece_bpe import op9_sentencepiece
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op4_license_scan": license_scan.ORACLE,
+}
