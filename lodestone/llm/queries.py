@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, license_scan
+from lodestone.llm import decontaminate, license_scan, warc
 from lodestone.llm.decontaminate import op2_decontamination
 from lodestone.llm.license_scan import op4_license_scan
 from lodestone.llm.piece_bpe import op9_sentencepiece
+from lodestone.llm.quality import op5_quality
+from lodestone.llm.warc import op7_warc
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
+    "op7_warc": op7_warc,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
     "op4_license_scan": license_scan.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
