@@ -57,9 +57,8 @@ def item_shingles(w: Column, k: Column, hashed: bool) -> Column:
     return F.array_distinct(by_length)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it is proven to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def item_sketches(scratch: Scratch, items: DataFrame, item_id: str, text: str, percent: int) -> DataFrame:
@@ -85,39 +84,47 @@ def document_hashes(w: Column, lengths: list[int]) -> Column:
     return let(w, lambda w: F.concat(*[shingles(w, k, True) for k in lengths]))
 
 
+def shared_shingles(w: Column) -> Column:
+    """How many of ``item_shingles`` stand in the document of words ``w``."""
+    padded = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return let(padded, lambda p: F.size(F.filter("item_shingles", lambda s: F.contains(p, F.concat(F.lit(" "), s, F.lit(" "))))))
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment for every document that holds an item."""
+    """doc_id, item_id, n_shared, n_item, containment for every document that holds an item.
+
+    Sketches of a proven small number are broadcast, and what they find is verified where it
+    is found: no text is shuffled. Beyond that bound hashes meet sketches by shuffle, and the
+    texts of the candidates by another.
+    """
     scratch = Scratch(docs.sparkSession, "leaks")
-    d = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text")).where("doc_text IS NOT NULL")
     known = item_sketches(scratch, items, item_id, item_text, percent)
-    lengths = sorted(r[0] for r in known.select("k").distinct().collect())  # five values at most
+    lengths = sorted(r[0] for r in known.select("k").distinct().collect()) or [SHINGLE_WORDS]  # five values at most
     sketch = known.select("item", "needed", F.explode("sketch").alias("h"))
-    hashes = d.select("doc", words(F.col("doc_text")).alias("w")).select("doc", F.explode(document_hashes(F.col("w"), lengths or [SHINGLE_WORDS])).alias("h"))
-    candidates = (
-        hashes.join(bounded(sketch), "h")
-        .groupBy("doc", "item", "h")
-        .agg(F.first("needed").alias("needed"))
-        .groupBy("doc", "item")
-        .agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
-        .where("n >= needed")
-        .select("doc", "item")
-    )
-    candidates = scratch.settle(candidates, "candidates")
-    per_doc = candidates.groupBy("doc").agg(F.collect_set("item").alias("items"))
-    padded = F.concat(F.lit(" "), F.array_join(words(F.col("doc_text")), " "), F.lit(" "))
-    held = F.filter("item_shingles", lambda s: F.contains(F.col("padded"), F.concat(F.lit(" "), s, F.lit(" "))))
-    return (
-        d.join(per_doc, "doc")
-        .select("doc", padded.alias("padded"), F.explode("items").alias("item"))
-        .join(bounded(known.select("item", "item_shingles", "n_item")), "item")
-        .select("doc", "item", F.size(held).alias("n_shared"), "n_item")
-        .where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-        .groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
-        .agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
-        .select(doc_id, item_id, F.col("m.n_shared").cast("long").alias("n_shared"), F.col("m.n_item").cast("long").alias("n_item"))
-        .withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
+    known = known.select("item", "item_shingles", "n_item")
+    d = docs.select(F.col(doc_id).alias("doc"), words(F.col(doc_text)).alias("w")).where("w IS NOT NULL")
+    hashes = d.select("doc", "w", F.explode(document_hashes(F.col("w"), lengths)).alias("h"))
+    if is_small(sketch):
+        candidates = hashes.join(F.broadcast(sketch), "h").join(F.broadcast(known), "item")
+        verified = candidates.select("doc", "item", "h", "needed", "n_item", shared_shingles(F.col("w")).alias("n_shared"))
+        verified = verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+        verified = verified.groupBy("doc", "item", "h").agg(*[F.max(c).alias(c) for c in ("needed", "n_item", "n_shared")])
+        verified = verified.groupBy("doc", "item").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("needed", "n_item", "n_shared")]).where("n >= needed")
+    else:
+        candidates = hashes.drop("w").join(sketch, "h").groupBy("doc", "item", "h").agg(F.max("needed").alias("needed"))
+        candidates = candidates.groupBy("doc", "item").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n >= needed")
+        candidates = scratch.settle(candidates.select("doc", "item"), "candidates")
+        verified = d.join(candidates, "doc").join(known, "item").select("doc", "item", "n_item", shared_shingles(F.col("w")).alias("n_shared"))
+        verified = verified.groupBy("doc", "item").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+        verified = verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    return verified.select(
+        F.col("doc").alias(doc_id),
+        F.col("item").alias(item_id),
+        F.col("n_shared").cast("long").alias("n_shared"),
+        F.col("n_item").cast("long").alias("n_item"),
+        F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"),
     )
 
 
