@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to a few hundred rows: texts have no bound on length."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    arrow_rows(spark, BATCH_ROWS)
+
+
+def large_batches(spark: SparkSession) -> None:
+    """For rows of a few numbers each."""
+    arrow_rows(spark, 20 * BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,3 +121,69 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
 
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column, 256)
+
+
+def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of a batch as numpy arrays; lists of one length become rows of a matrix."""
+    out = []
+    for column in batch.columns:
+        if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+            out.append(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+        else:
+            out.append(column.to_numpy(zero_copy_only=False))
+    return out
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The groups of rows that agree in the first ``keys`` columns, of a partition sorted by these."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = columns_of(batch)
+        if held is not None:
+            now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+        changed = np.zeros(len(now[0]) - 1, dtype=bool)
+        for column in now[:keys]:
+            changed |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield [c[start:end] for c in now]
+        held = [c[cuts[-1] :] for c in now]
+    if held is not None:
+        yield held
+
+
+class Hashes(dict):
+    """64-bit hashes of byte strings, kept for those seen lately."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+#: Odd multipliers of the positions in a window.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
+
+
+def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of ``k`` consecutive hashes."""
+    n = len(hashes) - k + 1
+    total = np.zeros(max(n, 0), dtype=np.uint64)
+    for j in range(k if n > 0 else 0):
+        total += hashes[j : j + n] * FACTORS[j]
+    return mixed(total)

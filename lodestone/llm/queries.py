@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from lodestone.llm import decontaminate, license_scan, warc
 from lodestone.llm.decontaminate import op2_decontamination
+from lodestone.llm.jaccard_join import op1_ngram_jaccard
 from lodestone.llm.license_scan import op4_license_scan
 from lodestone.llm.piece_bpe import op9_sentencepiece
 from lodestone.llm.quality import op5_quality
 from lodestone.llm.warc import op7_warc
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
