@@ -8,11 +8,13 @@ from lodestone.llm.jaccard_join import op1_ngram_jaccard
 from lodestone.llm.license_scan import op4_license_scan
 from lodestone.llm.piece_bpe import op9_sentencepiece
 from lodestone.llm.quality import op5_quality
+from lodestone.llm.substring_dedup import op3_substring_dedup
 from lodestone.llm.warc import op7_warc
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op7_warc": op7_warc,
