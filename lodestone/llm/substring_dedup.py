@@ -141,7 +141,7 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     in a third of all documents takes no memory.
     """
     names = ["source", "at", "n", "here", "before", "docs", "places"]
-    key = None
+    key, row = None, None
     state: list = []  # source, at, n, here, before, several
 
     def edge_rows(rows: list[tuple]) -> list[pa.Array]:
@@ -155,7 +155,11 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         fresh = np.ones(len(keys), dtype=bool)  # rows that repeat an id and its text
         fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])
+        fresh[0] = (keys[0], docs[0], places[0]) != row
+        row = (keys[-1], docs[-1], places[-1])
         keys, docs, places = keys[fresh], docs[fresh], places[fresh]
+        if not len(keys):
+            continue
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.append(starts[1:], len(keys))
         source, at, n = docs[starts].copy(), places[starts].copy(), (ends - starts).astype(np.int64)
