@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lodestone.llm import decontaminate, license_scan, warc
 from lodestone.llm.decontaminate import op2_decontamination
+from lodestone.llm.embedding_dedup import op10_itq_dedup
 from lodestone.llm.jaccard_join import op1_ngram_jaccard
 from lodestone.llm.license_scan import op4_license_scan
 from lodestone.llm.piece_bpe import op9_sentencepiece
 from lodestone.llm.quality import op5_quality
 from lodestone.llm.substring_dedup import op3_substring_dedup
+from lodestone.llm.suffix_dedup import op6_suffix_array
 from lodestone.llm.warc import op7_warc
 
 QUERIES = {
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
+    "op6_suffix_array": op6_suffix_array,
     "op7_warc": op7_warc,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_itq_dedup": op10_itq_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
