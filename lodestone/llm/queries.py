@@ -11,6 +11,7 @@ from lodestone.llm.piece_bpe import op9_sentencepiece
 from lodestone.llm.quality import op5_quality
 from lodestone.llm.substring_dedup import op3_substring_dedup
 from lodestone.llm.suffix_dedup import op6_suffix_array
+from lodestone.llm.toxicity import op8_toxicity
 from lodestone.llm.warc import op7_warc
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_suffix_array": op6_suffix_array,
     "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_itq_dedup": op10_itq_dedup,
 }
