@@ -306,10 +306,11 @@ def train(sample: list[tuple[str | None, int]], seed: int = 5) -> Network | None
 def calibrated(top: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift that make the documents' highest logits probabilities; a slope above 0."""
     x = np.column_stack([np.clip(top, CALM, -CALM), np.ones(len(top))])
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    w, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(200):
         q = sigmoid(x @ w)
-        w = w + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (labels - q) - 0.1 * (w - [1.0, 0.0]))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), x.T @ (labels - q) - (w - prior))
+        w = w + step * min(1.0, 0.5 / max(np.abs(step).max(), 1e-9))
     return max(float(w[0]), 0.05), float(w[1])
 
 
