@@ -28,41 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Hashes, Scratch, large_batches, mixed, small_batches, table, windows
+from lodestone.llm.common import Powers, Scratch, large_batches, mixed, sliding, small_batches, table, text_groups, windows, word_hashes
 
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 5
 
 
-def anchors_of(least_of: np.ndarray, span: int) -> np.ndarray:
-    """For each stretch of ``span`` consecutive values, the place of the least (leftmost among equals)."""
-    n = len(least_of) - span + 1
-    if n <= 0:
-        return np.array([], dtype=np.int64)
-    best, at = least_of[:n].copy(), np.arange(n)
-    for j in range(1, span):
-        less = least_of[j : j + n] < best
-        best[less] = least_of[j : j + n][less]
-        at[less] = np.flatnonzero(less) + j
-    return at
+def _whole(rows: np.ndarray, k: int) -> np.ndarray:
+    """Whether the ``k`` words from each on are of one row."""
+    return rows[: len(rows) - k + 1] == rows[k - 1 :] if len(rows) >= k else np.zeros(0, dtype=bool)
 
 
 def _anchors(k: int, q: int):
+    """Places of the least run of ``q`` words in some window (all, where several are equal): key, doc, pos."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            keys, docs, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = hashes.of((text.as_py() or "").encode().split())
-                if len(h) < k:
-                    continue
-                runs_of = windows(h, q)
-                at = np.unique(anchors_of(runs_of, k - q + 1))
-                keys.append(runs_of[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                docs.append(np.full(len(at), doc, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, places)], names=["key", "doc", "pos"])
+        powers, span = Powers(), k - q + 1
+        for batch in text_groups(batches):
+            h, rows, firsts = word_hashes(batch.column(1), powers)
+            whole = _whole(rows, k)
+            if not whole.any():
+                continue
+            runs_of = windows(h, q)
+            least = np.where(whole, sliding(runs_of, span, np.minimum), np.uint64(0))
+            pad = np.zeros(span - 1, dtype=np.uint64)
+            at = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), span, np.maximum) == runs_of) & (runs_of > 0))
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            columns = [runs_of[at].view(np.int64), docs[rows[at]], (at - firsts[rows[at]]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc", "pos"])
 
     return run
 
@@ -106,22 +99,23 @@ def _edges(k: int, q: int):
     """Windows whose anchor is among the places of the row: key, doc, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            keys, docs, places = [], [], []
-            for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                h = hashes.of((text.as_py() or "").encode().split())
-                if len(h) < k:
-                    continue
-                flagged = np.zeros(len(h), dtype=bool)
-                held = held.values.to_numpy(zero_copy_only=False)
-                flagged[held[held < len(h)]] = True
-                at = np.flatnonzero(flagged[anchors_of(windows(h, q), k - q + 1)])
-                keys.append(windows(h, k)[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                docs.append(np.full(len(at), doc, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, places)], names=["key", "doc", "pos"])
+        powers, span = Powers(), k - q + 1
+        for batch in text_groups(batches):
+            h, rows, firsts = word_hashes(batch.column(1), powers)
+            whole = _whole(rows, k)
+            if not whole.any():
+                continue
+            runs_of = windows(h, q)
+            held = batch.column(2)
+            owner = np.repeat(np.arange(len(held)), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            places = held.flatten().to_numpy(zero_copy_only=False) + firsts[owner]
+            places = places[(places < firsts[owner + 1]) & (places < len(runs_of))]  # else of a row that repeats the id
+            known = np.full(len(runs_of), np.iinfo(np.uint64).max, dtype=np.uint64)
+            known[places] = runs_of[places]
+            at = np.flatnonzero(whole & (sliding(known, span, np.minimum) == sliding(runs_of, span, np.minimum)))
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            columns = [windows(h, k)[at].view(np.int64), docs[rows[at]], (at - firsts[rows[at]]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc", "pos"])
 
     return run
 
@@ -241,11 +235,11 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, k: int = WINDOW_WORDS, q:
     """
     spark = texts.sparkSession
     large_batches(spark)  # of anchors and edges; texts come in the batches of the reader
-    anchors = _narrow(texts, _anchors(k, q), "key long, doc long, pos int")
+    anchors = texts.mapInArrow(_anchors(k, q), "key long, doc long, pos int")
     several = anchors.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_in_several, "doc long, pos int")
     several = scratch.settle(several, "anchors")
     held = several.groupBy("doc").agg(F.collect_list("pos").alias("held"))
-    met = _narrow(texts.join(held.hint("merge"), "doc"), _edges(k, q), "key long, doc long, pos int")
+    met = texts.join(held.hint("merge"), "doc").mapInArrow(_edges(k, q), "key long, doc long, pos int")
     edges = scratch.settle(met.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_sources, EDGE_ROW), "edges")
     scratch.drop("anchors")
     paths = scratch.settle(compacted(edges), "paths")
@@ -261,21 +255,6 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, k: int = WINDOW_WORDS, q:
     return spans
 
 
-def _narrow(texts: DataFrame, run, schema: str) -> DataFrame:
-    return texts.mapInArrow(_few(run), schema)
-
-
-def _few(run, rows: int = 500):
-    """``run`` over batches of at most ``rows`` rows."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield batch.slice(start, rows)
-
-    return lambda batches: run(cut(batches))
-
-
 def _keep(k: int, text_at: int, spans_at: int):
     names = ["n_words", "n_removed", "kept_text"]
 
