@@ -27,6 +27,7 @@ from lodestone.llm.common import Scratch, small_batches, table
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 LEAST_PAYLOAD = 0
+BUCKETS = 1 << 18
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CONV = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -48,6 +49,7 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
     Of rows whose payloads are equal and have ``least_payload`` bytes at least, that with the
     largest id is the response (rows that repeat it too) and the others refer to it.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     keyed = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
     shared = (
@@ -56,7 +58,14 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
         .agg(F.max("id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
     )
-    shown = keyed.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    shared = Scratch(spark, "shared").settle(shared, "payloads")
+    # payloads whose digests fall on no bucket of a shared one stay where they are; there are BUCKETS buckets at most
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    buckets = F.broadcast(shared.select(bucket("d").alias("bucket")).distinct())
+    keyed = keyed.withColumn("bucket", bucket("digest"))
+    single = keyed.join(buckets, "bucket", "left_anti").withColumn("first", F.lit(None).cast("long"))
+    several = keyed.join(buckets, "bucket", "left_semi").join(shared.select("d", "b", "first"), (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    shown = single.select("id", "url", "payload", "digest", "bytes", "first").unionByName(several.select("id", "url", "payload", "digest", "bytes", "first"))
     revisit = F.col("id") < F.col("first")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     common = [
@@ -76,28 +85,28 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
         *common,
         F.lit("Content-Length: 0"),
     )
-    shown.select(F.when(revisit, again).otherwise(response).alias("value")).write.mode("overwrite").option("lineSep", END).text(path)
+    shown.select(F.when(F.coalesce(revisit, F.lit(False)), again).otherwise(response).alias("value")).write.mode("overwrite").option("lineSep", END).text(path)
 
 
 def _field(name: str) -> Column:
     return F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Every stretch between magics: file, block, seq (order in the block), size, header fields, payload or raw bytes.
+def pieces(spark: SparkSession, path: str, every_raw: bool = False) -> DataFrame:
+    """Every stretch between magics: file (a hash of its path), block, seq (order in the block), size, header fields, payload or raw bytes.
 
     ``alone`` stretches hold a whole record; their payload is digested on the spot, so that
-    its bytes need not travel with it.
+    its bytes need not travel with it: only the others keep ``raw``.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     out = raw.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").cast("binary").alias("raw"),
         F.substring_index("value", END, 1).alias("head"),
         F.octet_length("value").alias("size"),
-    )
+    )  # a byte of ``size`` is a byte of the file
     out = out.withColumn("head_size", F.octet_length("head") + 4)
     length = F.when(F.col("head_size") <= F.col("size"), F.expr("try_cast(nullif(regexp_extract(head, '(?i)(?:^|\\\\r\\\\n)Content-Length:[ \\\\t]*([0-9]+)', 1), '') AS bigint)"))
     out = out.withColumn("length", F.when(_field("WARC-Type") != "", length))
@@ -114,7 +123,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(_field("WARC-Record-ID"), "<urn:page:(.*)>", 1).alias("id"),
         F.regexp_extract(_field("WARC-Refers-To"), "<urn:page:(.*)>", 1).alias("refers"),
         _field("WARC-Target-URI").alias("uri"),
-        "raw",
+        F.col("raw") if every_raw else F.when(~F.col("alone"), F.col("raw")).alias("raw"),
         F.when(F.col("alone"), F.expr("substring(raw, head_size + 1, length)")).alias("content"),
     )
 
@@ -155,7 +164,7 @@ def boundaries(scratch: Scratch, found: DataFrame) -> DataFrame:
     successor = F.col("at") + len(MAGIC) + F.col("head_size") + F.col("length") + 4
     candidates = found.where("length IS NOT NULL").select("file", "block", "at", successor.alias("successor"))
     exits = candidates.groupBy("file", "block").applyInPandas(
-        lambda g: _exits(g.sort_values("at")), "file string, block long, at long, jump long"
+        lambda g: _exits(g.sort_values("at")), "file long, block long, at long, jump long"
     )
     exits = scratch.settle(exits, "exits")
     # an entry is an offset at which a chain from the start of the file enters a block
@@ -171,33 +180,41 @@ def boundaries(scratch: Scratch, found: DataFrame) -> DataFrame:
     return (
         candidates.join(entered, ["file", "block"])
         .groupBy("file", "block")
-        .applyInPandas(lambda g: _chains(g.sort_values("at")), "file string, block long, at long, successor long")
+        .applyInPandas(lambda g: _chains(g.sort_values("at")), "file long, block long, at long, successor long")
     )
 
 
+def with_offsets(found: DataFrame) -> DataFrame:
+    """Add ``at``, the offset of the magic in front of a stretch: what stands before it in its block and in earlier blocks."""
+    totals = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("span"))
+    totals = totals.selectExpr("file", "block", "sum(span) OVER (PARTITION BY file ORDER BY block) - span AS before")
+    return found.join(totals, ["file", "block"]).selectExpr(
+        "*", f"before + sum(size + {len(MAGIC)}) OVER (PARTITION BY file, block ORDER BY seq) - size - {2 * len(MAGIC)} AS at"
+    ).drop("before")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """id, type, refers, uri, payload_bytes, payload_digest, file, offset of every record under ``path``."""
     small_batches(spark)
     scratch = Scratch(spark, "warc")
     found = scratch.settle(_digested(pieces(spark, path)), "pieces")
-    # offsets: stretches and magics before this one in the block, and blocks before this block
-    totals = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("span"))
-    totals = totals.selectExpr("file", "block", "sum(span) OVER (PARTITION BY file ORDER BY block) - span AS before")
-    placed = found.drop("raw").join(totals, ["file", "block"]).selectExpr(
-        "*", f"before + sum(size + {len(MAGIC)}) OVER (PARTITION BY file, block ORDER BY seq) - size - {2 * len(MAGIC)} AS at"
-    )
-    placed = scratch.settle(placed.drop("before"), "placed")
+    placed = scratch.settle(with_offsets(found.drop("raw")), "placed")
     records = scratch.settle(boundaries(scratch, placed), "records")
     known = placed.join(records, ["file", "block", "at"])
     told = ["type", "id", "refers", "uri"]
     whole = known.where("alone").select("file", F.col("at").alias("offset"), *told, "payload_bytes", "payload_digest")
     # a payload that holds the magic: the stretches from a record's start up to its successor
     broken = known.where("NOT alone").select("file", F.col("at").alias("start"), "successor", "head_size", "length", *told)
-    inside = placed.select("file", "block", "seq", "at").join(broken.select("file", "start", "successor"), "file").where("at >= start AND at < successor")
+    inside = placed.select("file", "block", "seq", "at", "alone").join(broken.select("file", "start", "successor"), "file").where("at >= start AND at < successor")
+    inside = scratch.settle(inside, "inside")
+    raw = found.where("raw IS NOT NULL").select("file", "block", "seq", "raw").join(inside, ["file", "block", "seq"]).select("file", "start", "at", "raw")
+    if not inside.where("alone").isEmpty():
+        # whole records inside of payloads: the files concerned are read again, by their own offsets
+        wanted = inside.where("alone").select("file", "start", "at")
+        again = pieces(spark, path, every_raw=True).join(F.broadcast(wanted.select("file").distinct()) if wanted.count() < BUCKETS else wanted.select("file").distinct(), "file", "left_semi")
+        raw = raw.unionByName(with_offsets(again.select("file", "block", "seq", "size", "raw")).join(wanted, ["file", "at"]).select("file", "start", "at", "raw"))
     joined = (
-        found.select("file", "block", "seq", "raw")
-        .join(inside, ["file", "block", "seq"])
-        .groupBy("file", "start")
+        raw.groupBy("file", "start")
         .agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("s"))
         .select("file", "start", F.expr("aggregate(s, CAST(NULL AS binary), (a, x) -> CASE WHEN a IS NULL THEN x.raw ELSE concat(a, CAST('WARC/1.1\r\n' AS binary), x.raw) END)").alias("raw"))
         .join(broken, ["file", "start"])
@@ -215,6 +232,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("try_cast(nullif(id, '') AS bigint)").alias("page_id"), "type", F.expr("try_cast(nullif(refers, '') AS bigint)").alias("refers_to"), "payload_bytes", "payload_digest"
     )
     full = records.where("type = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.first("payload_bytes").alias("b"), F.first("payload_digest").alias("d"))
+    full = Scratch(spark, "responses").settle(full, "responses")  # else its grouping keeps a hot response's revisits together
     return records.join(full, F.col("refers_to") == F.col("to"), "left").select(
         "page_id",
         F.coalesce("payload_bytes", "b").alias("payload_bytes"),
