@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+AUTO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = 500
 
@@ -57,19 +59,21 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def settle(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """Write ``df`` as table ``name``, free the shuffle files behind it and read it back."""
-        before = self.spark.conf.get(CLEANUP, None)
+        """Write ``df`` as table ``name``, free the shuffle files behind it and read it back.
+
+        Only sides that are marked for it are broadcast, so that plans are alike at every size.
+        """
+        held = {key: self.spark.conf.get(key, None) for key in (CLEANUP, AUTO_BROADCAST)}
         self.spark.conf.set(CLEANUP, "true")
+        self.spark.conf.set(AUTO_BROADCAST, "-1")
         try:
             writer = df.write.mode("overwrite").option("compression", "zstd")
             if partition_by:
                 writer = writer.partitionBy(partition_by)
             writer.parquet(self.path(name))
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
+            for key, value in held.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         gc.collect()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -187,3 +191,79 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k if n > 0 else 0):
         total += hashes[j : j + n] * FACTORS[j]
     return mixed(total)
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Powers:
+    """Powers of an odd factor and of its inverse, as far as the longest text so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            size = 2 * n + 1
+            one = np.ones(1, dtype=np.uint64)
+            self.up = np.cumprod(np.concatenate([one, np.full(size, _FACTOR, dtype=np.uint64)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([one, np.full(size, _INVERSE, dtype=np.uint64)]), dtype=np.uint64)
+        return self.up, self.down
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Sums before each byte, of which differences times ``down`` name stretches by their bytes."""
+        up, _ = self.upto(len(data))
+        return np.concatenate([[np.uint64(0)], np.cumsum(_OF_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+
+
+def sliding(values: np.ndarray, span: int, best) -> np.ndarray:
+    """The best of each stretch of ``span`` values."""
+    if len(values) < span:
+        return values[:0]
+    width, out = 1, values
+    while 2 * width <= span:
+        out = best(out[:-width], out[width:])
+        width *= 2
+    return best(out[: len(out) - (span - width)], out[span - width :]) if width < span else out
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches whose second column, texts, holds about ``most`` bytes; a longer text comes alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def word_hashes(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of other than ASCII white space) of all texts; the row of each; first word of each row, and the end."""
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    inside = ~_IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    total = powers.sums(data)
+    hashes = mixed((total[ends] - total[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
+    row_starts = np.searchsorted(starts, offsets)
+    return hashes, np.repeat(np.arange(len(texts)), np.diff(row_starts)), row_starts
