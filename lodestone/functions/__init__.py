@@ -1 +1 @@
-"""."""
+"""Column functions: text, vectors, budgets."""

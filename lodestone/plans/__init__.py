@@ -1 +1 @@
-"""."""
+"""Registered queries, each with oracle SQL where SQL can express it."""

@@ -1,4 +1,6 @@
 """Every query of the engine and its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestone.plans import catalogs, context, tables, texts, vectors  # noqa: F401  (each registers its queries)
+from lodestone.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

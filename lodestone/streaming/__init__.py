@@ -1 +1 @@
-"""."""
+"""Structured Streaming extensions: incremental ingest and event rollups."""
