@@ -10,7 +10,7 @@ them with probability ``RECALL``.
 A large group of near copies is not compared pair by pair. Every vector joins the ball
 around the first vector that it meets within half the limit's angle: members of a ball are
 all linked with each other, as angles obey the triangle inequality, and are counted, not
-listed. Only balls that are near each other without all their members being linked have
+listed. Small balls are dissolved. Only balls that are near each other without all their members being linked have
 their members compared.
 
 Equal vectors are one vector with a weight. Vectors that are null, zero, of another length
@@ -37,6 +37,7 @@ KEY_SPARE = 4  #: keys are so many bits shorter than the number of vectors is lo
 LEAST_KEY, MOST_KEY = 6, 24
 ROUNDS = 25
 MARGIN = 1e-9
+LEAST_BALL = 32  #: vectors; the members of smaller balls stand alone, as their few pairs cost less than a radius
 
 
 def rotations(sample: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
@@ -138,8 +139,10 @@ def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     close = close.select("id", "centre").distinct()
     measured = close.join(units, "id").join(units.select(F.col("id").alias("centre"), F.col("unit").alias("c_unit")), "centre").withColumn("cosine", dot("unit", "c_unit"))
     joined = measured.where(F.col("cosine") >= math.cos(half) + MARGIN).groupBy("id").agg(F.min(F.struct("centre", "cosine")).alias("b"))
-    balls = kinds.select("id", "weight").join(joined, "id", "left")
-    balls = balls.select("id", "weight", F.coalesce("b.centre", "id").alias("ball"), F.coalesce(_degrees(F.col("b.cosine")), F.lit(0.0)).alias("off"))
+    joined = joined.select("id", "b.centre", "b.cosine")
+    large = joined.groupBy("centre").count().where(F.col("count") >= LEAST_BALL).select("centre")
+    balls = kinds.select("id", "weight").join(joined.join(large, "centre"), "id", "left")
+    balls = balls.select("id", "weight", F.coalesce("centre", "id").alias("ball"), F.when(F.col("cosine").isNotNull(), _degrees(F.col("cosine"))).otherwise(F.lit(0.0)).alias("off"))
     balls = scratch.settle(balls, "balls")
     sizes = balls.groupBy("ball").agg(F.sum("weight").alias("ball_weight"), F.max("off").alias("radius"), F.min("id").alias("least"))
 
