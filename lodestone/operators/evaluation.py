@@ -84,9 +84,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
 
     q = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower("query")))).alias("w"))
     wanted = q.select("w").distinct()
-    lengths = docs.select(id_col, F.size(tokens(F.col(text))).alias("len"))
+    split = docs.select(id_col, tokens(F.lower(text)).alias("words"))
+    lengths = split.select(id_col, F.size("words").alias("len"))
     whole = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    tf = docs.select(id_col, F.size(tokens(F.col(text))).alias("len"), F.explode(tokens(F.lower(text))).alias("w")).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "w").groupBy("w", id_col, "len").agg(F.count("*").alias("tf"))
+    tf = split.select(id_col, "words", F.explode("words").alias("w")).select(id_col, F.size("words").alias("len"), "w").join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "w").groupBy("w", id_col, "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
