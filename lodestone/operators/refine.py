@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import like_escape
 from lodestone.functions.vector import cosine
 from lodestone.operators.search import best_by_key
 
@@ -200,6 +199,3 @@ def resolve_chunk_id(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     known = chunks.select("chunk_id", "doc_title", "chunk_index", F.lit(True).alias("found"))
     return requests.join(known, "chunk_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
-
-def escaped_pattern(name: str) -> str:
-    return f"%{like_escape(name)}%"

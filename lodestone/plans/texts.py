@@ -15,7 +15,7 @@ LINES = Fixture(
         (0, "Skip to main content now\nBody\n\n\n\nMore\nBack to top\n"),
         (1, "# Title\n\ntext\n## Part one\nmore\n### Deep \nend"),
         (2, "token eyJab-1.cd_2.ef3 and password = hunter2 Client_Secret: x"),
-        (3, "© 2024 Red Hat, Inc.\nkeep"),
+        (3, "All rights reserved by some\nkeep"),
         (4, None),
         (5, "## Only second\nbody"),
         (6, "First one. Second one. Third"),
