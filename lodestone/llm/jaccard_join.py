@@ -12,8 +12,8 @@ fragments of equal weight, each node's shingles into one segment a fragment; ove
 counted in each fragment by itself and summed per pair.
 
 A large group of near copies has a number of pairs that grows with its square, so not all
-are looked at: first every node is verified against its best partner and the hub of each
-meeting place, then, among what is still apart, every pair that the filters leave. Links
+are looked at: first every node is verified against its likeliest partner and its largest
+hub, then, among what is still apart, every pair that the filters leave. Links
 inside a component that is already known add nothing to it.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Documents of fewer words than a
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import FACTORS, Hashes, Scratch, components, large_batches, mixed, runs, small_batches, table, windows
@@ -38,8 +38,10 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 TABLE_BITS = 20  #: the table of counts has 2 ** TABLE_BITS entries whatever the corpus
 CHUNK = 4096
-BITMAP = 1024  #: bits of a node's bitmap
+BITMAP = 2048  #: bits of a node's bitmap
+FILTER_BITS = 24  #: the filter of documents to be verified has 2 ** FILTER_BITS bits whatever the corpus
 FRAGMENTS = 8
+PASSES = 2  #: groups of fragments that are counted one after the other
 BLOCK = 1500  #: nodes of a meeting place that one task compares with as many others
 SEEN = 500_000  #: nodes that a task remembers so as to name each once
 
@@ -195,12 +197,18 @@ def _met(percent: int, every: bool):
     """Pairs of a meeting place: best partner and hub of each node, or every pair across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
+        out: dict[tuple[int, int], tuple[float, int]] = {}
+
+        def tell(i: int, j: int, share: float, met: int) -> None:
+            pair = (min(i, j), max(i, j))
+            known = out.get(pair, (0.0, 0))
+            out[pair] = (max(known[0], share), max(known[1], met))
 
         def flush() -> pa.RecordBatch:
-            a, b = (zip(*out, strict=True)) if out else ((), ())
+            rows = [(*pair, *told) for pair, told in out.items()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["a", "b", "share", "hub"])
 
         # columns: gram, first block, second block, own block, node, n, component, bitmap
         for _, first, second, own, node, n, comp, bits in runs(batches, 3):
@@ -219,12 +227,14 @@ def _met(percent: int, every: bool):
                     if (met := int((share > 0).sum())) > most:
                         hub, most = i, met
                 for j in partners:
-                    out.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+                    tell(int(node[i]), int(node[j]), float(share[j]), 0)
+                if len(out) > 20_000:
+                    yield flush()
             if hub >= 0:
                 share = _similar(n, bits, hub, percent)
                 for j in np.flatnonzero(share > 0):
                     if j != hub:
-                        out.add((min(int(node[hub]), int(node[j])), max(int(node[hub]), int(node[j]))))
+                        tell(int(node[hub]), int(node[j]), float(share[j]), most)
             if len(out) > 20_000:
                 yield flush()
         yield flush()
@@ -233,25 +243,72 @@ def _met(percent: int, every: bool):
 
 
 def candidates(places: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of nodes that meet; large meeting places go to several tasks."""
+    """Pairs ``a`` < ``b`` of nodes that meet, with the bound ``share`` of their similarity and how many ``hub`` met there.
+
+    Large meeting places go to several tasks.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
     cut = places.withColumn("blocks", blocks).withColumn("own", own)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("gram", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "n", "component", "bitmap")
     sorted_ = cut.repartition("gram", "first", "second").sortWithinPartitions("gram", "first", "second", "node")
-    return sorted_.mapInArrow(_met(percent, every), "a long, b long").distinct()
+    return sorted_.mapInArrow(_met(percent, every), "a long, b long, share double, hub int").groupBy("a", "b").agg(F.max("share").alias("share"), F.max("hub").alias("hub"))
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """Of each node the pair with the partner most like it and that with its largest hub."""
+    sides = [F.struct(F.col(x).alias("node"), F.col(y).alias("other"), "share", "hub") for x, y in (("a", "b"), ("b", "a"))]
+    both = pairs.select(F.explode(F.array(*sides)).alias("p")).select("p.*")
+    best = both.groupBy("node").agg(
+        F.max(F.struct("share", "other")).alias("like"), F.max(F.struct("hub", "share", "other")).alias("hub")
+    )
+    chosen = best.select("node", F.explode(F.array("like.other", "hub.other")).alias("other"))
+    return chosen.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _filter_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of a partition's hashes, by chunk of the filter."""
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for place in np.unique(batch.column(0).to_numpy()).tolist():
+            bits.setdefault(place // CHUNK, np.zeros(CHUNK, dtype=np.uint8))[place % CHUNK] = 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary())], names=["chunk", "data"])
+
+
+def _places(h: Column) -> list[Column]:
+    """The two bits of a hash in the filter."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - FILTER_BITS).bitwiseAND(mask)]
 
 
-def _segments(order: Broadcast, k: int):
+def document_filter(docs: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids in ``doc``: of fixed size, and with false positives that only cost work."""
+    places = docs.select(F.explode(F.array(*_places(F.xxhash64("doc")))).alias("place"))
+    chunks = places.repartition(F.floor(F.col("place") / CHUNK)).mapInArrow(_filter_chunks, "chunk int, data binary")
+    out = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for r in chunks.collect():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(r.data, np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
+def _segments(order: Broadcast, wanted: Broadcast, k: int):
+    """Segments of the documents that the filter lets through: columns text and two places in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, seen = Hashes(), set()
         for batch in batches:
             nodes, parts, segments = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingle_set(text.as_py(), k, hashes)
-                if node_of(h) != node:  # another row of the same id
+            x, y = (batch.column(c).to_numpy() for c in (1, 2))
+            bits = wanted.value
+            through = ((bits[x >> 3] >> (7 - (x & 7))) & (bits[y >> 3] >> (7 - (y & 7))) & 1).astype(bool)
+            for row in np.flatnonzero(through).tolist():
+                h = shingle_set(batch.column(0)[row].as_py(), k, hashes)
+                if not len(h) or (node := node_of(h)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
                 keys = order.value.keys(h)
                 at = order.value.fragments(keys)
                 for f in np.unique(at):
@@ -263,13 +320,25 @@ def _segments(order: Broadcast, k: int):
     return run
 
 
-def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b`` of the pairs that are similar enough: overlaps counted in each fragment, then summed."""
-    left = pairs.join(segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("x")), "a")
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("y"))
-    partial = left.join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("part"))
-    # a document may stand in the table more than once, and so its segments
-    overlap = partial.groupBy("a", "b", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b").agg(F.sum("part").alias("both"))
+def verified(scratch: Scratch, pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int, name: str) -> DataFrame:
+    """``a``, ``b`` of the pairs that are similar enough: overlaps counted in each fragment, then summed.
+
+    Fragments are counted in ``PASSES`` groups, one after the other, so that only a part of the
+    segments is on shuffle disks at a time.
+    """
+    counted = []
+    for turn in range(PASSES):
+        some = segments.where(F.col("fragment") % PASSES == turn)
+        left = pairs.join(some.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("x")), "a")
+        right = some.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("y"))
+        partial = left.join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("part"))
+        # a set may stand in several documents, and so its segments
+        part = partial.groupBy("a", "b", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b").agg(F.sum("part").alias("part"))
+        counted.append(scratch.settle(part, f"{name}_overlap_{turn}"))
+    overlap = counted[0]
+    for more in counted[1:]:
+        overlap = overlap.unionAll(more)
+    overlap = overlap.groupBy("a", "b").agg(F.sum("part").alias("both"))
     n_a, n_b = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
     return overlap.join(n_a, "a").join(n_b, "b").where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -291,6 +360,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = found.where("chunk IS NULL").select("doc", "n", "node", "bitmap")
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     nodes = scratch.settle(nodes, "nodes")
+    members = scratch.settle(members.drop("bitmap"), "members")
+    scratch.drop("inventory")
     index = texts.select("text").mapInArrow(_prefixes(order, k, percent), "gram long, node long")
     index = index.repartition("gram").sortWithinPartitions("gram", "node")
     shared = scratch.settle(index.mapInArrow(_shared, "gram long, node long"), "shared")
@@ -300,22 +371,25 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     chosen = stats.groupBy("size", "s", "t").agg(F.min("gram").alias("gram")).select("gram", "size")
     places = shared.join(chosen, "gram").join(nodes.select("node", "n", "bitmap"), "node").select("gram", "size", "node", "n", "bitmap")
     places = scratch.settle(places, "places")
-    scratch.drop("shared")
+    nodes = scratch.settle(nodes.drop("bitmap"), "named")
+    scratch.drop("shared", "nodes")
 
-    pairs = scratch.settle(candidates(places.withColumn("component", F.lit(0).cast("long")), percent, every=False), "pairs")
+    pairs = scratch.settle(best_partners(candidates(places.withColumn("component", F.lit(0).cast("long")), percent, every=False)), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
+    wanted = spark.sparkContext.broadcast(document_filter(needed))
     small_batches(spark)
-    kept = texts.join(needed.hint("merge"), "doc")
-    segments = scratch.settle(kept.select("node", "text").mapInArrow(_segments(order, k), "node long, fragment int, segment array<bigint>"), "segments")
+    asked = texts.select("text", *[c.alias(f"place{j}") for j, c in enumerate(_places(F.xxhash64("doc")))])
+    segments = scratch.settle(asked.mapInArrow(_segments(order, wanted, k), "node long, fragment int, segment array<bigint>"), "segments")
     sizes = nodes.select("node", "n")
     large_batches(spark)
-    links = scratch.settle(verified(pairs, segments, sizes, percent), "links")
+    links = scratch.settle(verified(scratch, pairs, segments, sizes, percent, "first"), "links")
     first = components(scratch, links, "first")
     # what is still apart: every pair that the filters leave
     named = places.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = named.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    rest = candidates(named.join(apart, "gram"), percent, every=True).join(pairs, ["a", "b"], "left_anti")
-    more = scratch.settle(verified(rest, segments, sizes, percent), "more")
+    rest = candidates(named.join(apart, "gram"), percent, every=True).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    rest = scratch.settle(rest, "rest")
+    more = scratch.settle(verified(scratch, rest, segments, sizes, percent, "second"), "more")
     last = components(scratch, links.unionAll(more), "last")
     owner = nodes.select("node", F.col("doc").alias("least"))
     classes = owner.join(last.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
