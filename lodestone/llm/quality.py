@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import small_batches, table
+from lodestone.llm.common import Scratch, small_batches, table
 
 #: Bound of the labelled sample that the classifier is fitted on.
 TRAIN_ROWS = 8_000
 #: Bounds of the strength of shrinkage, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1_000.0
+#: Sites that are broadcast at most.
+BROADCAST_SITES = 100_000
 #: How far a site may move a document, in log odds.
 SITE_WEIGHT = 0.5
 
@@ -150,6 +152,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     scored = document_evidence(docs, weights)
     sites = site_posteriors(document_evidence(docs.select(host, path, "text"), weights), host, path)
     sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "p_global", "p_host", "p_path")
+    sites = Scratch(docs.sparkSession, "sites").settle(sites, "sites")
+    if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+        sites = F.broadcast(sites)  # else the texts are shuffled by site
 
     def odds(c: str) -> Column:
         held = F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
