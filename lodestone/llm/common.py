@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def large_batches(spark: SparkSession) -> None:
     """For rows of a few numbers each."""
-    arrow_rows(spark, 20 * BATCH_ROWS)
+    arrow_rows(spark, 8 * BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -161,7 +161,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
 class Hashes(dict):
     """64-bit hashes of byte strings, kept for those seen lately."""
 
-    LIMIT = 300_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -231,7 +231,7 @@ def sliding(values: np.ndarray, span: int, best) -> np.ndarray:
     return best(out[: len(out) - (span - width)], out[span - width :]) if width < span else out
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def text_groups(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Batches whose second column, texts, holds about ``most`` bytes; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:

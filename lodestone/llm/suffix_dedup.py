@@ -7,17 +7,18 @@ dropped, as nothing longer from there repeats, and positions are done when what
 is past the length that every match must reach.
 
 Lengths are counted in phrases, not bytes, and only phrase starts are positions: a start
-is a place whose hash of 16 bytes is the least in some stretch of 64. Whether a place is a
+is a place whose hash of 16 bytes is the least in some stretch of 72. Whether a place is a
 start depends on the text around it alone, so equal strings are cut into equal phrases,
-but for their edges. A string of 400 bytes holds a start 63 to 126 bytes after its own
-beginning, its *lead*, and the phrases that end in the 192 bytes after it. Strings whose
+but for their edges. A string of 400 bytes holds a start 71 to 142 bytes after its own
+beginning, its *lead*, and the phrases, two at least, that end in the 168 bytes after it.
+The first ranks are those of two phrases. Strings whose
 leads are not of one rank cannot be equal.
 
 Exact matching follows among leads of one rank: the strings of a lead overlap in one
 stretch of text. If two stretches are equal, all their strings are; where leads of one rank
 have different stretches, their strings are compared one by one, each stretch once.
 
-Nulls are empty texts. Matches never cross rows; rows that repeat an id are one place each
+Nulls are empty texts. Rows without an id lose and match nothing. Matches never cross rows; rows that repeat an id are one place each
 time they agree. Strings are told apart by 64-bit hashes.
 """
 
@@ -31,52 +32,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, large_batches, mixed, small_batches, table
+from lodestone.llm.common import Powers, Scratch, large_batches, mixed, sliding, small_batches, table
 
 LENGTH = 400
 GRAM = 16
-STRETCH = 64
-_FACTOR = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-class Powers:
-    """Powers of an odd factor and of its inverse, as far as the longest text so far."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = 2 * n + 1
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _FACTOR, dtype=np.uint64)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _INVERSE, dtype=np.uint64)]), dtype=np.uint64)
-        return self.up, self.down
-
-
-def _sliding(values: np.ndarray, span: int, best) -> np.ndarray:
-    """The best of each stretch of ``span`` values."""
-    width, out = 1, values
-    while 2 * width <= span:
-        out = best(out[:-width], out[width:])
-        width *= 2
-    return best(out[: len(out) - (span - width)], out[span - width :]) if width < span else out
+STRETCH = 72
+FIRST = 2  #: phrases of the first ranks
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def starts_of(gram_hashes: np.ndarray, stretch: int) -> np.ndarray:
     """Places whose hash is the least in some stretch that holds them."""
-    least = _sliding(gram_hashes, stretch, np.minimum)
+    least = sliding(gram_hashes, stretch, np.minimum)
     pad = np.zeros(stretch - 1, dtype=np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), stretch, np.maximum)
+    most = sliding(np.concatenate([pad, least, pad]), stretch, np.maximum)
     return np.flatnonzero(most == gram_hashes)
 
 
 def phrases(raw: bytes, powers: Powers, length: int, gram: int, stretch: int) -> tuple[np.ndarray, ...]:
     """Of each lead: name of its phrase, first string, number of strings, phrases to be ranked."""
     data = np.frombuffer(raw, np.uint8)
-    up, down = powers.upto(len(data))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)])
+    total, down = powers.sums(data), powers.down
     n = len(data) - gram + 1
     starts = starts_of(mixed((total[gram:] - total[:n]) * down[:n]), stretch)
     names = mixed((total[starts[1:]] - total[starts[:-1]]) * down[starts[:-1]] + np.diff(starts).astype(np.uint64))
@@ -85,8 +61,8 @@ def phrases(raw: bytes, powers: Powers, length: int, gram: int, stretch: int) ->
     last = np.minimum(starts - stretch + 1, len(data) - length)
     first = np.concatenate([[0], np.maximum(starts[:-1] - stretch + 2, 0)])
     count = np.maximum(last - first + 1, 0)
-    ranked = ranked[:-1]
-    return names, first[:-1], count[:-1], ranked
+    double = mixed(names[:-1] * np.uint64(_FACTOR) + names[1:])
+    return double, first[:-2], count[:-2], ranked[:-2]
 
 
 def _leads(length: int, gram: int, stretch: int):
@@ -100,7 +76,7 @@ def _leads(length: int, gram: int, stretch: int):
                     continue
                 names, first, count, ranked = phrases(raw, powers, length, gram, stretch)
                 place = (first.astype(np.int64) << 16) | (count.astype(np.int64) << 8) | ranked
-                keep = ranked > 0
+                keep = ranked >= FIRST
                 for column, values in zip(out, (names.view(np.int64), np.full(len(names), doc, np.int64), np.arange(len(names), dtype=np.int32), place), strict=True):
                     column.append(values[keep])
             if out[0]:
@@ -148,7 +124,7 @@ def ranked_leads(scratch: Scratch, leads: DataFrame) -> DataFrame:
         return scratch.settle(ordered.mapInArrow(_repeated, RANKED), name)
 
     current = reranked(leads.withColumn("done", F.lit(0)), "rank_0")
-    offset, done = 1, []
+    offset, done = FIRST, []
     while True:
         # a lead to be ranked over fewer than two lengths more is done with the pair that overlaps
         phrases_to = F.col("place").bitwiseAND(F.lit(255))
@@ -178,18 +154,25 @@ def _stretches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, ranks, hashes, firsts, counts = [], [], [], [], []
-            for doc, text, leads in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            held = batch.column(2)
+            ends = np.cumsum(held.value_lengths().to_numpy())
+            rank, place = (held.flatten().field(k).to_numpy() for k in (0, 1))
+            first, count = place >> 16, (place >> 8) & 255
+            end = first + count - 1 + length
+            for doc, text, start, stop in zip(batch.column(0).to_pylist(), batch.column(1), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
                 raw = (text.as_py() or "").encode()
-                for lead in leads:
-                    first, count = lead["place"] >> 16, (lead["place"] >> 8) & 255
-                    if first + count - 1 + length <= len(raw):  # else a row that repeats the id
-                        docs.append(doc)
-                        ranks.append(lead["rank"])
-                        hashes.append(xxhash.xxh3_64_intdigest(raw[first : first + count - 1 + length]) >> 1)
-                        firsts.append(first)
-                        counts.append(count)
+                own = slice(start, stop)
+                fits = end[own] <= len(raw)  # else of a row that repeats the id
+                docs.append(np.full(int(fits.sum()), doc, dtype=np.int64))
+                ranks.append(rank[own][fits])
+                firsts.append(first[own][fits])
+                counts.append(count[own][fits])
+                hashes += [xxhash.xxh3_64_intdigest(raw[x:y]) >> 1 for x, y in zip(firsts[-1].tolist(), end[own][fits].tolist(), strict=True)]
+            if not docs:
+                continue
+            docs, ranks, firsts, counts = (np.concatenate(x) for x in (docs, ranks, firsts, counts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ranks, pa.int64()), pa.array(hashes, pa.int64()), pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
+                [pa.array(ranks, pa.int64()), pa.array(hashes, pa.int64()), pa.array(docs, pa.int64()), pa.array(firsts.astype(np.int32)), pa.array(counts.astype(np.int32))],
                 names=["rank", "stretch", "doc", "first", "n"],
             )
 
@@ -253,24 +236,22 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strings(length: int):
     """Every string of the open stretches: hash, doc, place."""
+    names = ["hash", "doc", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, docs, places = [], [], []
-            for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
-                for s in held:
-                    for at in range(s["first"], min(s["first"] + s["n"], len(raw) - length + 1)):
-                        hashes.append(xxhash.xxh3_64_intdigest(raw[at : at + length]) >> 1)
-                        docs.append(doc)
-                        places.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], names=["hash", "doc", "first"])
+                first, n = (held.values.field(k).to_numpy() for k in (0, 1))
+                places = np.concatenate([np.arange(f, min(f + m, len(raw) - length + 1)) for f, m in zip(first.tolist(), n.tolist(), strict=True)])
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(raw[at : at + length]) >> 1 for at in places.tolist()), np.int64, len(places))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(places), doc, dtype=np.int64)), pa.array(places.astype(np.int32))], names=names)
 
     return run
 
 
 def repeated_strings(scratch: Scratch, texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc``, ``spans``: array of (``first``, ``n``), strings that occur elsewhere by their places. ``texts``: ``doc``, ``text``."""
+    """``doc``, ``spans``: strings that occur elsewhere, by the place of the first (times 2 ** 16) and their number. ``texts``: ``doc``, ``text``."""
     spark = texts.sparkSession
     large_batches(spark)
     leads = texts.mapInArrow(_few(_leads(length, GRAM, STRETCH)), "rank long, doc long, idx int, place long")
@@ -284,7 +265,7 @@ def repeated_strings(scratch: Scratch, texts: DataFrame, length: int = LENGTH) -
     strings = strings.repartition("hash").sortWithinPartitions("hash", "doc", "first").mapInArrow(_repeated, "hash long, doc long, first int")
     strings = scratch.settle(strings.select("doc", "first", F.lit(1).alias("n")), "strings")
     every = found.where("open = 0").select("doc", "first", "n").unionAll(strings)
-    return scratch.settle(every.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
+    return scratch.settle(every.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16) + F.col("n")).alias("spans")), "spans")
 
 
 def _few(run, rows: int = 500):
@@ -304,19 +285,25 @@ def _keep(length: int, text_at: int, spans_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, runs_of, kept = [], [], [], []
-            for text, spans in zip(batch.column(text_at), batch.column(spans_at).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_at), batch.column(spans_at), strict=True):
                 raw = (text.as_py() or "").encode()
+                if not spans.is_valid:
+                    totals.append(len(raw))
+                    removed.append(0)
+                    runs_of.append(0)
+                    kept.append(raw)
+                    continue
+                packed = spans.values.to_numpy()
+                first = packed >> 16
+                end = np.minimum(first + (packed & 65535) - 1 + length, len(raw))
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                for s in spans or ():
-                    end = min(s["first"] + s["n"] - 1 + length, len(raw))
-                    if s["first"] < end:
-                        edge[s["first"]] += 1
-                        edge[end] -= 1
+                np.add.at(edge, first[first < end], 1)
+                np.add.at(edge, end[first < end], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 totals.append(len(raw))
                 removed.append(int(gone.sum()))
                 runs_of.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw)
+                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             columns = [c for j, c in enumerate(batch.columns) if j != spans_at]
             old = [x for j, x in enumerate(batch.schema.names) if j != spans_at]
             numbers = [pa.array(x, pa.int64()) for x in (totals, removed, runs_of)]
@@ -330,7 +317,7 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_doc", "_spans")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     spans = repeated_strings(scratch, texts, length).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
     small_batches(spark)
     joined = docs.join(spans.hint("merge"), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
