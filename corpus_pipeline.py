@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the smallest id; rows that repeat it go too."""
+    """One document of each class of near copies, that of the smallest id; rows that repeat it, or have no id, go too."""
     classes = similarity_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     classes = Scratch(spark, "kept").settle(classes, "classes")
     return docs.join(classes.hint("merge"), docs.doc_id == classes._kept, "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)

@@ -84,6 +84,9 @@ def test_substring_dedup(spark):
     got = substring_dedup.remove_repeats(df)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got.collect()} == want
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, rows[0][1]), (None, None)], SCHEMA).withColumn("spans", F.lit(None).cast("string"))
+    assert {(r.n_removed) for r in substring_dedup.remove_repeats(nameless).collect()} == {0}
+    assert jaccard_join.similarity_classes(nameless).count() == 2 and suffix_dedup.remove_repeated_bytes(nameless).count() == 2
     twice = substring_dedup.remove_repeats(df.union(df))  # rows that repeat an id don't remove each other
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in twice.collect()} == want
 
