@@ -14,7 +14,7 @@ occurrence is verified against the words at the source before anything is remove
 
 A word is removed if a window covers it that also starts in a document of a smaller id;
 windows are those of the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; nulls and
-blank texts have none. Rows that repeat an id are versions of one document: they do not
+blank texts have none. Rows without an id lose and remove nothing. Rows that repeat an id are versions of one document: they do not
 remove each other's words.
 """
 
@@ -32,6 +32,7 @@ from lodestone.llm.common import Powers, Scratch, large_batches, mixed, sliding,
 
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 5
+LISTED = 64  #: occurrences in a row, so that those of a common path can be dealt to many tasks
 
 
 def _whole(rows: np.ndarray, k: int) -> np.ndarray:
@@ -172,7 +173,11 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = docs != np.repeat(source, ends - starts)
         counts = np.add.reduceat(later.astype(np.int64), starts)
         some = np.flatnonzero(counts)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32))
+        pieces = -(-counts[some] // LISTED)
+        sizes = np.full(int(pieces.sum()), LISTED)
+        sizes[np.cumsum(pieces) - 1] = counts[some] - (pieces - 1) * LISTED
+        some = np.repeat(some, pieces)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         key, state = keys[-1], [source[-1], at[-1], n[-1], here[-1], before[-1], bool(several[-1])]
         whole = np.flatnonzero(several[:-1])
         head = edge_rows(done)
@@ -248,6 +253,7 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, k: int = WINDOW_WORDS, q:
     told = texts.join(per_source.hint("merge"), "doc").mapInArrow(_source_digests(k), "source long, at int, length int, digest binary")
     told = scratch.settle(told, "digests")
     starts = told.join(edges.where("docs IS NOT NULL").select("source", "at", "docs", "places"), ["source", "at"])
+    starts = starts.select("length", "digest", "docs", "places").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     starts = starts.select("length", "digest", F.explode(F.arrays_zip("docs", "places")).alias("o"))
     spans = starts.groupBy(F.col("o.docs").alias("doc")).agg(F.collect_list(F.struct(F.col("o.places").alias("start"), "length", "digest")).alias("spans"))
     spans = scratch.settle(spans, "spans")
@@ -284,7 +290,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     docs = docs.drop("n_words", "n_removed", "kept_text", "_doc", "_spans")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     spans = repeated_spans(scratch, texts, k).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
     small_batches(spark)
     joined = docs.join(spans.hint("merge"), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
