@@ -320,6 +320,15 @@ def _segments(order: Broadcast, wanted: Broadcast, k: int):
     return run
 
 
+def cut_segments(texts: DataFrame, needed: DataFrame, order: Broadcast, k: int) -> DataFrame:
+    """``node``, ``fragment``, ``segment`` of the documents in ``needed``; a few others may come along."""
+    spark = texts.sparkSession
+    wanted = spark.sparkContext.broadcast(document_filter(needed))
+    small_batches(spark)
+    asked = texts.select("text", *[c.alias(f"place{j}") for j, c in enumerate(_places(F.xxhash64("doc")))])
+    return asked.mapInArrow(_segments(order, wanted, k), "node long, fragment int, segment array<bigint>")
+
+
 def verified(scratch: Scratch, pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int, name: str) -> DataFrame:
     """``a``, ``b`` of the pairs that are similar enough: overlaps counted in each fragment, then summed.
 
@@ -376,10 +385,7 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     pairs = scratch.settle(best_partners(candidates(places.withColumn("component", F.lit(0).cast("long")), percent, every=False)), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
-    wanted = spark.sparkContext.broadcast(document_filter(needed))
-    small_batches(spark)
-    asked = texts.select("text", *[c.alias(f"place{j}") for j, c in enumerate(_places(F.xxhash64("doc")))])
-    segments = scratch.settle(asked.mapInArrow(_segments(order, wanted, k), "node long, fragment int, segment array<bigint>"), "segments")
+    segments = scratch.settle(cut_segments(texts, needed, order, k), "segments")
     sizes = nodes.select("node", "n")
     large_batches(spark)
     links = scratch.settle(verified(scratch, pairs, segments, sizes, percent, "first"), "links")
@@ -389,6 +395,12 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     apart = named.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
     rest = candidates(named.join(apart, "gram"), percent, every=True).select("a", "b").join(pairs, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "rest")
+    # blocks that cross name one partner a node, so some nodes have their first pair here and no segments yet
+    late = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(needed.select("node"), "node", "left_anti").join(nodes.select("node", "doc"), "node")
+    late = scratch.settle(late, "late")
+    if not late.isEmpty():
+        segments = segments.unionAll(scratch.settle(cut_segments(texts, late, order, k), "late_segments"))
+        large_batches(spark)
     more = scratch.settle(verified(scratch, rest, segments, sizes, percent, "second"), "more")
     last = components(scratch, links.unionAll(more), "last")
     owner = nodes.select("node", F.col("doc").alias("least"))

@@ -57,6 +57,30 @@ def test_jaccard_join(spark, monkeypatch):
     assert jaccard_join.similarity_classes(df.limit(0)).count() == 0
 
 
+def stars(seed):
+    """Sets of 20 words: two centres a family with leaves that are like their own centre alone, and one place where all meet."""
+    rng, rows = random.Random(seed), []
+    for family in range(12):
+        word = lambda name: f"f{family}{name}"  # noqa: B023, E731
+        rare, body = [word(f"g{k}") for k in range(3)], [word(f"b{k}") for k in range(16)]
+        pairs = [(i, j) for i in range(2, 16) for j in range(i + 1, 16)]
+        for centre, leaves in (("y", 10), ("z", 20)):
+            rows.append((len(rows), " ".join([*rare, *body, word(centre)])))
+            for i, j in rng.sample(pairs, leaves):
+                own = [f"{len(rows)}own{k}" if k in (i, j) else w for k, w in enumerate(body)]
+                rows.append((len(rows), " ".join([*rare, *own, word(centre)])))
+        for _ in range(40):  # these make all but three words common, so that nothing meets at them
+            rows.append((len(rows), " ".join([*body, word("y"), word("z"), *(f"{len(rows)}fill{k}" for k in range(60))])))
+    return rows
+
+
+def test_jaccard_join_of_stars_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # two blocks for each place of a family
+    rows = stars(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, SCHEMA), k=1).collect()}
+    assert got == classes(rows, k=1)
+
+
 def passages(seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
