@@ -87,8 +87,13 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("BSD-3-Clause", "permissive", ("spdx_bsd3",)),
     ("LicenseRef-reserved", "restricted", ("all_rights",)),
 ]
+#: Further sentences and rules, which ``ORACLE`` doesn't know; where a text shows them, its result differs from the SQL.
+MORE_SENTENCES: dict[str, str] = {"all rights reserved": "all_rights"}
+#: These go before the others: a reservation right before a whole licence is part of its notice.
+MORE_RULES = [(name, kind, ("all_rights", *wanted)) for name, kind, wanted in RULES if len(wanted) > 1]
+EVERY_RULE = MORE_RULES + RULES
 #: Every known sentence holds one of these.
-MARKERS = "(?i)licen|copyright|redistribut|warrant|permission"
+MARKERS = "(?i)licen|copyright|redistribut|warrant|permission|rights[^a-z0-9]+reserved"
 WRAPPED = r"([^.!?;:\n])\n([a-z])"
 SENTENCE_END = r"([.!?;:])[ \t\r\n]+"
 RANK = {"none": 0, "permissive": 1, "copyleft": 2, "restricted": 3}
@@ -102,7 +107,8 @@ def normalised(sentence: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known licence sentences of a text, in order, as an array."""
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
+    names = {v: k for k, v in SENTENCES.items()} | MORE_SENTENCES
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), SENTENCE_END, "$1\n")
     likely = F.filter(F.split(joined, "\n"), lambda s: s.rlike(MARKERS))
     found = F.filter(F.transform(likely, lambda s: known[normalised(s)]), lambda x: x.isNotNull())
@@ -122,11 +128,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     seq = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     hits = []
     out = out.withColumn("_seq", F.when(F.size("sentence_ids") > 0, seq).otherwise(F.lit("")))
-    for _, _, wanted in RULES:
+    for _, _, wanted in EVERY_RULE:
         pattern = "|" + "||".join(wanted) + "|"
         hits.append(F.contains(seq_after(hits_before=len(hits)), F.lit(pattern)))
     matched = F.filter(
-        F.array(*[F.when(h, F.struct(F.lit(name).alias("name"), F.lit(RANK[kind]).alias("rank"))) for h, (name, kind, _) in zip(hits, RULES, strict=True)]),
+        F.array(*[F.when(h, F.struct(F.lit(name).alias("name"), F.lit(RANK[kind]).alias("rank"))) for h, (name, kind, _) in zip(hits, EVERY_RULE, strict=True)]),
         lambda x: x.isNotNull(),
     )
     out = out.withColumn("_hits", F.when(F.size("sentence_ids") > 0, matched))
@@ -141,7 +147,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 def seq_after(hits_before: int) -> Column:
     """The sequence without what the first rules have taken."""
     left = F.col("_seq")
-    for _, _, wanted in RULES[:hits_before]:
+    for _, _, wanted in EVERY_RULE[:hits_before]:
         if len(wanted) > 1:
             left = F.replace(left, F.lit("|" + "||".join(wanted) + "|"), F.lit("/"))
     return left

@@ -191,6 +191,21 @@ def test_license_rules(spark):
         assert df.limit(1).select(license_scan.normalised(F.lit(sentence + "."))).first()[0] == sentence
 
 
+def licences(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = license_scan.scan(df).select("doc_id", F.array_join("licenses", ",").alias("l"), "license_class").collect()
+    return [(r.l, r.license_class) for r in sorted(rows)]
+
+
+def test_reserved_rights(spark):
+    reserved = ("LicenseRef-reserved", "restricted")
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n" + "".join(
+        license_scan.SENTENCES[k] + ".\n" for k in ("bsd_source", "bsd_binary")
+    )
+    texts = ["Prose here.\nAll rights reserved.", "Copyright (c) X. All rights reserved.", "All Rights Reserved", "No rights are reserved.", f"Copyright X. All rights reserved.\n{bsd}"]
+    assert licences(spark, texts) == [reserved, reserved, reserved, ("", "none"), ("BSD-2-Clause", "permissive")]
+
+
 def test_pieces_as_the_library(spark):
     import sentencepiece
 
