@@ -1,6 +1,6 @@
 """Licence recognition by sentences and rules.
 
-Texts are cut into sentences, sentences are normalised and looked up among the known
+Texts are cut into passages, lines and sentences, these are normalised and looked up among the known
 licence sentences, and the sequence of identifiers that a document shows is matched
 against licence rules in their order: a rule that matches takes its sentences out of the
 sequence, so a long licence is not also reported as the shorter one inside it.
@@ -88,14 +88,23 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("LicenseRef-reserved", "restricted", ("all_rights",)),
 ]
 #: Further sentences and rules, which ``ORACLE`` doesn't know; where a text shows them, its result differs from the SQL.
-MORE_SENTENCES: dict[str, str] = {"all rights reserved": "all_rights"}
+MORE_SENTENCES: dict[str, str] = {
+    "all rights reserved": "all_rights",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
+}
+BSD3 = ("BSD-3-Clause", "permissive", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse"))
 #: These go before the others: a reservation right before a whole licence is part of its notice.
-MORE_RULES = [(name, kind, ("all_rights", *wanted)) for name, kind, wanted in RULES if len(wanted) > 1]
+MORE_RULES = [(name, kind, ("all_rights", *wanted)) for name, kind, wanted in [BSD3, *RULES] if len(wanted) > 1] + [BSD3]
 EVERY_RULE = MORE_RULES + RULES
 #: Every known sentence holds one of these.
 MARKERS = "(?i)licen|copyright|redistribut|warrant|permission|rights[^a-z0-9]+reserved"
 WRAPPED = r"([^.!?;:\n])\n([a-z])"
-SENTENCE_END = r"([.!?;:])[ \t\r\n]+"
+LEADER = r"(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|-->|>+|\||dnl\b|REM\b)"  #: what comments begin their lines with
+PASSAGE_END = rf"(?<=[.!?])[ \t\r\n]+|\n(?:[ \t]*{LEADER}?[ \t\r]*\n)+"
+WORD_LEADER = r"(?m)^[ \t]*(?:dnl|REM)\b[ \t]*"  #: of the leaders, those that normalising leaves
+PART_END = r"(?<=[;:])[ \t\r\n]+"
+TAG = r"(?im)^(.*spdx-license-identifier:.*)$"
+ENDORSERS = "^neither the name of .+ nor the names of its contributors may be"
 RANK = {"none": 0, "permissive": 1, "copyleft": 2, "restricted": 3}
 
 
@@ -106,12 +115,33 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in order, as an array."""
+    """Identifiers of the known licence sentences of a text, in order, as an array.
+
+    A passage ends at a full stop or an empty line. It is looked up whole, over all its lines, as
+    known sentences run across colons and semicolons. If that fails its lines are, and lines cut at
+    these; or its parts between these, over all lines, where that finds more.
+    """
     names = {v: k for k, v in SENTENCES.items()} | MORE_SENTENCES
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), SENTENCE_END, "$1\n")
-    likely = F.filter(F.split(joined, "\n"), lambda s: s.rlike(MARKERS))
-    found = F.filter(F.transform(likely, lambda s: known[normalised(s)]), lambda x: x.isNotNull())
+
+    def named(s: Column) -> Column:
+        return known[F.regexp_replace(normalised(s), ENDORSERS, "neither the name of the copyright holder nor the names of its contributors may be")]
+
+    def each(parts: Column) -> Column:
+        return F.filter(F.transform(F.filter(parts, lambda s: s.rlike(MARKERS)), named), lambda x: x.isNotNull())
+
+    def one(s: Column, otherwise: Column) -> Column:
+        return F.when(named(s).isNotNull(), F.array(named(s))).otherwise(otherwise)
+
+    def passage(p: Column) -> Column:
+        plain = F.regexp_replace(p, WORD_LEADER, "")
+        lines = F.split(F.regexp_replace(p, WRAPPED, "$1 $2"), "\n")
+        lines = F.flatten(F.transform(F.filter(lines, lambda s: s.rlike(MARKERS)), lambda s: one(s, each(F.split(s, PART_END)))))
+        parts = each(F.split(plain, PART_END))
+        return one(plain, F.when(F.size(parts) > F.size(lines), parts).otherwise(lines))
+
+    passages = F.split(F.regexp_replace(text, TAG, "\n$1\n\n"), PASSAGE_END)
+    found = F.flatten(F.transform(F.filter(passages, lambda p: p.rlike(MARKERS)), passage))
     return F.when(text.rlike(MARKERS), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -206,6 +206,81 @@ def test_reserved_rights(spark):
     assert licences(spark, texts) == [reserved, reserved, reserved, ("", "none"), ("BSD-2-Clause", "permissive")]
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program; if not, see <https://www.gnu.org/licenses/>."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD2 = """Copyright (c) 2020, X
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice,
+       this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright
+       notice, this list of conditions and the following disclaimer in the
+       documentation and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+    3. Neither the name of X nor the names of its
+       contributors may be used to endorse or promote products derived from
+       this software without specific prior written permission."""
+
+
+def test_licences_as_they_are_written(spark):
+    gpl2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+    whole = [
+        (GPL, "GPL-3.0-or-later", "copyleft"), (gpl2, "GPL-2.0-or-later", "copyleft"), (APACHE, "Apache-2.0", "permissive"),
+        (MIT, "MIT", "permissive"), (BSD2, "BSD-2-Clause", "permissive"), (BSD3, "BSD-3-Clause", "permissive"),
+    ]
+    cases = []
+    for text, name, kind in whole:
+        for first in ("", "    ", "# ", "// ", " * ", "dnl ", "-- "):
+            cases.append(("\n".join((first + line).rstrip() for line in text.split("\n")), name, kind))
+        cases.append((text.replace("\n", "\r\n"), name, kind))
+    tags = [("MIT", "MIT", "permissive"), ("Apache-2.0", "Apache-2.0", "permissive"), ("GPL-3.0-only", "GPL-3.0-only", "copyleft"), ("GPL-3.0-or-later", "GPL-3.0-or-later", "copyleft"), ("BSD-3-Clause", "BSD-3-Clause", "permissive")]
+    for tag, name, kind in tags:
+        cases += [(f"// x\n// SPDX-License-Identifier: {tag}\npackage main", name, kind), (f"/* SPDX-License-Identifier: {tag} */", name, kind)]
+    assert licences(spark, [t for t, _, _ in cases]) == [(name, kind) for _, name, kind in cases]
+
+
+def test_every_license_rule(spark):
+    text = {v: k for k, v in license_scan.MORE_SENTENCES.items()} | license_scan.SENTENCES
+    found = licences(spark, ["\n".join(f"{text[w]}." for w in wanted) for _, _, wanted in license_scan.EVERY_RULE])
+    assert found == [(name, kind) for name, kind, _ in license_scan.EVERY_RULE]
+
+
 def test_pieces_as_the_library(spark):
     import sentencepiece
 
