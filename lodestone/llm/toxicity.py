@@ -1,7 +1,9 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
 A word enters the network as its own vector, if it is frequent enough in the training
-sample, beside a vector made of its characters by place. Two gated recurrent layers read
+sample, beside a vector made of its characters by place. Of a word longer than the places
+for characters its parts between inner punctuation follow it, long ones in overlapping
+pieces, so that texts without spaces are read whole. Two gated recurrent layers read
 a window in either direction, attention pools their states, and a logistic unit scores the
 window. A document is scored by the highest of all its overlapping windows, whatever its
 length, calibrated on a part of the sample that the network is not fitted to.
@@ -17,6 +19,7 @@ labelled rows every score is 0.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +37,7 @@ WINDOW, STRIDE = 32, 16
 VOCABULARY, LEAST_DOCUMENTS = 20_000, 4
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 12, 12
 CHAR_PLACES, CHAR_KINDS = 10, 128
+PIECE_STEP = 5  #: from piece to piece of a long word
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 WORD_DROPOUT = 0.4
 DECAY = 0.05  #: of word and character vectors, so that what is seen once is not learnt by heart
@@ -41,10 +45,32 @@ TELLING = 2.0  #: log odds below which a toxic document's window is not trained
 CALM = -8.0
 CACHE_WORDS = 60_000
 CUT = ".,;:!?\"'()[]|*#%&$"
+JOINTS = re.compile("[" + re.escape(CUT + "_-/\\+=~<>{}@^`–—…、。，！？；：・（）「」") + "]+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Words, each followed by its pieces if it is long."""
+    out = []
+    for t in (text or "").lower().split():
+        out.append(t)
+        if len(t) > CHAR_PLACES:
+            out += pieces(t)
+    return out
+
+
+def pieces(token: str) -> list[str]:
+    """What a long word holds beyond its first characters: parts between punctuation, long ones in overlapping pieces."""
+    word, out = stem(token), []
+    if len(word) <= CHAR_PLACES:
+        return out
+    for part in filter(None, JOINTS.split(word)):
+        last = len(part) - CHAR_PLACES
+        if last <= 0:
+            out.append(part)
+        else:
+            starts = [*range(0, last, PIECE_STEP), last]
+            out += [part[k : k + CHAR_PLACES] for k in starts[part == word :]]  # the word itself shows its first characters
+    return out
 
 
 def stem(token: str) -> str:

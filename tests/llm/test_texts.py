@@ -354,6 +354,20 @@ def test_network_gradients():
         assert abs(g[k][at] - (up - down) / (2 * step)) < 1e-4
 
 
+def test_toxicity_reads_long_words_whole():
+    net = toxicity.Network({})
+    score = lambda *texts: toxicity.document_logits(net, list(texts), toxicity.Words(net)).tolist()
+    rng = random.Random(3)
+    for word in ("".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)), "今日はとても良い天気なので散歩に行きましょう", "one_two-three/four,five_six"):
+        shown = toxicity.CHAR_PLACES
+        ends = [k for k in range(shown, len(word)) if word[k].isalpha()]
+        changed = [word[:k] + "ü" + word[k + 1 :] for k in ends]
+        first, *rest = score(word, *changed)
+        assert first not in rest
+    assert "scum" in toxicity.tokens("some_kind_of_scum.")
+    assert toxicity.tokens("short words only, (as before).") == ["short", "words", "only,", "(as", "before)."]
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(4)
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "lmnr"]
