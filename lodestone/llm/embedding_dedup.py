@@ -13,14 +13,15 @@ all linked with each other, as angles obey the triangle inequality, and are coun
 listed. Small balls are dissolved. Only balls that are near each other without all their members being linked have
 their members compared.
 
-Equal vectors are one vector with a weight. Vectors that are null, zero, of another length
-than the most common one, or that hold null or non-finite components are linked with nothing.
+Equal vectors are one vector with a weight. Vectors that are null, zero, or that hold
+null or non-finite components are linked with nothing; the others are searched by length.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -109,16 +110,27 @@ def _hamming(x: str, y: str, words: int) -> Column:
 def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", limit: float = LIMIT) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors``."""
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
     large_batches(spark)
-    half = math.acos(limit) / 2
-    wide = math.degrees(2 * half)
     rows = vectors.select(F.col(vec_id).cast("long").alias("row"), F.col(embedding).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v")))
-    lengths = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = lengths[0].d if lengths else 1
-    rows = rows.withColumn("v", F.when(F.size("v") == d, F.col("v")))
+    lengths = [r.d for r in rows.where("v IS NOT NULL").select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    out = reduce(DataFrame.unionAll, [linked_vectors(rows.where(F.size("v") == d), d, limit) for d in lengths or [1]])
+    found = rows.join(out, "v", "left")
+    return found.select(
+        F.col("row").alias(vec_id),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "row").alias("component_id"),
+        (F.coalesce("component_id", "row") == F.col("row")).alias("kept"),
+    )
+
+
+def linked_vectors(rows: DataFrame, d: int, limit: float) -> DataFrame:
+    """``v``, ``n_links``, ``component_id`` of the distinct vectors of ``rows``, which are all of length ``d``."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "vectors")
+    half = math.acos(limit) / 2
+    wide = math.degrees(2 * half)
     # scaled first so that squares neither vanish nor overflow
     scaled = F.expr("transform(v, x -> x / array_max(transform(v, y -> abs(y))))")
     kinds = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("id"), F.count("*").alias("weight")).withColumn("u", scaled)
@@ -169,14 +181,7 @@ def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = balls.join(named.join(least, "component").select("ball", "ball_weight", "component_id"), "ball").join(counted, "ball", "left").join(single, "id", "left")
     out = out.select("id", (F.col("ball_weight") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("n_links"), "component_id")
-    out = scratch.settle(out.join(kinds.select("id", "v"), "id").select("v", "n_links", "component_id"), "out")
-    found = rows.join(out, "v", "left")
-    return found.select(
-        F.col("row").alias(vec_id),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "row").alias("component_id"),
-        (F.coalesce("component_id", "row") == F.col("row")).alias("kept"),
-    )
+    return scratch.settle(out.join(kinds.select("id", "v"), "id").select("v", "n_links", "component_id"), "out")
 
 
 def op10_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,6 +326,13 @@ def test_embedding_links(spark, monkeypatch):
     assert embedding_dedup.near_links(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_every_length(spark):
+    x = [[1.0, 0.0, 2.0]] * 3 + [[5.0, 1.0]] * 2 + [[-1.0, 5.0], [2.0], [3.0], [-4.0], [0.0, 0.0], None]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_links(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
+
+
 def test_network_gradients():
     import numpy as np
 
