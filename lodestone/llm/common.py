@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 AUTO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: texts have no bound on length, so few of them; more of rows that are a few numbers each.
+BATCH_ROWS, NUMBER_ROWS = 500, 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,64 +28,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def held_conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings that hold inside the block only."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to a few hundred rows: texts have no bound on length."""
-    arrow_rows(spark, BATCH_ROWS)
-
-
-def large_batches(spark: SparkSession) -> None:
-    """For rows of a few numbers each."""
-    arrow_rows(spark, 8 * BATCH_ROWS)
+    """Hold Arrow batches to a few hundred rows from now on: for results over whole texts that are run after the call that returns them."""
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset a folder of our own: of this machine if all runs in one process on it, else in the warehouse."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        found = tempfile.mkdtemp(prefix="lodestone-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestone"
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors. They go when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def settle(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def settle(self, df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
         """Write ``df`` as table ``name``, free the shuffle files behind it and read it back.
 
         Only sides that are marked for it are broadcast, so that plans are alike at every size.
+        Arrow batches hold ``rows`` rows meanwhile.
         """
-        held = {key: self.spark.conf.get(key, None) for key in (CLEANUP, AUTO_BROADCAST)}
-        self.spark.conf.set(CLEANUP, "true")
-        self.spark.conf.set(AUTO_BROADCAST, "-1")
-        try:
-            writer = df.write.mode("overwrite").option("compression", "zstd")
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(self.path(name))
-        finally:
-            for key, value in held.items():
-                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
+        with held_conf(self.spark, {CLEANUP: "true", AUTO_BROADCAST: "-1", ARROW_ROWS: str(rows)}):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         gc.collect()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = self._at(self.path(name))
+            fs.delete(path, True)
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -99,7 +105,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     turn, print_before = 0, None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # settled, so that the rows of a hub can be split between tasks in the join
+        least = scratch.settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}_least_{turn}")
         large = (
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
@@ -117,12 +124,17 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         if tuple(mark) == print_before:
             break
         print_before = tuple(mark)
-        scratch.drop(f"{name}_{turn - 1}")
+        scratch.drop(f"{name}_{turn - 1}", f"{name}_least_{turn - 1}")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, even inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column, 256)
 
@@ -158,6 +170,61 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
         yield held
 
 
+#: A key that stands in so many documents of one batch of texts is hot.
+HOT_DOCUMENTS = 16
+#: Tasks that the rows of a hot key are dealt to.
+SALTS = 64
+
+
+def hot_rows(keys: np.ndarray, docs: np.ndarray, stay: int) -> np.ndarray:
+    """Which rows of a batch go to tasks of their own: those of hot keys, but for the rows of ``stay`` documents of each."""
+    out = np.zeros(len(keys), dtype=bool)
+    if len(keys) < HOT_DOCUMENTS:
+        return out
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new_doc = np.cumsum(new_key | np.concatenate([[True], d[1:] != d[:-1]]))
+    starts = np.flatnonzero(new_key)
+    group = np.cumsum(new_key) - 1
+    rank = new_doc - new_doc[starts][group]
+    ends = np.append(starts[1:], len(k)) - 1
+    out[order] = (rank >= stay) & (rank[ends] + 1 >= HOT_DOCUMENTS)[group]
+    return out
+
+
+def salts(hot: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """0 for rows that stay with their key, else one of ``SALTS`` numbers that the document decides."""
+    return np.where(hot, 1 + (mixed(docs.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+
+
+def dealt(run, shown: list[str]):
+    """``run`` over the rows without a salt; those with one go out as they are, with the columns ``shown``."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart: list[pa.RecordBatch] = []
+
+        def together() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                salted = pc.greater(batch.column("salt"), 0)
+                part = batch.filter(salted)
+                apart.append(pa.RecordBatch.from_arrays([part.column(n) for n in shown], names=shown))  # without what its schema says of nulls
+                yield batch.filter(pc.invert(salted)).select([n for n in batch.schema.names if n != "salt"])
+
+        for out in run(together()):
+            yield out
+            yield from apart
+            apart.clear()
+        yield from apart
+
+    return go
+
+
+def ids_repeat(texts: DataFrame) -> bool:
+    """Whether some ``doc`` stands in several rows; hot keys are not dealt out then, as rows that repeat must meet."""
+    return not texts.groupBy("doc").count().where("count > 1").isEmpty()
+
+
 class Hashes(dict):
     """64-bit hashes of byte strings, kept for those seen lately."""
 

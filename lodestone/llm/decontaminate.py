@@ -17,12 +17,10 @@ small and joined by shuffle otherwise; nothing about documents is ever broadcast
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, table
+from lodestone.llm.common import Scratch, let, table
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -33,11 +31,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once a row, even inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shingles(w: Column, k: int, hashed: bool) -> Column:
     """Runs of ``k`` words, in order, as strings or as hashes; none if there are fewer words."""
 
