@@ -8,9 +8,14 @@ document only repeats nowhere else.
 Edges that follow each other in every document in which either occurs form a nonbranching
 path. Such paths are compacted by joins on source coordinates: the source of an edge is
 its first occurrence in the document of the smallest id, edges of a path have consecutive
-sources, and that all their occurrences agree shows in hashes over these. A path is then
-one row with its source, its length and the starts of its occurrences, and each
-occurrence is verified against the words at the source before anything is removed.
+sources, and that all their occurrences agree shows in hashes over these. A join of each
+edge with the one before it tells the links; further joins, over stretches of twice the
+length each time, put linked pieces together. A path is then one row with its source, its
+length and the starts of its occurrences, and each occurrence is verified against the
+words at the source before anything is removed.
+
+Anchors and windows that stand in many documents of one batch are hot: their rows are
+dealt to many tasks, which tell partial sums, and a second pass brings these together.
 
 A word is removed if a window covers it that also starts in a document of a smaller id;
 windows are those of the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; nulls and
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, Scratch, large_batches, mixed, sliding, small_batches, table, text_groups, windows, word_hashes
+from lodestone.llm.common import NUMBER_ROWS, Powers, Scratch, dealt, hot_rows, ids_repeat, mixed, salts, sliding, small_batches, table, text_groups, windows, word_hashes
 
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 5
@@ -40,8 +45,11 @@ def _whole(rows: np.ndarray, k: int) -> np.ndarray:
     return rows[: len(rows) - k + 1] == rows[k - 1 :] if len(rows) >= k else np.zeros(0, dtype=bool)
 
 
-def _anchors(k: int, q: int):
-    """Places of the least run of ``q`` words in some window (all, where several are equal): key, doc, pos."""
+def _anchors(k: int, q: int, deal: bool):
+    """Places of the least run of ``q`` words in some window (all, where several are equal): key, salt, doc, pos.
+
+    A hot key keeps the rows of two documents, by which its task sees that it stands in several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, span = Powers(), k - q + 1
@@ -55,8 +63,10 @@ def _anchors(k: int, q: int):
             pad = np.zeros(span - 1, dtype=np.uint64)
             at = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), span, np.maximum) == runs_of) & (runs_of > 0))
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            columns = [runs_of[at].view(np.int64), docs[rows[at]], (at - firsts[rows[at]]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc", "pos"])
+            key, doc = runs_of[at].view(np.int64), docs[rows[at]]
+            hot = hot_rows(key, doc, 2) if deal else np.zeros(len(key), dtype=bool)
+            columns = [key, salts(hot, doc), doc, (at - firsts[rows[at]]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "salt", "doc", "pos"])
 
     return run
 
@@ -96,8 +106,11 @@ def _in_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_docs)), pa.array(np.concatenate(out_places))], names=["doc", "pos"])
 
 
-def _edges(k: int, q: int):
-    """Windows whose anchor is among the places of the row: key, doc, pos."""
+def _edges(k: int, q: int, deal: bool):
+    """Windows whose anchor is among the places of the row: key, salt, mark, doc, pos.
+
+    All rows of a hot key are dealt out; a row with a mark tells the task of the key itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, span = Powers(), k - q + 1
@@ -115,8 +128,12 @@ def _edges(k: int, q: int):
             known[places] = runs_of[places]
             at = np.flatnonzero(whole & (sliding(known, span, np.minimum) == sliding(runs_of, span, np.minimum)))
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            columns = [windows(h, k)[at].view(np.int64), docs[rows[at]], (at - firsts[rows[at]]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc", "pos"])
+            key, doc, pos = windows(h, k)[at].view(np.int64), docs[rows[at]], (at - firsts[rows[at]]).astype(np.int32)
+            hot = hot_rows(key, doc, 0) if deal else np.zeros(len(key), dtype=bool)
+            told = np.unique(key[hot])
+            none = np.zeros(len(told), dtype=np.int32)
+            columns = [(key, told), (salts(hot, doc), none), (np.zeros(len(key), np.int32), none + 1), (doc, none.astype(np.int64)), (pos, none)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.astype(y.dtype), y])) for x, y in columns], names=["key", "salt", "mark", "doc", "pos"])
 
     return run
 
@@ -125,7 +142,58 @@ def _place(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mixed(mixed(docs.astype(np.uint64)) + places.astype(np.int64).astype(np.uint64))
 
 
-EDGE_ROW = "source long, at int, n long, here long, before long, docs array<bigint>, places array<int>"
+EDGE_ROW = "source long, at int, n long, here long, before long, docs array<bigint>, places array<int>, key long, top long"
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by key, salt, mark (marked rows first), doc and pos: edges, or partial sums of hot ones.
+
+    Rows of a hot key have its ``key``: partial sums with its largest document ``top``, and all its occurrences.
+    """
+    apart: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    open_ = False
+
+    def partial(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+        ends = np.append(starts[1:], len(key))
+        here = np.bitwise_xor.reduceat(_place(doc, pos), starts).view(np.int64)
+        before = np.bitwise_xor.reduceat(_place(doc, pos - 1), starts).view(np.int64)
+        pieces = -(-(ends - starts) // LISTED)
+        sizes = np.full(int(pieces.sum()), LISTED)
+        sizes[np.cumsum(pieces) - 1] = (ends - starts) - (pieces - 1) * LISTED
+        offsets, m, n = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), len(sizes), len(starts)
+        names = ["source", "at", "n", "here", "before", "docs", "places", "key", "top"]
+        numbers = [pa.array(x) for x in (doc[starts], pos[starts], (ends - starts).astype(np.int64), here, before)]
+        apart.append(pa.RecordBatch.from_arrays([*numbers, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.array(key[starts]), pa.array(doc[ends - 1])], names=names))
+        empty = [pa.nulls(m, x.type) for x in numbers]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (doc, pos)]
+        apart.append(pa.RecordBatch.from_arrays([*empty, *lists, pa.array(np.repeat(key[starts], pieces)), pa.nulls(m, pa.int64())], names=names))
+
+    def together() -> Iterator[pa.RecordBatch]:
+        nonlocal last, open_
+        for batch in batches:
+            key, salt, mark, doc, pos = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            new = np.concatenate([[(key[0], salt[0]) != last], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+            group = np.cumsum(new)  # 0: goes on from the batch before
+            opened = np.zeros(group[-1] + 1, dtype=bool)
+            opened[0] = open_
+            opened[group[(mark > 0) | (salt > 0)]] = True
+            last, open_ = (key[-1], salt[-1]), bool(opened[group[-1]])
+            apart_now = opened[group] & (mark == 0)
+            if apart_now.any():
+                partial(key[apart_now], salt[apart_now], doc[apart_now], pos[apart_now])
+            closed = ~opened[group]
+            yield pa.RecordBatch.from_arrays([pa.array(x[closed]) for x in (key, doc, pos)], names=["key", "doc", "pos"])
+
+    for out in _sources(together()):
+        none = pa.nulls(out.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*out.columns, none, none], names=[*out.schema.names, "key", "top"])
+        yield from apart
+        apart.clear()
+    yield from apart
 
 
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +269,40 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*edge_rows([tuple(state[:5])]), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32()))], names=names)
 
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """Nonbranching paths: ``source``, ``at`` (of the first edge), ``length`` in edges."""
-    order = "OVER (PARTITION BY source ORDER BY at)"
-    linked = edges.where("n IS NOT NULL").selectExpr(
-        "source", "at", f"coalesce(lag(at) {order} = at - 1 AND lag(here) {order} = before AND lag(n) {order} = n, false) AS linked"
+def whole_edges(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (source, at, n, here, before) and their occurrences (source, at, docs, places), hot ones put together."""
+    sums = rows.where("key IS NOT NULL AND n IS NOT NULL").groupBy("key").agg(
+        F.min(F.struct("source", "at")).alias("first"), F.max("top").alias("top"), F.sum("n").alias("n"), F.bit_xor("here").alias("here"), F.bit_xor("before").alias("before")
     )
-    numbered = linked.selectExpr("source", "at", f"sum(CASE WHEN linked THEN 0 ELSE 1 END) {order} AS path")
-    return numbered.groupBy("source", "path").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("length")).drop("path")
+    sums = scratch.settle(sums.where("first.source <> top").select("key", "first.source", "first.at", "n", "here", "before"), "hot_edges")
+    edge, place = ["source", "at", "n", "here", "before"], ["source", "at", "docs", "places"]
+    hot = rows.where("key IS NOT NULL AND docs IS NOT NULL").select("key", "docs", "places").join(sums.select("key", "source", "at"), "key")
+    own = rows.where("key IS NULL")
+    return own.where("n IS NOT NULL").select(*edge).unionAll(sums.select(*edge)), own.where("docs IS NOT NULL").select(*place).unionAll(hot.select(*place))
+
+
+def compacted(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """Nonbranching paths: ``source``, ``at`` (of the first edge), ``length`` in edges.
+
+    Pieces of a path are joined two by two: in each round a piece that is linked with what
+    comes before it, and begins at an odd multiple of the width, is added to the piece that
+    ends there. The width doubles from round to round, and at least half of what is left of
+    a path goes in each.
+    """
+    named = edges.select("source", "at", F.xxhash64("here", "n").alias("here"), F.xxhash64("before", "n").alias("before"))
+    previous = named.select("source", (F.col("at") + 1).alias("at"), F.col("here").alias("there"))
+    linked = named.select("source", "at", "before").join(previous, ["source", "at"], "left")
+    pieces = linked.select("source", "at", (F.col("at") + 1).alias("stop"), F.coalesce(F.col("there") == F.col("before"), F.lit(False)).alias("linked"))
+    width, turn = 1, 0
+    pieces = scratch.settle(pieces, "pieces_0")
+    while not pieces.where("linked").isEmpty():
+        goes = F.col("linked") & (F.col("at") % (2 * width) == width)
+        added = pieces.where(goes).select("source", F.col("at").alias("stop"), F.col("stop").alias("further"))
+        grown = pieces.where(~goes).join(added, ["source", "stop"], "left")
+        width, turn = 2 * width, turn + 1
+        pieces = scratch.settle(grown.select("source", "at", F.coalesce("further", "stop").alias("stop"), "linked"), f"pieces_{turn}")
+        scratch.drop(f"pieces_{turn - 1}")
+    return pieces.select("source", "at", (F.col("stop") - F.col("at")).alias("length"))
 
 
 def _digest(words: list[bytes], start: int, length: int, k: int) -> bytes:
@@ -238,26 +332,26 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, k: int = WINDOW_WORDS, q:
 
     ``texts``: ``doc`` (long), ``text``.
     """
-    spark = texts.sparkSession
-    large_batches(spark)  # of anchors and edges; texts come in the batches of the reader
-    anchors = texts.mapInArrow(_anchors(k, q), "key long, doc long, pos int")
-    several = anchors.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_in_several, "doc long, pos int")
-    several = scratch.settle(several, "anchors")
+    spark, deal = texts.sparkSession, not ids_repeat(texts)
+    anchors = texts.mapInArrow(_anchors(k, q, deal), "key long, salt int, doc long, pos int")
+    several = anchors.repartition("key", "salt").sortWithinPartitions("key", "doc").mapInArrow(dealt(_in_several, ["doc", "pos"]), "doc long, pos int")
+    several = scratch.settle(several, "anchors", NUMBER_ROWS)  # texts are held to some bytes a batch by their own passes
     held = several.groupBy("doc").agg(F.collect_list("pos").alias("held"))
-    met = texts.join(held.hint("merge"), "doc").mapInArrow(_edges(k, q), "key long, doc long, pos int")
-    edges = scratch.settle(met.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_sources, EDGE_ROW), "edges")
+    met = texts.join(held.hint("merge"), "doc").mapInArrow(_edges(k, q, deal), "key long, salt int, mark int, doc long, pos int")
+    ordered = met.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("mark"), "doc", "pos")
+    rows = scratch.settle(ordered.mapInArrow(_edge_rows, EDGE_ROW), "edges", NUMBER_ROWS)
     scratch.drop("anchors")
-    paths = scratch.settle(compacted(edges), "paths")
-    small_batches(spark)
+    edges, occurrences = whole_edges(scratch, rows)
+    paths = compacted(scratch, edges)
     per_source = paths.groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct("at", "length")).alias("paths"))
     told = texts.join(per_source.hint("merge"), "doc").mapInArrow(_source_digests(k), "source long, at int, length int, digest binary")
     told = scratch.settle(told, "digests")
-    starts = told.join(edges.where("docs IS NOT NULL").select("source", "at", "docs", "places"), ["source", "at"])
-    starts = starts.select("length", "digest", "docs", "places").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    starts = starts.select("length", "digest", F.explode(F.arrays_zip("docs", "places")).alias("o"))
+    starts = told.join(occurrences, ["source", "at"]).select("source", "length", "digest", "docs", "places")
+    starts = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    starts = starts.select("source", "length", "digest", F.explode(F.arrays_zip("docs", "places")).alias("o")).where("o.docs <> source")
     spans = starts.groupBy(F.col("o.docs").alias("doc")).agg(F.collect_list(F.struct(F.col("o.places").alias("start"), "length", "digest")).alias("spans"))
     spans = scratch.settle(spans, "spans")
-    scratch.drop("edges", "paths", "digests")
+    scratch.drop("edges", "hot_edges", "digests")
     return spans
 
 
