@@ -18,8 +18,13 @@ Exact matching follows among leads of one rank: the strings of a lead overlap in
 stretch of text. If two stretches are equal, all their strings are; where leads of one rank
 have different stretches, their strings are compared one by one, each stretch once.
 
+What stands in many documents of one batch is hot: it is known to repeat before anything
+is shuffled, so the rows of two documents stay with their rank, stretch or string, for
+others to meet, and the rest are dealt to many tasks.
+
 Nulls are empty texts. Rows without an id lose and match nothing. Matches never cross rows; rows that repeat an id are one place each
-time they agree. Strings are told apart by 64-bit hashes.
+time they agree. Ranks are named by 64-bit hashes, as ranks that fall together only cost
+comparisons; stretches and strings are told apart by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, Scratch, large_batches, mixed, sliding, small_batches, table
+from lodestone.llm.common import NUMBER_ROWS, Powers, Scratch, dealt, hot_rows, ids_repeat, mixed, salts, sliding, small_batches, table, text_groups
 
 LENGTH = 400
 GRAM = 16
 STRETCH = 72
 FIRST = 2  #: phrases of the first ranks
+GROUP = 1_000_000  #: bytes of texts that a task holds at a time
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -65,10 +71,10 @@ def phrases(raw: bytes, powers: Powers, length: int, gram: int, stretch: int) ->
     return double, first[:-2], count[:-2], ranked[:-2]
 
 
-def _leads(length: int, gram: int, stretch: int):
+def _leads(length: int, gram: int, stretch: int, deal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in text_groups(batches, GROUP):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
@@ -80,13 +86,27 @@ def _leads(length: int, gram: int, stretch: int):
                 for column, values in zip(out, (names.view(np.int64), np.full(len(names), doc, np.int64), np.arange(len(names), dtype=np.int32), place), strict=True):
                     column.append(values[keep])
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc", "idx", "place"])
+                rank, doc, idx, place = (np.concatenate(c) for c in out)
+                salt = salts(hot_rows(rank, doc, 2) if deal else np.zeros(len(rank), bool), doc)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rank, salt, doc, idx, place)], names=["rank", "salt", "doc", "idx", "place"])
+
+    return run
+
+
+def _salted(deal: bool):
+    """Add ``salt`` behind the first column, the key; the second is the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            salt = salts(hot_rows(key, doc, 2) if deal else np.zeros(len(key), bool), doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt), *batch.columns[1:]], names=[batch.schema.names[0], "salt", *batch.schema.names[1:]])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column and then all others, those that share its value, each once."""
+def _repeated(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first ``keys`` columns and then all others, those that share these values, each once."""
     held: list[np.ndarray] | None = None
     held_same = False
     names: list[str] = []
@@ -100,7 +120,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(now[0]), dtype=bool)
         fresh[1:] = np.any([c[1:] != c[:-1] for c in now], axis=0)
         now = [c[fresh] for c in now]
-        same = now[0][1:] == now[0][:-1]
+        same = np.all([c[1:] == c[:-1] for c in now[:keys]], axis=0)
         keep = np.zeros(len(now[0]), dtype=bool)
         keep[1:] |= same
         keep[:-1] |= same
@@ -115,15 +135,16 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RANKED = "rank long, doc long, idx int, place long, done int"
 
 
-def ranked_leads(scratch: Scratch, leads: DataFrame) -> DataFrame:
+def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> DataFrame:
     """``rank``, ``doc``, ``place`` of the leads whose text repeats, by doubling."""
 
+    names = [c.split(" ")[0] for c in RANKED.split(", ")]
+
     def reranked(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.select("rank", "doc", "idx", "place", "done")
-        ordered = rows.repartition("rank").sortWithinPartitions("rank", "doc", "idx", "place", "done")
-        return scratch.settle(ordered.mapInArrow(_repeated, RANKED), name)
+        ordered = rows.repartition("rank", "salt").sortWithinPartitions(*names)
+        return scratch.settle(ordered.mapInArrow(dealt(_repeated, names), RANKED), name, NUMBER_ROWS)
 
-    current = reranked(leads.withColumn("done", F.lit(0)), "rank_0")
+    current = reranked(leads.select("rank", "salt", "doc", "idx", "place", F.lit(0).alias("done")), "rank_0")
     offset, done = FIRST, []
     while True:
         # a lead to be ranked over fewer than two lengths more is done with the pair that overlaps
@@ -136,7 +157,7 @@ def ranked_leads(scratch: Scratch, leads: DataFrame) -> DataFrame:
         pairs = onward.join(partner, ["doc", "then"]).select(
             F.xxhash64("rank", "next", F.when(F.col("over"), phrases_to).otherwise(F.lit(-offset))).alias("rank"), "doc", "idx", "place", F.col("over").cast("int").alias("done")
         )
-        following = reranked(pairs, f"rank_{2 * offset}")
+        following = reranked(pairs.mapInArrow(_salted(deal), RANKED.replace(",", ", salt int,", 1)), f"rank_{2 * offset}")
         scratch.drop("rank_0")
         done.append(following.where("done = 1").select("rank", "doc", "place"))
         current, offset = following, 2 * offset
@@ -148,12 +169,25 @@ def ranked_leads(scratch: Scratch, leads: DataFrame) -> DataFrame:
     return out
 
 
-def _stretches(length: int):
-    """The stretch of text of each lead: rank, hash of the stretch, doc, first string, number of strings."""
+REPEATED, OPEN = 1, 2  #: known of a stretch before it is shuffled
+
+
+def _known(rank: np.ndarray, stretch: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """What a batch shows of its own stretches: REPEATED for hot stretches, OPEN where a rank has many; 0 for two of each and for the rest."""
+    kind = mixed(rank.view(np.uint64) * np.uint64(_FACTOR) + stretch.view(np.uint64)).view(np.int64)
+    out = np.where(hot_rows(kind, docs, 2), REPEATED, 0)
+    left = np.flatnonzero(out == 0)
+    out[left[hot_rows(rank[left], kind[left], 2)]] = OPEN
+    return out
+
+
+def _stretches(length: int, deal: bool):
+    """The stretch of text of each lead: rank, hash of the stretch in halves, doc, first string, number of strings."""
+    names = ["rank", "salt", "known", "stretch", "half", "doc", "first", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, ranks, hashes, firsts, counts = [], [], [], [], []
+        for batch in text_groups(batches, GROUP):
+            docs, ranks, firsts, counts, pieces = [], [], [], [], []
             held = batch.column(2)
             ends = np.cumsum(held.value_lengths().to_numpy())
             rank, place = (held.flatten().field(k).to_numpy() for k in (0, 1))
@@ -167,18 +201,39 @@ def _stretches(length: int):
                 ranks.append(rank[own][fits])
                 firsts.append(first[own][fits])
                 counts.append(count[own][fits])
-                hashes += [xxhash.xxh3_64_intdigest(raw[x:y]) >> 1 for x, y in zip(firsts[-1].tolist(), end[own][fits].tolist(), strict=True)]
-            if not docs:
+                pieces += [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(firsts[-1].tolist(), end[own][fits].tolist(), strict=True)]
+            if not pieces:
                 continue
             docs, ranks, firsts, counts = (np.concatenate(x) for x in (docs, ranks, firsts, counts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ranks, pa.int64()), pa.array(hashes, pa.int64()), pa.array(docs, pa.int64()), pa.array(firsts.astype(np.int32)), pa.array(counts.astype(np.int32))],
-                names=["rank", "stretch", "doc", "first", "n"],
-            )
+            both = np.frombuffer(b"".join(pieces), np.int64).reshape(-1, 2)
+            stretch, half = both[:, 0].copy(), both[:, 1].copy()
+            known = _known(ranks, stretch, docs) if deal else np.zeros(len(docs), np.int64)
+            columns = [ranks, salts(known > 0, docs), known.astype(np.int32), stretch, half, docs, firsts.astype(np.int32), counts.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_sorted_out`` of stretches of which nothing is known; for the others ``open`` is what is."""
+    names = ["doc", "first", "n", "open"]
+    apart: list[pa.RecordBatch] = []
+
+    def together() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column("known").to_numpy()
+            some = np.flatnonzero(known)
+            part = batch.take(pa.array(some)).select(names[:3])
+            apart.append(pa.RecordBatch.from_arrays([*part.columns, pa.array((known[some] == OPEN).astype(np.int32))], names=names))
+            yield batch.take(pa.array(np.flatnonzero(known == 0))).select(["rank", "stretch", "half", "doc", "first", "n"])
+
+    for out in _sorted_out(together()):
+        yield out
+        yield from apart
+        apart.clear()
+    yield from apart
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of stretches sorted by rank and stretch: repeated ones (open = 0), and one of each kind where a rank has several (open = 1)."""
     names = ["doc", "first", "n", "open"]
@@ -197,9 +252,9 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
         fresh = np.ones(len(now[0]), dtype=bool)
         fresh[1:] = np.any([c[1:] != c[:-1] for c in now], axis=0)
-        rank, stretch, doc, first, n = (c[fresh] for c in now)
+        rank, stretch, half, doc, first, n = (c[fresh] for c in now)
         same_rank = np.concatenate([[held is not None], rank[1:] == rank[:-1]])
-        same = np.concatenate([[held_same], (rank[1:] == rank[:-1]) & (stretch[1:] == stretch[:-1])])
+        same = np.concatenate([[held_same], (rank[1:] == rank[:-1]) & (stretch[1:] == stretch[:-1]) & (half[1:] == half[:-1])])
         new = same_rank & ~same  # a further stretch of a rank
         new[0] = held_new
         repeated = same.copy()
@@ -221,7 +276,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead = None
         if extra:
             yield rows(*zip(*extra, strict=True), 1)
-        held, held_same, held_new = [c[-1:] for c in (rank, stretch, doc, first, n)], bool(same[-1]), bool(new[-1])
+        held, held_same, held_new = [c[-1:] for c in (rank, stretch, half, doc, first, n)], bool(same[-1]), bool(new[-1])
         repeated_last = bool(repeated[-1])
         repeated[-1] = new[-1] = False
         yield rows(doc[repeated], first[repeated], n[repeated], 0)
@@ -229,56 +284,58 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_same = repeated_last
     if held is not None:
         if held_same:
-            yield rows(*held[2:], 0)
+            yield rows(*held[3:], 0)
         if held_new:
-            yield rows(*held[2:], 1)
+            yield rows(*held[3:], 1)
 
 
-def _strings(length: int):
-    """Every string of the open stretches: hash, doc, place."""
-    names = ["hash", "doc", "first"]
+def _strings(length: int, deal: bool):
+    """Every string of the open stretches: hash in halves, doc, place."""
+    names = ["hash", "salt", "half", "doc", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_groups(batches, GROUP):
+            hashes, docs, firsts = [], [], []
             for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
                 first, n = (held.values.field(k).to_numpy() for k in (0, 1))
                 places = np.concatenate([np.arange(f, min(f + m, len(raw) - length + 1)) for f, m in zip(first.tolist(), n.tolist(), strict=True)])
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(raw[at : at + length]) >> 1 for at in places.tolist()), np.int64, len(places))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(places), doc, dtype=np.int64)), pa.array(places.astype(np.int32))], names=names)
+                hashes += [xxhash.xxh3_128_digest(raw[at : at + length]) for at in places.tolist()]
+                docs.append(np.full(len(places), doc, dtype=np.int64))
+                firsts.append(places.astype(np.int32))
+            if not hashes:
+                continue
+            both, doc = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2), np.concatenate(docs)
+            one, two = both[:, 0].copy(), both[:, 1].copy()
+            salt = salts(hot_rows(one, doc, 2) if deal else np.zeros(len(doc), bool), doc)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (one, salt, two, doc, np.concatenate(firsts))], names=names)
 
     return run
 
 
+def _same_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _repeated(batches, 2)
+
+
 def repeated_strings(scratch: Scratch, texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc``, ``spans``: strings that occur elsewhere, by the place of the first (times 2 ** 16) and their number. ``texts``: ``doc``, ``text``."""
-    spark = texts.sparkSession
-    large_batches(spark)
-    leads = texts.mapInArrow(_few(_leads(length, GRAM, STRETCH)), "rank long, doc long, idx int, place long")
-    ranked = ranked_leads(scratch, leads)
+    deal = not ids_repeat(texts)
+    leads = texts.mapInArrow(_leads(length, GRAM, STRETCH, deal), "rank long, salt int, doc long, idx int, place long")
+    ranked = ranked_leads(scratch, leads, deal)
     per_doc = ranked.groupBy("doc").agg(F.collect_list(F.struct("rank", "place")).alias("leads"))
-    stretches = texts.join(per_doc.hint("merge"), "doc").select("doc", "text", "leads").mapInArrow(_few(_stretches(length)), "rank long, stretch long, doc long, first int, n int")
-    stretches = stretches.repartition("rank").sortWithinPartitions("rank", "stretch", "doc", "first", "n")
-    found = scratch.settle(stretches.mapInArrow(_sorted_out, "doc long, first int, n int, open int"), "stretches")
+    row = "rank long, salt int, known int, stretch long, half long, doc long, first int, n int"
+    stretches = texts.join(per_doc.hint("merge"), "doc").select("doc", "text", "leads").mapInArrow(_stretches(length, deal), row)
+    stretches = stretches.repartition("rank", "salt").sortWithinPartitions("rank", "stretch", "half", "doc", "first", "n")
+    found = scratch.settle(stretches.mapInArrow(_told, "doc long, first int, n int, open int"), "stretches", NUMBER_ROWS)
     still_open = found.where("open = 1").groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("held"))
-    strings = texts.join(still_open.hint("merge"), "doc").select("doc", "text", "held").mapInArrow(_few(_strings(length)), "hash long, doc long, first int")
-    strings = strings.repartition("hash").sortWithinPartitions("hash", "doc", "first").mapInArrow(_repeated, "hash long, doc long, first int")
-    strings = scratch.settle(strings.select("doc", "first", F.lit(1).alias("n")), "strings")
+    strings = texts.join(still_open.hint("merge"), "doc").select("doc", "text", "held").mapInArrow(_strings(length, deal), "hash long, salt int, half long, doc long, first int")
+    strings = strings.repartition("hash", "salt").sortWithinPartitions("hash", "half", "doc", "first")
+    strings = strings.mapInArrow(dealt(_same_strings, ["hash", "half", "doc", "first"]), "hash long, half long, doc long, first int")
+    strings = scratch.settle(strings.select("doc", "first", F.lit(1).alias("n")), "strings", NUMBER_ROWS)
     every = found.where("open = 0").select("doc", "first", "n").unionAll(strings)
     return scratch.settle(every.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16) + F.col("n")).alias("spans")), "spans")
 
 
-def _few(run, rows: int = 500):
-    """``run`` over batches of at most ``rows`` rows."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield batch.slice(start, rows)
-
-    return lambda batches: run(cut(batches))
-
-
 def _keep(length: int, text_at: int, spans_at: int):
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
 

@@ -50,12 +50,12 @@ def test_passes(size, seed):
     assert {r[:5] for r in got if r[2] is not None} == edges
     assert {(r[0], r[1], d, p) for r in got if r[5] for d, p in zip(r[5], r[6], strict=True)} == later
 
-    rows = sorted((rng.randint(0, 6), rng.randint(0, 3), rng.randint(0, 9), rng.randint(0, 4), 2) for _ in range(50))
+    rows = sorted((rng.randint(0, 6), rng.randint(0, 1), rng.randint(0, 1), rng.randint(0, 9), rng.randint(0, 4), 2) for _ in range(50))
     kept = sorted(set(rows))
-    got = out_rows(suffix_dedup._sorted_out(batches(rows, [i64, i64, i64, i32, i32], ["rank", "stretch", "doc", "first", "n"], size)))
-    want = sorted((d, f, n, 0) for r, s, d, f, n in kept if sum((r, s) == q[:2] for q in kept) > 1)
+    got = out_rows(suffix_dedup._sorted_out(batches(rows, [i64, i64, i64, i64, i32, i32], ["rank", "stretch", "half", "doc", "first", "n"], size)))
+    want = sorted((d, f, n, 0) for r, s, h, d, f, n in kept if sum((r, s, h) == q[:3] for q in kept) > 1)
     for r in {q[0] for q in kept}:
-        kinds = sorted({q[1] for q in kept if q[0] == r})
+        kinds = sorted({q[1:3] for q in kept if q[0] == r})
         if len(kinds) > 1:
-            want += [(*next(q for q in kept if q[:2] == (r, s))[2:], 1) for s in kinds]
+            want += [(*next(q for q in kept if q[:3] == (r, *s))[3:], 1) for s in kinds]
     assert sorted(got) == sorted(want)
