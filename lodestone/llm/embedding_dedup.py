@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components, large_batches, table
+from lodestone.llm.common import NUMBER_ROWS, Scratch, components, let, table
 
 LIMIT = 0.9
 RECALL = 0.997
 #: Bound of the sample that rotations are learnt on.
 SAMPLE_ROWS = 10_000
 KEY_SPARE = 4  #: keys are so many bits shorter than the number of vectors is long
-LEAST_KEY, MOST_KEY = 6, 24
+LEAST_KEY, MOST_KEY = 6, 32
 ROUNDS = 25
 MARGIN = 1e-9
 LEAST_BALL = 32  #: vectors; the members of smaller balls stand alone, as their few pairs cost less than a radius
@@ -95,8 +95,14 @@ def _coded(codes: Codes, r: np.ndarray):
     return run
 
 
-def dot(x: str, y: str) -> Column:
-    return F.expr(f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), 0D, (s, p) -> s + p)")
+def dot(x: Column | str, y: Column | str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+
+
+def unit(v: Column) -> Column:
+    """A vector of length one; scaled first so that squares neither vanish nor overflow."""
+    scaled = lambda most: F.transform(v, lambda x: x / most)
+    return let(F.array_max(F.transform(v, F.abs)), lambda most: let(scaled(most), lambda u: let(F.sqrt(dot(u, u)), lambda norm: F.transform(u, lambda x: x / norm))))
 
 
 def _degrees(cosine: Column) -> Column:
@@ -109,14 +115,14 @@ def _hamming(x: str, y: str, words: int) -> Column:
 
 def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", limit: float = LIMIT) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors``."""
-    spark = vectors.sparkSession
-    large_batches(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("row"), F.col(embedding).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v")))
     lengths = [r.d for r in rows.where("v IS NOT NULL").select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     out = reduce(DataFrame.unionAll, [linked_vectors(rows.where(F.size("v") == d), d, limit) for d in lengths or [1]])
-    found = rows.join(out, "v", "left")
+    # rows without a vector meet nothing and don't travel
+    found = rows.where("v IS NOT NULL").join(out, "v", "left").select("row", "n_links", "component_id")
+    found = found.unionAll(rows.where("v IS NULL").select("row", F.lit(None).cast("long"), F.lit(None).cast("long")))
     return found.select(
         F.col("row").alias(vec_id),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -131,17 +137,14 @@ def linked_vectors(rows: DataFrame, d: int, limit: float) -> DataFrame:
     scratch = Scratch(spark, "vectors")
     half = math.acos(limit) / 2
     wide = math.degrees(2 * half)
-    # scaled first so that squares neither vanish nor overflow
-    scaled = F.expr("transform(v, x -> x / array_max(transform(v, y -> abs(y))))")
-    kinds = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("id"), F.count("*").alias("weight")).withColumn("u", scaled)
-    kinds = kinds.withColumn("norm", F.sqrt(dot("u", "u"))).select("id", "weight", "v", F.expr("transform(u, x -> x / norm)").alias("unit"))
-    kinds = scratch.settle(kinds, "kinds")
+    kinds = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("id"), F.count("*").alias("weight"))
+    kinds = scratch.settle(kinds.select("id", "weight", "v", unit(F.col("v")).alias("unit")), "kinds")
     units = kinds.select("id", "unit")
     n = kinds.count()
     sample = [r.unit for r in units.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).collect()]
     codes = Codes(n, d, limit)
     r = rotations(np.array(sample).reshape(len(sample), d), codes.count)
-    coded = scratch.settle(units.mapInArrow(_coded(codes, r), "id long, keys array<int>, code array<bigint>"), "codes")
+    coded = scratch.settle(units.mapInArrow(_coded(codes, r), "id long, keys array<int>, code array<bigint>"), "codes", NUMBER_ROWS)
     entries = coded.select("id", "code", F.posexplode("keys").alias("t", "key"))
 
     # balls: around the first vector of a bucket, for those within half the angle of it
@@ -152,7 +155,8 @@ def linked_vectors(rows: DataFrame, d: int, limit: float) -> DataFrame:
     measured = close.join(units, "id").join(units.select(F.col("id").alias("centre"), F.col("unit").alias("c_unit")), "centre").withColumn("cosine", dot("unit", "c_unit"))
     joined = measured.where(F.col("cosine") >= math.cos(half) + MARGIN).groupBy("id").agg(F.min(F.struct("centre", "cosine")).alias("b"))
     joined = joined.select("id", "b.centre", "b.cosine")
-    large = joined.groupBy("centre").count().where(F.col("count") >= LEAST_BALL).select("centre")
+    joined = scratch.settle(joined, "joined")
+    large = scratch.settle(joined.groupBy("centre").count().where(F.col("count") >= LEAST_BALL).select("centre"), "large")
     balls = kinds.select("id", "weight").join(joined.join(large, "centre"), "id", "left")
     balls = balls.select("id", "weight", F.coalesce("centre", "id").alias("ball"), F.when(F.col("cosine").isNotNull(), _degrees(F.col("cosine"))).otherwise(F.lit(0.0)).alias("off"))
     balls = scratch.settle(balls, "balls")
@@ -179,7 +183,8 @@ def linked_vectors(rows: DataFrame, d: int, limit: float) -> DataFrame:
     linked = components(scratch, links.select("a", "b").distinct().unionAll(pairs.where("every").select("a", "b")))
     named = sizes.join(linked.withColumnRenamed("id", "ball"), "ball", "left").withColumn("component", F.coalesce("component", "ball"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = balls.join(named.join(least, "component").select("ball", "ball_weight", "component_id"), "ball").join(counted, "ball", "left").join(single, "id", "left")
+    of_ball = scratch.settle(named.join(least, "component").select("ball", "ball_weight", "component_id").join(counted, "ball", "left"), "of_ball")
+    out = balls.join(of_ball, "ball").join(single, "id", "left")
     out = out.select("id", (F.col("ball_weight") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("n_links"), "component_id")
     return scratch.settle(out.join(kinds.select("id", "v"), "id").select("v", "n_links", "component_id"), "out")
 
