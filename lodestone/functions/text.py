@@ -108,6 +108,34 @@ def html_unescape(text: Column) -> Column:
     return text
 
 
+# Slips of extraction in titles, and the phrase of a title that is right as it stands.
+TITLE_SLIPS = [("VA/DOD", "VA/DoD"), ("DIAGNOSI S", "DIAGNOSIS")]
+GUIDELINE = r"(?i)CLINICAL PRACTICE GUIDELINE(?!S)\b"
+
+
+def guideline_title(title: Column, headings: Column) -> Column:
+    """A title without slips; the first heading that names a guideline where the title doesn't; capitals where one does."""
+
+    def mended(t: Column) -> Column:
+        t = html_unescape(t)
+        for slip, right in TITLE_SLIPS:
+            t = F.replace(t, F.lit(slip), F.lit(right))
+        return t
+
+    named = F.get(F.filter(F.transform(headings, mended), lambda h: F.rlike(h, F.lit(GUIDELINE))), F.lit(0))
+    own = mended(title)
+    chosen = F.when(F.rlike(own, F.lit(GUIDELINE)), own).otherwise(F.coalesce(named, own))
+    slip, right = TITLE_SLIPS[0]
+    return F.when(F.rlike(chosen, F.lit(GUIDELINE)), F.replace(F.upper(chosen), F.lit(slip), F.lit(right))).otherwise(chosen)
+
+
+def chunker_label(params: Column) -> Column:
+    """``method-size-overlap`` of a chunker's parameters, written as a literal with single or double quotes; null if one is missing."""
+    value = lambda name: F.nullif(F.regexp_extract(params, rf"""['"]{name}['"]\s*:\s*['"]?([^'",}}\s]+)""", 1), F.lit(""))
+    parts = [value(name) for name in ("chunk_method", "chunk_size", "chunk_overlap")]
+    return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2])
+
+
 def html_to_markdown(html: Column) -> Column:
     """Main text of a page: no scripts or styles, ``main`` before ``article`` before ``body``, headings as ``#``."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", "")

@@ -1,0 +1,43 @@
+"""Byte-pair tokens by a vocabulary of ranks; the vocabulary file and the pattern that cuts texts are parameters."""
+
+from __future__ import annotations
+
+import base64
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Fixed value: the pattern by which the default encoding cuts texts before it merges bytes.
+CL100K_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+_loaded: dict[tuple[str, str], object] = {}
+
+
+def encoder(vocabulary: str, pattern: str = CL100K_PATTERN):
+    """The encoder of a vocabulary file (lines of a token in base 64 and its rank), loaded once a process."""
+    import tiktoken
+
+    key = (vocabulary, pattern)
+    if key not in _loaded:
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        _loaded[key] = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[key]
+
+
+def token_ids(vocabulary: str, pattern: str = CL100K_PATTERN):
+    """A function of a text column that gives its token ids; nulls have none."""
+
+    @F.pandas_udf("array<int>")
+    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = encoder(vocabulary, pattern)
+        for part in texts:
+            yield part.map(lambda t: bpe.encode_ordinary(t or ""))
+
+    return ids
+
+
+def token_count(text: Column, vocabulary: str, pattern: str = CL100K_PATTERN) -> Column:
+    return F.size(token_ids(vocabulary, pattern)(text))

@@ -36,6 +36,15 @@ def active_recipe(sources: DataFrame, indexes: DataFrame, recipes: DataFrame) ->
     return sources.select("slug", "active_index").join(i, "active_index").join(r, "recipe_id").select("slug", "location", "version", "model", "url")
 
 
+def recipe_attributes(sources: DataFrame, indexes: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``slug``, ``github_repo``, ``embedding_model`` of each source, as its active index's recipe has them; null where any of it is missing."""
+    i = indexes.select(F.col("id").alias("active_index"), "recipe_id")
+    content = F.from_json("content", "github_repo string, embedding struct<model: string>")
+    r = recipes.select(F.col("id").alias("recipe_id"), content.alias("c"))
+    joined = sources.select("slug", "active_index").join(i, "active_index", "left").join(r, "recipe_id", "left")
+    return joined.select("slug", F.col("c.github_repo").alias("github_repo"), F.col("c.embedding.model").alias("embedding_model"))
+
+
 def endpoint_health(recipes: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Health of each recipe's model: null without a model, ``unknown`` where it is not registered; and the url to call."""
     e = endpoints.select(F.col("model_name").alias("model"), F.col("url").alias("registered"), F.col("status").alias("health"))
@@ -74,6 +83,19 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str, update: list[str]) -
     return changed.unionByName(incoming.join(table, key, "left_anti"), allowMissingColumns=True)
 
 
+def annotate(chunks: DataFrame, notes: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks with all notes on them (``note``, ``at``), oldest first; texts and vectors stay as they are."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: x["note"])
+    return chunks.join(notes.groupBy(key).agg(listed.alias("notes")), key, "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+
+
+def audit_records(writes: DataFrame, sources: DataFrame, indexes: DataFrame, recipes: DataFrame) -> DataFrame:
+    """One record for each write (``request_id``, ``sub``, ``slug``, ``mode``, ``item_id``): who wrote which items, by which recipe version."""
+    version = active_recipe(sources, indexes, recipes).select("slug", F.col("version").alias("recipe_version"))
+    items = F.array_sort(F.collect_set("item_id"))
+    return writes.groupBy("request_id", "sub", "slug", "mode").agg(items.alias("item_ids")).join(version, "slug", "left")
+
+
 def insert_if_absent(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return table.unionByName(incoming.join(table, key, "left_anti"), allowMissingColumns=True)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import CAPTIONS, HEADING_TYPES, tokens
+from lodestone.functions.tokenizer import CL100K_PATTERN, encoder, token_ids
 from lodestone.functions.vector import l2_normalize
 
 # Sections of articles that are not chunked, folders that hold no sources.
@@ -50,6 +51,28 @@ def fixed_windows(docs: DataFrame, size: int = 512, overlap: int = 64, text: str
     return cut.withColumn("_part", part).withColumn("chunk_text", F.array_join("_part", " ")).withColumn("chunk_tokens", F.size("_part")).drop("_t", "_part", text)
 
 
+def bpe_windows(docs: DataFrame, vocabulary: str, size: int = 512, overlap: int = 64, text: str = "text", pattern: str = CL100K_PATTERN) -> DataFrame:
+    """Sliding windows of byte-pair tokens, as ``fixed_windows``; a window that cuts a character shows a replacement mark there.
+
+    Ids are made in Arrow batches; windows are cut from them as expressions, and only the
+    windows' own ids are decoded.
+    """
+    _check(size, overlap)
+    stride = size - overlap
+
+    @F.pandas_udf("string")
+    def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = encoder(vocabulary, pattern)
+        for part in ids:
+            yield part.map(lambda x: bpe.decode(x.tolist(), errors="replace"))
+
+    t = docs.withColumn("_t", token_ids(vocabulary, pattern)(F.col(text))).where(F.size("_t") > 0)
+    last = F.greatest(F.ceil((F.size("_t") - size) / stride), F.lit(0)).cast("int")
+    cut = t.drop(text).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
+    cut = cut.withColumn("_part", F.slice("_t", F.col("chunk_index") * stride + 1, F.lit(size))).drop("_t")
+    return cut.withColumn("chunk_text", decoded("_part")).withColumn("chunk_tokens", F.size("_part")).drop("_part")
+
+
 def sweep(docs: DataFrame, configs: list[tuple[int, int]], text: str = "text") -> DataFrame:
     """Fixed windows of several (size, overlap) in one pass over the corpus; adds ``size`` and ``overlap``."""
     for size, overlap in configs:

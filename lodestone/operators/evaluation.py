@@ -71,6 +71,13 @@ def ndcg(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return relevant.join(got, "qid", "left").select("qid", F.when(F.col("n_relevant") > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
+def latency_percentiles(calls: DataFrame, group: str, ms: str = "ms") -> DataFrame:
+    """Calls and exact p50, p95 and p99 of their latency for each group; calls without one don't count."""
+    share = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    out = calls.where(F.col(ms).isNotNull()).groupBy(group).agg(F.count("*").alias("calls"), share.alias("p"))
+    return out.select(group, "calls", *[F.round(F.get("p", F.lit(k)), 6).alias(name) for k, name in enumerate(("p50", "p95", "p99"))])
+
+
 def recall_at(results: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     hits = [F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias(f"h{k}") for k in ks]
     got = results.groupBy("qid").agg(*hits)

@@ -60,17 +60,46 @@ def resolve_scopes(requests: DataFrame) -> DataFrame:
     return requests.withColumn("granted", F.array_sort(granted)).withColumn("error", error)
 
 
-def token_claims(tokens: DataFrame, issuer: str, audience: str, now: int, skew: int = 30) -> DataFrame:
-    """Claims of unsigned parts of tokens (``token``) and why they don't pass; signatures are checked elsewhere."""
-    part = lambda k: F.decode(F.unbase64(F.translate(F.get(F.split("token", r"\."), F.lit(k)), "-_", "+/")), "UTF-8")
-    body = part(1)
-    get = lambda k: F.get_json_object(body, f"$.{k}")
-    aud = F.coalesce(F.from_json(get("aud"), "array<string>", {"mode": "PERMISSIVE"}), F.array(get("aud")))
+# Claims of a token, and kinds of identity.
+CLAIMS = (
+    "iss string, aud string, exp bigint, nbf bigint, iat bigint, jti string, sub string, scope string, "
+    "rh_identity_kind string, rh_identity_groups string, rh_tenant string, rh_request_id string, rh_caller_app string"
+)
+KINDS = ["user", "agent", "service", "client"]
+
+
+def token_claims(tokens: DataFrame, issuer: str, audience: str, now: int, keys: list[str], skew: int = 30) -> DataFrame:
+    """The identity that each ``token`` carries and the first reason why it doesn't pass, in the order of the checks.
+
+    Signatures are checked elsewhere; ``keys`` are the ids of known keys. The columns of an
+    identity are null where there is an error.
+    """
+    text = lambda k: F.translate(F.get(F.split("token", r"\."), F.lit(k)), "-_", "+/")
+    padded = lambda k: F.rpad(text(k), (F.ceil(F.length(text(k)) / 4) * 4).cast("int"), "=")
+    part = lambda k: F.try_to_binary(padded(k), F.lit("base64")).cast("string")
+    t = tokens.withColumn("_head", part(0)).withColumn("_body", part(1))
+    t = t.withColumn("_key", F.from_json("_head", "kid string")["kid"]).withColumn("_c", F.from_json("_body", CLAIMS))
+    c = lambda name: F.col(f"_c.{name}")
+    listed = lambda name: F.startswith(F.trim(c(name)), F.lit("["))
+    several = F.from_json(c("aud"), "array<string>")
+    heard = F.when(listed("aud"), F.array_contains(several, audience)).otherwise(c("aud") == audience)
     error = (
-        F.when(F.coalesce(get("iss"), F.lit("")) != issuer, "issuer")
-        .when(~F.coalesce(F.array_contains(aud, audience), F.lit(False)), "audience")
-        .when(F.coalesce(get("exp").cast("long"), F.lit(0)) + skew < now, "expired")
-        .when(F.coalesce(get("nbf").cast("long"), F.lit(0)) - skew > now, "not yet valid")
-        .when(~F.coalesce(get("kind"), F.lit("")).isin("user", "agent", "service", "client"), "kind")
+        F.when((F.size(F.split("token", r"\.")) != 3) | F.col("_key").isNull() | F.get_json_object("_body", "$").isNull(), "malformed")
+        .when(~F.col("_key").isin(keys), "unknown key")
+        .when(F.coalesce(c("iss"), F.lit("")) != issuer, "issuer")
+        .when(~F.coalesce(heard, F.lit(False)), "audience")
+        .when(c("exp").isNull(), "no expiry")
+        .when(F.lit(now) > c("exp") + skew, "expired")
+        .when(c("nbf") > now + skew, "not yet valid")
+        .when(~F.coalesce(c("rh_identity_kind").isin(KINDS), F.lit(False)), "kind")
+        .when(c("rh_identity_groups").isNotNull() & ~F.coalesce(listed("rh_identity_groups"), F.lit(False)), "groups")
+        .when(F.rlike(F.coalesce(c("scope"), F.lit("")), F.lit(r"^[\[{]")), "scope")
     )
-    return tokens.select("token_id", F.get_json_object(part(0), "$.alg").alias("alg"), get("sub").alias("subject"), F.array_join(F.array_sort(F.split(F.coalesce(get("scope"), F.lit("")), " ")), ",").alias("scopes"), error.alias("error"))
+    groups = F.coalesce(F.from_json(c("rh_identity_groups"), "array<string>"), F.array().cast("array<string>"))
+    scopes = F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(c("scope"), F.lit("")), r"\s+"), lambda x: x != "")))
+    shown = {
+        "subject": F.coalesce(c("sub"), F.lit("")), "kind": c("rh_identity_kind"), "groups": F.array_join(groups, ","), "scopes": F.array_join(scopes, ","),
+        "tenant": F.coalesce(c("rh_tenant"), F.lit("default")), "request_id": c("rh_request_id"), "caller_app": c("rh_caller_app"),
+        "jti": F.coalesce(c("jti"), F.lit("")), "issued_at": F.coalesce(c("iat"), F.lit(0)), "expires_at": c("exp"),
+    }
+    return t.withColumn("error", error).select("token_id", "error", *[F.when(F.col("error").isNull(), x).alias(name) for name, x in shown.items()])

@@ -41,6 +41,25 @@ def section(origins: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.unionByName(alone).withColumn("is_origin", F.col("chunk_index") == F.col("o_index")).drop("o_title", "o_section")
 
 
+def parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For hits on small chunks, the section that they stand in: ``qid``, its title, section, text, tokens, best score and number of hits.
+
+    Hits are gathered by section first, so that a section is put together once however many
+    of its chunks were hit; a chunk without a section is its own parent. ``hits``: ``qid``,
+    ``doc_title``, ``chunk_index``, ``score``.
+    """
+    place = lambda: F.when(F.nullif("doc_section", F.lit("")).isNotNull(), F.concat(F.lit("s"), "doc_section")).otherwise(F.concat(F.lit("c"), F.col("chunk_index").cast("string")))
+    placed = chunks.withColumn("_parent", place())
+    at = hits.join(placed.select("doc_title", "chunk_index", "_parent"), ["doc_title", "chunk_index"])
+    best = at.groupBy("qid", "doc_title", "_parent").agg(F.max("score").alias("score"), F.count("*").alias("hits"))
+    wanted = best.select("doc_title", "_parent").distinct()
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda x: x["chunk_text"])
+    text = placed.join(wanted, ["doc_title", "_parent"], "left_semi").groupBy("doc_title", "_parent").agg(
+        F.array_join(parts, "\n\n").alias("text"), F.sum("chunk_tokens").alias("tokens"), F.first("doc_section").alias("doc_section")
+    )
+    return best.join(text, ["doc_title", "_parent"]).drop("_parent")
+
+
 def related_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """``entity``, ``related``, ``pos``: one hop; edges marked bidirectional go both ways.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_REWRITES = 5
@@ -35,6 +35,36 @@ def offline_rewrite(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return swapped.groupBy("qid").agg(joined.alias("rewrite"), F.count("preferred").alias("replaced"))
 
 
+# What a prompt template must have.
+TEMPLATE_KEYS = ("name", "version", "system", "user")
+_templates: dict[str, dict[str, str]] = {}
+
+
+def load_template(spark: SparkSession, path: str) -> dict[str, str]:
+    """A prompt template in YAML, read once for each path; an error names the key that is missing."""
+    import yaml
+
+    if path not in _templates:
+        found = yaml.safe_load(spark.read.text(path, wholetext=True).first().value) or {}
+        for key in TEMPLATE_KEYS:
+            if key not in found:
+                raise ValueError(f"template {path} has no {key!r}")
+        _templates[path] = found
+    return _templates[path]
+
+
+def cache_key(*parts: str) -> Column:
+    """One key for a source, versions of template and metadata, a query and a context; nulls and empty texts differ."""
+    return F.sha2(F.to_json(F.struct(*[F.col(p) for p in parts]), {"ignoreNullFields": "false"}), 256)
+
+
+def with_cache(requests: DataFrame, cache: DataFrame, *parts: str) -> tuple[DataFrame, DataFrame]:
+    """Requests that the cache (``key``, ``answer``, ``stored``) answers, by its newest entry, and those still to be asked, each key once."""
+    keyed = requests.withColumn("key", cache_key(*parts))
+    newest = cache.groupBy("key").agg(F.max_by("answer", "stored").alias("answer"))
+    return keyed.join(newest, "key"), keyed.join(newest, "key", "left_anti").dropDuplicates(["key"])
+
+
 def bulleted(items: Column, limit: int, empty: str) -> Column:
     """Up to ``limit`` lines with a dash, then how many more there are; a phrase where there are none."""
     lines = F.array_join(F.transform(F.slice(items, 1, limit), lambda x: F.concat(F.lit("- "), x)), "\n")

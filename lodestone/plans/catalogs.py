@@ -149,16 +149,44 @@ def scope_resolve(spark, sf_dir):
     return policy.resolve_scopes(SCOPES.frame(spark)).select("id", F.array_join("granted", ",").alias("granted"), "error")
 
 
-@query("token_claims")
-def token_claims(spark, sf_dir):
+def _tokens() -> list[tuple[int, str]]:
+    """Tokens with one thing changed in each, and some that are none."""
     import base64
     import json
 
-    enc = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode()
-    base = {"iss": "me", "aud": ["hub"], "exp": 2000, "nbf": 900, "kind": "user", "sub": "ann", "scope": "b a"}
-    changed = [{}, {"iss": "you"}, {"aud": "hub"}, {"aud": "other"}, {"exp": 100}, {"nbf": 5000}, {"kind": "robot"}]
-    rows = [(k, f"{enc({'alg': 'RS256'})}.{enc(base | c)}.sig") for k, c in enumerate(changed)]
-    return policy.token_claims(spark.createDataFrame(rows, "token_id int, token string"), "me", "hub", 1000)
+    enc = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    base = {"iss": "me", "aud": ["hub"], "exp": 2000, "nbf": 900, "rh_identity_kind": "user", "sub": "ann", "scope": "b a", "rh_identity_groups": ["g"], "jti": "j", "iat": 5}
+    changed = [
+        {}, {"iss": "you"}, {"aud": "hub"}, {"aud": "other"}, {"aud": ["x"]}, {"exp": 100}, {"exp": 970}, {"exp": 969}, {"exp": None}, {"exp": "2000"}, {"nbf": 5000}, {"nbf": 1030}, {"nbf": 1031},
+        {"rh_identity_kind": "robot"}, {"rh_identity_kind": "agent", "rh_tenant": "t", "rh_request_id": "r", "rh_caller_app": "c"}, {"rh_identity_groups": "g"}, {"rh_identity_groups": None, "scope": None}, {"scope": ["a"]}, {"scope": " x  x y "},
+    ]
+    rows = [f"{enc({'alg': 'RS256', 'kid': 'k1'})}.{enc(base | c)}.sig" for c in changed]
+    rows += [f"{enc({'alg': 'RS256', 'kid': 'k9'})}.{enc(base)}.sig", f"{enc({'alg': 'RS256'})}.{enc(base)}.sig", "nonsense", f"{enc({'kid': 'k1'})}.{enc(base)}", "a.b.c", f"{enc({'kid': 'k1'})}.bm9uZQ.sig"]
+    return list(enumerate(rows))
+
+
+TOKENS = Fixture("tokens", "token_id int, token string", _tokens())
+_PART = "TRY(CAST(decode(from_base64(rpad(translate(p[{0}], '-_', '+/'), CAST(ceil(length(p[{0}]) / 4.0) * 4 AS INTEGER), '='))) AS JSON))"
+_CLAIM = lambda n: f"json_extract_string(j, '$.{n}')"
+_KIND_OF = lambda n: f"coalesce(json_type(j, '$.{n}'), 'NULL')"
+_WHOLE = lambda n: f"CASE WHEN {_KIND_OF(n)} IN ('UBIGINT', 'BIGINT') THEN CAST({_CLAIM(n)} AS BIGINT) END"
+_CLAIMS_ORACLE = f"""SELECT token_id, error, CASE WHEN error IS NULL THEN coalesce({_CLAIM('sub')}, '') END AS subject, CASE WHEN error IS NULL THEN {_CLAIM('rh_identity_kind')} END AS kind,
+  CASE WHEN error IS NULL THEN array_to_string(coalesce(CAST(j->'$.rh_identity_groups' AS VARCHAR[]), []), ',') END AS groups,
+  CASE WHEN error IS NULL THEN array_to_string(list_sort(list_distinct(list_filter(string_split_regex(coalesce({_CLAIM('scope')}, ''), '\s+'), lambda x: x <> ''))), ',') END AS scopes,
+  CASE WHEN error IS NULL THEN coalesce({_CLAIM('rh_tenant')}, 'default') END AS tenant, CASE WHEN error IS NULL THEN {_CLAIM('rh_request_id')} END AS request_id, CASE WHEN error IS NULL THEN {_CLAIM('rh_caller_app')} END AS caller_app,
+  CASE WHEN error IS NULL THEN coalesce({_CLAIM('jti')}, '') END AS jti, CASE WHEN error IS NULL THEN coalesce({_WHOLE('iat')}, 0) END AS issued_at, CASE WHEN error IS NULL THEN {_WHOLE('exp')} END AS expires_at
+FROM (SELECT *, CASE WHEN len(p) <> 3 OR json_extract_string(h, '$.kid') IS NULL OR j IS NULL THEN 'malformed' WHEN json_extract_string(h, '$.kid') NOT IN ('k1', 'k2') THEN 'unknown key'
+  WHEN coalesce({_CLAIM('iss')}, '') <> 'me' THEN 'issuer'
+  WHEN NOT CASE WHEN {_KIND_OF('aud')} = 'ARRAY' THEN list_contains(CAST(j->'$.aud' AS VARCHAR[]), 'hub') ELSE coalesce({_CLAIM('aud')} = 'hub', false) END THEN 'audience'
+  WHEN {_WHOLE('exp')} IS NULL THEN 'no expiry' WHEN 1000 > {_WHOLE('exp')} + 30 THEN 'expired' WHEN {_WHOLE('nbf')} > 1030 THEN 'not yet valid'
+  WHEN coalesce({_CLAIM('rh_identity_kind')}, '') NOT IN ('user', 'agent', 'service', 'client') THEN 'kind'
+  WHEN {_KIND_OF('rh_identity_groups')} NOT IN ('NULL', 'ARRAY') THEN 'groups' WHEN {_KIND_OF('scope')} NOT IN ('NULL', 'VARCHAR') THEN 'scope' END AS error
+  FROM (SELECT token_id, p, {_PART.format(1)} AS h, {_PART.format(2)} AS j FROM (SELECT token_id, string_split(token, '.') AS p FROM tokens)))"""
+
+
+@query("token_claims", with_fixtures(_CLAIMS_ORACLE, TOKENS))
+def token_claims(spark, sf_dir):
+    return policy.token_claims(TOKENS.frame(spark), "me", "hub", 1000, ["k1", "k2"])
 
 
 SETS = Fixture("sets", "id int, category string, queried array<string>, expected array<string>", [(0, "a", ["x", "y"], ["x"]), (1, "a", [], []), (2, "b", [], ["x"]), (3, "b", ["x"], []), (4, "b", ["x", "y"], ["y", "x"]), (5, "c", ["x", "x"], ["x", "z"])])

@@ -230,3 +230,11 @@ def conversation_window(spark, sf_dir):
     o = t.select(F.struct("doc_title", "chunk_index").alias("oid"), "doc_title", "chunk_index")
     n = refine.adjacent(o, t)
     return n.groupBy(F.col("oid.doc_title").cast("long").alias("conv_id"), F.col("oid.chunk_index").cast("long").alias("turn")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("parent_child", f"WITH {CHUNKS}, hits AS (SELECT doc_id % 10 AS qid, doc_title, chunk_index, 1.0::DOUBLE / (1 + chunk_index + doc_id % 7) AS score FROM chunks WHERE chunk_index % 5 IN (0, 1)), placed AS (SELECT *, CASE WHEN doc_section IS NOT NULL THEN 's' || doc_section ELSE 'c' || chunk_index END AS p FROM chunks), best AS (SELECT qid, doc_title, p, max(score) AS score, count(*) AS hits FROM hits JOIN placed USING (doc_title, chunk_index) GROUP BY ALL), sect AS (SELECT doc_title, p, string_agg(chunk_text, chr(10) || chr(10) ORDER BY chunk_index) AS text, sum(chunk_tokens)::BIGINT AS tokens, any_value(doc_section) AS doc_section FROM placed GROUP BY ALL) SELECT qid, doc_title, doc_section, md5(text) AS h, tokens, round(score, 6) AS score, hits FROM best JOIN sect USING (doc_title, p)")
+def parent_child(spark, sf_dir):
+    """Small chunks are hit, their sections are returned."""
+    c = chunks_of(spark, sf_dir)
+    hits = c.where("chunk_index % 5 IN (0, 1)").select((F.col("doc_id") % 10).alias("qid"), "doc_title", "chunk_index", (1 / (1 + F.col("chunk_index") + F.col("doc_id") % 7)).alias("score"))
+    return refine.parents(hits, c).select("qid", "doc_title", "doc_section", F.md5("text").alias("h"), "tokens", F.round("score", 6).alias("score"), "hits")

@@ -279,10 +279,34 @@ def embed_hash(spark, sf_dir):
     return d.where("value > 0").select("item_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
-@query("parse_llm_json")
+ANSWERS = Fixture(
+    "answers",
+    "qid int, query string, answer string",
+    [
+        (0, "q0", '```json\n[{"text": "a", "confidence": 0.5}, {"text": "b", "confidence": 1}]\n```'),
+        (1, "q1", '{"queries": [{"text": "c", "confidence": 0.1}]}'),
+        (2, "q2", "no"),
+        (3, "q3", '[{"text": "d", "confidence": 2}]'),
+        (4, "q4", ' [{"text": "e", "intent": "i", "rationale": "r"}] '),
+        (5, "q5", 'Sure:\n```\n{"queries": [{"text": "f", "confidence": 0}]}\n```\nDone.'),
+        (6, "q6", '{"rewrites": [{"text": "g"}]}'),
+        (7, "q7", "[]"),
+        (8, "q8", '[{"confidence": 0.5}]'),
+        (9, "q9", None),
+        (10, "q10", "[" + ", ".join(f'{{"text": "t{k}", "confidence": 0.25}}' for k in range(8)) + "]"),
+    ],
+)
+_ANSWER = """body AS (SELECT qid, query, TRY(CAST(trim(coalesce(nullif(regexp_extract(answer, '```(?:json)?\\s*(.*?)\\s*```', 1, 's'), ''), answer), ' ' || chr(10)) AS JSON)) AS j FROM answers),
+listed AS (SELECT qid, query, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN j->'$.queries' END AS a FROM body),
+items AS (SELECT qid, query, CASE WHEN a IS NULL THEN [] ELSE list_transform(CAST(a AS JSON[]), lambda x: {'t': json_extract_string(x, '$.text'), 'c': CAST(json_extract_string(x, '$.confidence') AS DOUBLE)}) END AS l FROM listed),
+good AS (SELECT qid, query, CASE WHEN len(list_filter(l, lambda x: x.t IS NULL OR (x.c IS NOT NULL AND (x.c < 0 OR x.c > 1)))) > 0 THEN [] ELSE l[1:5] END AS l FROM items)
+SELECT qid, 0 AS rank, query AS text, 1.0::DOUBLE AS confidence FROM good
+UNION ALL SELECT qid, k::INTEGER, l[k].t, l[k].c FROM (SELECT qid, l, unnest(range(1, len(l) + 1)) AS k FROM good)"""
+
+
+@query("parse_llm_json", with_fixtures(", " + _ANSWER, ANSWERS).replace("\n, body", ",\nbody"))
 def parse_llm_json(spark, sf_dir):
-    answers = [(0, "q0", '```json\n[{"text": "a", "confidence": 0.5}, {"text": "b", "confidence": 1}]\n```'), (1, "q1", '{"queries": [{"text": "c", "confidence": 0.1}]}'), (2, "q2", "no"), (3, "q3", '[{"text": "d", "confidence": 2}]')]
-    return rewrite.rewrites(spark.createDataFrame(answers, "qid int, query string, answer string"))
+    return rewrite.rewrites(ANSWERS.frame(spark))
 
 
 VOCABULARY = Fixture("vocabulary", "term string, preferred string", [("the", "THE"), ("of", "about"), ("et", "and"), ("de", "from")])

@@ -23,7 +23,9 @@ PASSAGES = "documents array<struct<passages: array<struct<offset: int, infons: m
 
 def _files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    # paths come as they stand in a URI
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return raw.select(path.alias("file"), F.col("value").alias("text"))
 
 
 def _stem(file: Column) -> Column:
@@ -77,11 +79,29 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     return d.select("file", F.get(docs, F.lit(0))["passages"].alias("passages"))
 
 
+def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header, or a folder of such, read by an explicit schema."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+
+
+def questions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows listed under ``questions`` of evaluation sets in JSON."""
+    return manifest(spark, path, "questions", schema)
+
+
+def choose_questions(asked: DataFrame, total: int, register: str = "language_register", first: str = "lay", then: str = "clinical", key: str = "id", seed: int = 42) -> DataFrame:
+    """All questions of one register, and of another as many as make ``total``: those whose hashes are smallest, the same for the same seed."""
+    drawn = F.md5(F.concat_ws("/", F.col(key), F.lit(str(seed))))
+    own, other = asked.where(F.col(register) == first), asked.where(F.col(register) == then)
+    missing = max(total - own.count(), 0)
+    return own.unionByName(other.withColumn("_h", drawn).orderBy("_h", key).limit(missing).drop("_h"))
+
+
 def code_tree(spark: SparkSession, path: str) -> DataFrame:
     """``path`` and ``text`` of the ``*.py`` files below a folder, outside ignored folders; blank ones go."""
     d = _files(spark, path, "*.py", True).withColumnRenamed("file", "path")
     ignored = F.array(*[F.lit(x) for x in IGNORED_FOLDERS])
-    return d.where(~F.arrays_overlap(F.split("path", "/"), ignored) & (F.trim("text") != ""))
+    return d.where(~F.arrays_overlap(F.split("path", "/"), ignored) & F.rlike("text", F.lit(r"\S")))
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -114,6 +134,30 @@ def fetch(urls: DataFrame, timeout: float = 60, get: Callable[[str, float], tupl
     return urls.select("url").mapInPandas(run, "url string, status int, content_type string, raw_bytes binary")
 
 
+def passthrough(requests: DataFrame, ask: Callable[[str, int], list[dict]], top_k: int = 5) -> DataFrame:
+    """Answers of an external search system as results: ``qid``, ``rank``, ``text``, ``score``, ``source_uri``, ``metadata`` (JSON), ``error``.
+
+    ``ask`` takes a query and a number of results and returns dicts; it is called on the
+    executors. A failure is a row with its message, in place of the results of that query.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for qid, query in zip(batch["qid"], batch["query"], strict=True):
+                try:
+                    found = ask(query, top_k)[:top_k]
+                except (OSError, ValueError, KeyError) as e:
+                    rows.append((qid, None, None, None, None, None, str(e)))
+                    continue
+                for rank, hit in enumerate(found, 1):
+                    known = {k: hit[k] for k in hit if k not in ("text", "score", "source_uri")}
+                    rows.append((qid, rank, hit.get("text", ""), float(hit.get("score", 0.0)), hit.get("source_uri"), json.dumps(known, sort_keys=True), None))
+            yield pd.DataFrame(rows, columns=["qid", "rank", "text", "score", "source_uri", "metadata", "error"]).astype({"rank": "Int32"})
+
+    return requests.select("qid", "query").mapInPandas(run, "qid long, rank int, text string, score double, source_uri string, metadata string, error string")
+
+
 def repository_files(requests: DataFrame, get: Callable[[str, float], tuple[int, str, bytes]] = _get, api: str = "https://api.github.com") -> DataFrame:
     """``repo``, ``path``, ``text``, ``error`` of single files of hosted repositories (``repo``, ``path``, ``ref``)."""
 
@@ -132,3 +176,18 @@ def repository_files(requests: DataFrame, get: Callable[[str, float], tuple[int,
             yield pd.DataFrame(rows, columns=["repo", "path", "text", "error"])
 
     return requests.select("repo", "path", "ref").mapInPandas(run, "repo string, path string, text string, error string")
+
+
+def retrieve_files(requests: DataFrame, recipes: DataFrame, get: Callable[[str, float], tuple[int, str, bytes]] = _get) -> DataFrame:
+    """Single files as results. ``requests``: ``qid``, ``slug``, ``path``, ``ref``; ``recipes``: ``slug``, ``github_repo`` of known sources.
+
+    One hit of score 1.0 for each file; ``error`` tells unknown sources, sources without a
+    repository, and what the repository answers.
+    """
+    named = requests.join(recipes.withColumn("_known", F.lit(True)), "slug", "left")
+    wrong = F.when(F.col("_known").isNull(), "unknown source").when(F.coalesce("github_repo", F.lit("")) == "", "no repository")
+    wanted = named.where(F.coalesce("github_repo", F.lit("")) != "").select(F.col("github_repo").alias("repo"), "path", "ref").distinct()
+    found = repository_files(wanted, get).withColumnRenamed("repo", "github_repo")
+    out = named.withColumn("wrong", wrong).join(found, ["github_repo", "path"], "left")
+    error = F.coalesce("wrong", "error")
+    return out.select("qid", "slug", F.lit("").alias("chunk_id"), F.col("path").alias("doc_title"), "text", F.when(error.isNull(), 1.0).alias("score"), error.alias("error"))

@@ -129,3 +129,67 @@ def test_redaction_and_headings(spark):
     r = df.select(T.redact(F.col("s")).alias("s"), T.sections_of(F.col("m")).alias("m")).first()
     assert r.s == "Password=[REDACTED] [REDACTED]"
     assert [(x.heading, x.level, x.char_offset) for x in r.m] == [("A", 1, 0), ("B", 2, 9)]
+
+
+def test_bpe_windows_as_the_library(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from lodestone.functions import tokenizer
+
+    path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+    bpe = tokenizer.encoder(path, pattern)
+    texts = ["", None, "one", "Prose of some words, é and 日本語 and 😀. " * 9, "x" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = []
+    for k, t in enumerate(texts):
+        ids, start, n = bpe.encode_ordinary(t or ""), 0, 0
+        while start < len(ids):
+            part = ids[start : start + 16]
+            want.append((k, n, bpe.decode(part, errors="replace"), len(part)))
+            if start + 16 >= len(ids):
+                break
+            start, n = start + 12, n + 1
+    assert rows(chunk.bpe_windows(df, path, 16, 4, pattern=pattern), "doc_id", "chunk_index", "chunk_text", "chunk_tokens") == want
+    assert rows(df.select("doc_id", tokenizer.token_count(F.col("text"), path, pattern).alias("n")), "doc_id", "n") == [(k, len(bpe.encode_ordinary(t or ""))) for k, t in enumerate(texts)]
+    with pytest.raises(ValueError):
+        chunk.bpe_windows(df, path, 4, 4)
+
+
+def test_embed_in_batches(spark, tmp_path):
+    log = str(tmp_path)
+
+    def model(texts):
+        import os
+
+        fails = os.path.join(log, "failed")
+        if not os.path.exists(fails):
+            open(fails, "w").close()
+            raise ConnectionError("once")
+        assert len(texts) <= 3
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(k, "x" * k) for k in range(8)], "id int, text string").coalesce(1)
+    assert rows(chunk.embed(df, "text", "v", model, batch=3, prefix="ab"), "id", "v") == [(k, [k + 2.0]) for k in range(8)]
+
+
+def test_template(spark, tmp_path):
+    from lodestone.operators import rewrite
+
+    good, bad = tmp_path / "good.yaml", tmp_path / "bad.yaml"
+    good.write_text("name: n\nversion: 1\nsystem: |\n  You {x}\nuser: q\n")
+    bad.write_text("name: n\nversion: 1\nuser: q\n")
+    assert rewrite.load_template(spark, str(good))["system"] == "You {x}\n"
+    with pytest.raises(ValueError, match="system"):
+        rewrite.load_template(spark, str(bad))
+
+
+def test_streams_ingest_and_roll_up(spark, tmp_path):
+    from lodestone.streaming import incremental
+
+    schema = "doc_url string, doc_title string, chunk_index int, chunk_text string"
+    spark.createDataFrame([("u", "t", k % 3, f"c{k % 3}") for k in range(6)], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    incremental.ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), out, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(out), "chunk_text") == [("c0",), ("c1",), ("c2",)]
+    events = spark.createDataFrame([("2024-01-01 00:10:00", "u1", "a", 1.0), ("2024-01-01 00:20:00", "u1", "a", 2.0), ("2024-01-01 05:00:00", "u2", "b", 4.0)], "ts string, user_id string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert rows(incremental.event_rollup(events), "event_type", "n", "total") == [("a", 2, 3.0), ("b", 1, 4.0)]
+    assert rows(incremental.sessions(events), "user_id", "n") == [("u1", 2), ("u2", 1)]
