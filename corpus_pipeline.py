@@ -25,10 +25,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the smallest id; rows that repeat it, or have no id, go too."""
-    classes = similarity_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each class of near copies, that of the smallest id.
+
+    Rows that repeat an id with the same text are one; with other texts they stay or go together.
+    Rows without an id are in no class and stay.
+    """
+    classes = similarity_classes(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     classes = Scratch(spark, "kept").settle(classes, "classes")
-    return docs.join(classes.hint("merge"), docs.doc_id == classes._kept, "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = docs.join(classes.hint("merge"), docs.doc_id == classes._kept, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without an id can't be told apart and stay."""
     leaks = Scratch(spark, "leaking").settle(find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaks")).distinct(), "documents")
     return docs.join(leaks.hint("merge"), docs.doc_id == leaks._leaks, "left_anti").select(*COLUMNS)
 
