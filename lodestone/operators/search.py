@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import like_escape
 from lodestone.functions.vector import cosine
 
-#: Queries that one pass over the corpus answers; more take further passes.
-QUERY_BLOCK = 4096
+#: Queries whose scores with a batch of the corpus are in memory at a time.
+QUERY_BLOCK = 1024
+#: Bytes of query vectors that one pass over the corpus answers; more take further passes.
+PASS_BYTES = 64_000_000
 
 
 def top_k(corpus: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -27,62 +31,74 @@ def filtered_top_k(corpus: DataFrame, query: list[float], k: int, condition: Col
     return top_k(corpus.where(condition), query, k, **names)
 
 
-def _block_scores(ids: np.ndarray, matrix: np.ndarray, k: int, unit: bool):
+def _normed(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _vectors(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors of a batch are there, of ``d`` components, and these as rows of a matrix; null components are NaN."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    valid = np.flatnonzero(lengths == d)
+    flat = column.take(pa.array(valid)).flatten().to_numpy(zero_copy_only=False)
+    return valid, flat.astype(np.float64).reshape(len(valid), d)
+
+
+def _block_scores(queries: Broadcast, k: int, unit: bool):
     """Of each batch the ``k`` best rows for every query; products in double precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, every = queries.value
         for batch in batches:
-            column = batch.column(1)
-            valid = np.flatnonzero([v.is_valid and len(v) == matrix.shape[1] for v in column])
-            if not len(valid):
-                continue
+            valid, rows = _vectors(batch.column(1), every.shape[1])
             own = batch.column(0).to_numpy(zero_copy_only=False)[valid]
-            rows = np.array([column[int(i)].as_py() for i in valid], dtype=np.float64)
             if unit:
-                length = np.linalg.norm(rows, axis=1)
-                rows, own = rows[length > 0] / length[length > 0, None], own[length > 0]
-            score = matrix @ rows.T
+                shown = np.linalg.norm(rows, axis=1) > 0  # neither zero nor NaN
+                rows, own = _normed(rows[shown]), own[shown]
             keep = min(k + 1, len(own))  # one more: a query may meet itself
             if not keep:
                 continue
-            kth = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
-            q, r = np.nonzero(score >= kth[:, None] - 1e-9)  # ties at the edge are kept for the final ranking
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(score[q, r])], names=["qid", "id", "score"])
+            for start in range(0, len(every), QUERY_BLOCK):
+                score = every[start : start + QUERY_BLOCK] @ rows.T
+                kth = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
+                q, r = np.nonzero(score >= kth[:, None] - 1e-9)  # ties at the edge are kept for the final ranking
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start + q]), pa.array(own[r]), pa.array(score[q, r])], names=["qid", "id", "score"])
 
     return run
 
 
+def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, cut by length of the vectors and by ``PASS_BYTES``."""
+    held: dict[int, list] = {}
+
+    def arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r.qid for r in rows], dtype=np.int64), np.array([r.qvec for r in rows], dtype=np.float64)
+
+    for row in queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec")).where("qvec IS NOT NULL").toLocalIterator():
+        d = len(row.qvec)
+        held.setdefault(d, []).append(row)
+        if len(held[d]) * 8 * d >= PASS_BYTES:
+            yield arrays(held.pop(d))
+    for rows in held.values():
+        yield arrays(rows)
+
+
 def batch_top_k(
     queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", unit: bool = True, digits: int = 9
 ) -> DataFrame:
     """``qid``, ``id``, ``score``, ``rank`` of the ``k`` best rows for every query, itself excluded.
 
-    ``queries``: ``qid`` and ``qvec``. They are taken in blocks of ``QUERY_BLOCK``; each block
-    is one scan of the corpus in which a task keeps the best of each batch, so that
+    ``queries``: ``qid`` and ``qvec``. As many as ``PASS_BYTES`` hold are answered by one scan
+    of the corpus, to which they are broadcast; a task keeps the best of each batch, so that
     what is shuffled grows with queries times tasks and not with the corpus. Equal scores
     (to ``digits``) rank by id.
     """
-    parts, block = [], []
-
-    def flush() -> None:
-        ids = np.array([r.qid for r in block], dtype=np.int64)
-        matrix = np.array([r.qvec for r in block], dtype=np.float64)
-        if unit:
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        parts.append(corpus.select(F.col(id_col).cast("long"), vector).mapInArrow(_block_scores(ids, matrix, k, unit), "qid long, id long, score double"))
-        block.clear()
-
-    for row in queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec")).where("qvec IS NOT NULL").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    if block or not parts:
-        if not block:
-            return queries.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
-        flush()
-    scored = parts[0]
-    for more in parts[1:]:
-        scored = scored.unionAll(more)
+    spark, scored = queries.sparkSession, None
+    for ids, matrix in _passes(queries):
+        shared = spark.sparkContext.broadcast((ids, _normed(matrix) if unit else matrix))
+        part = corpus.select(F.col(id_col).cast("long"), vector).mapInArrow(_block_scores(shared, k, unit), "qid long, id long, score double")
+        scored = part if scored is None else scored.unionAll(part)
+    if scored is None:
+        return spark.createDataFrame([], "qid long, id long, score double, rank int")
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", digits)), "id")
     return scored.where("qid <> id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -78,7 +78,7 @@ def test_batch_search_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 5))
     df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)] + [(99, None)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "PASS_BYTES", 7 * 5 * 8)  # several passes
     got = search.batch_top_k(df.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), df, 3)
     u = v / np.linalg.norm(v, axis=1)[:, None]
     want = set()
