@@ -170,26 +170,28 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
         yield held
 
 
-#: A key that stands in so many documents of one batch of texts is hot.
-HOT_DOCUMENTS = 16
+#: A key of so many rows in one batch of texts, of two documents at least, is hot.
+HOT_ROWS = 16
 #: Tasks that the rows of a hot key are dealt to.
 SALTS = 64
 
 
-def hot_rows(keys: np.ndarray, docs: np.ndarray, stay: int) -> np.ndarray:
-    """Which rows of a batch go to tasks of their own: those of hot keys, but for the rows of ``stay`` documents of each."""
+def hot_rows(keys: np.ndarray, docs: np.ndarray, stay: int, least_docs: int = 2) -> np.ndarray:
+    """Which rows of a batch go to tasks of their own: those of hot keys, but for one row of each of ``stay`` documents."""
     out = np.zeros(len(keys), dtype=bool)
-    if len(keys) < HOT_DOCUMENTS:
+    if len(keys) < HOT_ROWS:
         return out
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
     new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new_doc = np.cumsum(new_key | np.concatenate([[True], d[1:] != d[:-1]]))
+    new_doc = new_key | np.concatenate([[True], d[1:] != d[:-1]])
+    count = np.cumsum(new_doc)
     starts = np.flatnonzero(new_key)
     group = np.cumsum(new_key) - 1
-    rank = new_doc - new_doc[starts][group]
+    rank = count - count[starts][group]
     ends = np.append(starts[1:], len(k)) - 1
-    out[order] = (rank >= stay) & (rank[ends] + 1 >= HOT_DOCUMENTS)[group]
+    hot = (ends - starts + 1 >= HOT_ROWS) & (rank[ends] + 1 >= least_docs)
+    out[order] = hot[group] & ~(new_doc & (rank < stay))
     return out
 
 

@@ -14,7 +14,7 @@ length each time, put linked pieces together. A path is then one row with its so
 length and the starts of its occurrences, and each occurrence is verified against the
 words at the source before anything is removed.
 
-Anchors and windows that stand in many documents of one batch are hot: their rows are
+Anchors and windows that have many rows in one batch of documents are hot: these are
 dealt to many tasks, which tell partial sums, and a second pass brings these together.
 
 A word is removed if a window covers it that also starts in a document of a smaller id;
@@ -48,7 +48,7 @@ def _whole(rows: np.ndarray, k: int) -> np.ndarray:
 def _anchors(k: int, q: int, deal: bool):
     """Places of the least run of ``q`` words in some window (all, where several are equal): key, salt, doc, pos.
 
-    A hot key keeps the rows of two documents, by which its task sees that it stands in several.
+    A hot key keeps a row of two documents, by which its task sees that it stands in several.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
