@@ -18,8 +18,8 @@ Exact matching follows among leads of one rank: the strings of a lead overlap in
 stretch of text. If two stretches are equal, all their strings are; where leads of one rank
 have different stretches, their strings are compared one by one, each stretch once.
 
-What stands in many documents of one batch is hot: it is known to repeat before anything
-is shuffled, so the rows of two documents stay with their rank, stretch or string, for
+What has many rows in one batch of documents is hot: it is known to repeat before anything
+is shuffled, so a row of two documents each stays with its rank, stretch or string, for
 others to meet, and the rest are dealt to many tasks.
 
 Nulls are empty texts. Rows without an id lose and match nothing. Matches never cross rows; rows that repeat an id are one place each
@@ -170,6 +170,7 @@ def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> DataFrame:
 
 
 REPEATED, OPEN = 1, 2  #: known of a stretch before it is shuffled
+MANY_KINDS = 16  #: different stretches of one rank in a batch
 
 
 def _known(rank: np.ndarray, stretch: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -177,7 +178,7 @@ def _known(rank: np.ndarray, stretch: np.ndarray, docs: np.ndarray) -> np.ndarra
     kind = mixed(rank.view(np.uint64) * np.uint64(_FACTOR) + stretch.view(np.uint64)).view(np.int64)
     out = np.where(hot_rows(kind, docs, 2), REPEATED, 0)
     left = np.flatnonzero(out == 0)
-    out[left[hot_rows(rank[left], kind[left], 2)]] = OPEN
+    out[left[hot_rows(rank[left], kind[left], 2, MANY_KINDS)]] = OPEN
     return out
 
 
