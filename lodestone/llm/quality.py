@@ -145,16 +145,27 @@ def site_posteriors(evidence: DataFrame, host: str, path: str, p: str = "p_doc")
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Add ``p_doc``, ``p_host``, ``p_path``, ``score`` (posterior) and ``keep`` (score >= 0.5) to every row."""
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", train_rows: int = TRAIN_ROWS, keep_text: bool = True) -> DataFrame:
+    """Add ``p_doc``, ``p_host``, ``p_path``, ``score`` (posterior) and ``keep`` (score >= 0.5) to every row.
+
+    Without ``keep_text`` the column ``text`` is left out of the result, and texts are read once:
+    the evidence is written beside the other columns. Else they are read twice, as writing them costs more.
+    Rows without a text, host or path count as said above; rows that repeat are rows of their own;
+    without rows the result has none; columns of the five names are replaced.
+    """
     docs = docs.drop("p_doc", "p_host", "p_path", "score", "keep")
+    scratch = Scratch(docs.sparkSession, "sites")
     weights = fit(*training_rows(docs, labels, train_rows))
     scored = document_evidence(docs, weights)
-    sites = site_posteriors(document_evidence(docs.select(host, path, "text"), weights), host, path)
+    if keep_text:
+        sites = site_posteriors(document_evidence(docs.select(host, path, "text"), weights), host, path)
+    else:
+        scored = scratch.settle(scored.drop("text"), "evidence")
+        sites = site_posteriors(scored.select(host, path, "p_doc"), host, path)
     sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "p_global", "p_host", "p_path")
-    sites = Scratch(docs.sparkSession, "sites").settle(sites, "sites")
+    sites = scratch.settle(sites, "sites")
     if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)  # else the texts are shuffled by site
+        sites = F.broadcast(sites)  # else the rows are shuffled by site
 
     def odds(c: str) -> Column:
         held = F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -172,4 +183,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_doc, p_host, p_path, score, keep for every row of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_doc", "p_host", "p_path", "score")], "keep")
+    return classify(docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_doc", "p_host", "p_path", "score")], "keep")
