@@ -8,8 +8,8 @@ a window in either direction, attention pools their states, and a logistic unit
 window. A document is scored by the highest of all its overlapping windows, whatever its
 length, calibrated on a part of the sample that the network is not fitted to.
 
-Everything is trained here in numpy on at most ``TRAIN_ROWS`` labelled documents. Only
-documents are labelled, so training chooses windows: those of toxic documents that a count
+Everything is trained here in numpy on at most ``TRAIN_ROWS`` labelled documents of
+``TRAIN_BYTES`` bytes together, those whose ids hash lowest. Only documents are labelled, so training chooses windows: those of toxic documents that a count
 of words and word beginnings, and later the network itself, finds most telling, against
 windows of other documents, the hardest among them.
 
@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import small_batches, table
 
-#: Bound of the labelled sample that the network is trained on.
-TRAIN_ROWS = 5_000
+#: Bounds of the labelled sample that the network is trained on: documents, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 5_000, 32_000_000
 WINDOW, STRIDE = 32, 16
 VOCABULARY, LEAST_DOCUMENTS = 20_000, 4
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 12, 12
@@ -42,6 +42,7 @@ EPOCHS, BATCH, RATE = 8, 128, 0.01
 WORD_DROPOUT = 0.4
 DECAY = 0.05  #: of word and character vectors, so that what is seen once is not learnt by heart
 TELLING = 2.0  #: log odds below which a toxic document's window is not trained on as toxic
+FIRST_GUESS, MOST_ODDS = 0.25, 6.0  #: word vectors begin with so much of a word's log odds as their first component
 CALM = -8.0
 CACHE_WORDS = 60_000
 CUT = ".,;:!?\"'()[]|*#%&$"
@@ -276,6 +277,8 @@ def train(sample: list[tuple[str | None, int]], seed: int = 5) -> Network | None
     vocabulary = {w: k + 1 for k, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if c >= LEAST_DOCUMENTS}
     network = Network(vocabulary)
     odds = telling([words for words, a in zip(texts, aside, strict=True) if not a], labels[~aside])
+    for word, k in vocabulary.items():
+        network.p["words"][k, 0] = FIRST_GUESS * np.clip(odds.get(word, 0.0), 0, MOST_ODDS)
     kinds: dict[str, int] = {}
     coded = [np.array([kinds.setdefault(w, len(kinds) + 1) for w in words], dtype=np.int64) for words in texts]
     names = ["", *kinds]
@@ -340,10 +343,20 @@ def calibrated(top: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled documents that are not held out, those whose ids hash lowest, in the order of ids."""
-    chosen = labels.where("toxic IS NOT NULL").where(~held_out("doc_id")).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text")
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> list[tuple[str | None, int]]:
+    """At most ``rows`` labelled documents that are not held out, of ``most`` bytes together, those whose ids hash lowest, in the order of ids."""
+    known = labels.where("toxic IS NOT NULL").where(~held_out("doc_id")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    chosen = known.orderBy("h", "doc_id").limit(rows)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h").agg(F.sum("n").alias("n"))
+    total, last = 0, None
+    for r in sizes.orderBy("h", "doc_id").toLocalIterator():  # ``rows`` at most
+        total += r.n
+        if total > most:
+            break
+        last = r.h
+    if last is None:
+        return []
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.where(F.col("h") <= last)), "doc_id").orderBy("doc_id", "text")
     return [(r.text, int(r.toxic)) for r in found.toLocalIterator()]
 
 
