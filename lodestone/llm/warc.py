@@ -28,6 +28,7 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 LEAST_PAYLOAD = 0
 BUCKETS = 1 << 18
+PART = 1 << 16  #: bytes of a file; a record whose payload holds the magic is listed once for each part that it reaches into
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CONV = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -204,7 +205,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     whole = known.where("alone").select("file", F.col("at").alias("offset"), *told, "payload_bytes", "payload_digest")
     # a payload that holds the magic: the stretches from a record's start up to its successor
     broken = known.where("NOT alone").select("file", F.col("at").alias("start"), "successor", "head_size", "length", *told)
-    inside = placed.select("file", "block", "seq", "at", "alone").join(broken.select("file", "start", "successor"), "file").where("at >= start AND at < successor")
+    # a stretch and the record around it meet in the part of the file that the stretch begins in
+    part = lambda c: F.floor(F.col(c) / PART)
+    spans = broken.select("file", "start", "successor", F.explode(F.sequence(part("start"), F.floor((F.col("successor") - 1) / PART))).alias("part"))
+    inside = placed.select("file", "block", "seq", "at", "alone", part("at").alias("part")).join(spans, ["file", "part"]).where("at >= start AND at < successor").drop("part")
     inside = scratch.settle(inside, "inside")
     raw = found.where("raw IS NOT NULL").select("file", "block", "seq", "raw").join(inside, ["file", "block", "seq"]).select("file", "start", "at", "raw")
     if not inside.where("alone").isEmpty():
@@ -215,7 +219,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     joined = (
         raw.groupBy("file", "start")
         .agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("s"))
-        .select("file", "start", F.expr("aggregate(s, CAST(NULL AS binary), (a, x) -> CASE WHEN a IS NULL THEN x.raw ELSE concat(a, CAST('WARC/1.1\r\n' AS binary), x.raw) END)").alias("raw"))
+        .select("file", "start", F.array_join(F.transform("s", lambda x: x["raw"].cast("string")), MAGIC).cast("binary").alias("raw"))
         .join(broken, ["file", "start"])
         .withColumn("content", F.expr("substring(raw, head_size + 1, length)"))
     )
