@@ -2,10 +2,11 @@
 
 Texts are cut into passages, lines and sentences, these are normalised and looked up among the known
 licence sentences, and the sequence of identifiers that a document shows is matched
-against licence rules in their order: a rule that matches takes its sentences out of the
-sequence, so a long licence is not also reported as the shorter one inside it.
+against licence rules in their order: a rule of several sentences that matches takes these
+out of the sequence, so a long licence is not also reported as the shorter one inside it.
 
-Only built-in functions are used. Nulls and empty texts have no licence. Documents
+Only built-in functions are used. Nulls and empty texts have no licence; rows that repeat
+are rows of their own; without rows the result has none; long texts are read whole. Documents
 without any of the marker words that every known sentence holds are answered without
 cutting them up; that changes no result.
 """
@@ -91,13 +92,62 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
 MORE_SENTENCES: dict[str, str] = {
     "all rights reserved": "all_rights",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl_terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "mpl2_copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "mpl2_copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "distributed under the boost software license version 1.0": "bsl1",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0": "epl2_terms",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21_library",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_library",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_program",
+    "spdx license identifier mpl 2.0": "spdx_mpl2",
+    "spdx license identifier isc": "spdx_isc",
+    "spdx license identifier unlicense": "spdx_unlicense",
+    "spdx license identifier bsl 1.0": "spdx_bsl1",
+    "spdx license identifier epl 2.0": "spdx_epl2",
+    "spdx license identifier lgpl 2.1 or later": "spdx_lgpl21",
+    "spdx license identifier lgpl 3.0 or later": "spdx_lgpl3",
+    "spdx license identifier agpl 3.0 or later": "spdx_agpl3",
+    "spdx license identifier bsd 2 clause": "spdx_bsd2",
+    "spdx license identifier gpl 2.0 only": "spdx_gpl2",
+    "spdx license identifier gpl 2.0 or later": "spdx_gpl2_later",
+    "spdx license identifier cc0 1.0": "spdx_cc0",
+    "spdx license identifier cc by 4.0": "spdx_cc_by",
 }
 BSD3 = ("BSD-3-Clause", "permissive", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse"))
+MPL2 = ("MPL-2.0", "copyleft", ("mpl_terms", "mpl2_copy"))  #: "v. 2.0" ends a sentence behind the "v"
 #: These go before the others: a reservation right before a whole licence is part of its notice.
-MORE_RULES = [(name, kind, ("all_rights", *wanted)) for name, kind, wanted in [BSD3, *RULES] if len(wanted) > 1] + [BSD3]
+MORE_RULES = [(name, kind, ("all_rights", *wanted)) for name, kind, wanted in [BSD3, *RULES] if len(wanted) > 1] + [
+    BSD3,
+    MPL2,
+    ("MPL-2.0", "copyleft", ("mpl2_copy",)),
+    ("ISC", "permissive", ("isc_grant",)),
+    ("Unlicense", "permissive", ("unlicense",)),
+    ("BSL-1.0", "permissive", ("bsl1",)),
+    ("EPL-2.0", "copyleft", ("epl2_terms",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21_library",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3_library",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3_program",)),
+    ("MPL-2.0", "copyleft", ("spdx_mpl2",)),
+    ("ISC", "permissive", ("spdx_isc",)),
+    ("Unlicense", "permissive", ("spdx_unlicense",)),
+    ("BSL-1.0", "permissive", ("spdx_bsl1",)),
+    ("EPL-2.0", "copyleft", ("spdx_epl2",)),
+    ("LGPL-2.1-or-later", "copyleft", ("spdx_lgpl21",)),
+    ("LGPL-3.0-or-later", "copyleft", ("spdx_lgpl3",)),
+    ("AGPL-3.0-or-later", "copyleft", ("spdx_agpl3",)),
+    ("BSD-2-Clause", "permissive", ("spdx_bsd2",)),
+    ("GPL-2.0-only", "copyleft", ("spdx_gpl2",)),
+    ("GPL-2.0-or-later", "copyleft", ("spdx_gpl2_later",)),
+    ("CC0-1.0", "permissive", ("spdx_cc0",)),
+    ("CC-BY-4.0", "permissive", ("spdx_cc_by",)),
+]
 EVERY_RULE = MORE_RULES + RULES
 #: Every known sentence holds one of these.
-MARKERS = "(?i)licen|copyright|redistribut|warrant|permission|rights[^a-z0-9]+reserved"
+MARKERS = "(?i)licen|copyright|redistribut|warrant|permission|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|of the mpl"
 WRAPPED = r"([^.!?;:\n])\n([a-z])"
 LEADER = r"(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|-->|>+|\||dnl\b|REM\b)"  #: what comments begin their lines with
 PASSAGE_END = rf"(?<=[.!?])[ \t\r\n]+|\n(?:[ \t]*{LEADER}?[ \t\r]*\n)+"
