@@ -49,3 +49,30 @@ def test_pipeline(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.default_model())
     coded = {r.doc_id: r.ids for r in docs.collect()}
     assert coded == {d: library.encode(t or "", add_eos=True) for d, t in seen[4].items()}
+
+
+def test_no_pages_and_odd_ones(spark, tmp_path):
+    rows = [(None, "http://x", "same"), (1, None, "same"), (1, None, "same"), (2, "u", None), (3, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS payload", "'clash' AS digest", "'clash' AS id")
+    for name, one in (("odd", df), ("none", df.limit(0))):
+        one.write.parquet(str(tmp_path / name / "pages.parquet"))
+        got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op7_warc(spark, str(tmp_path / name)).collect()), key=str)
+        want = [(1, 4, "response", None), (1, 4, "response", None), (2, 0, "revisit", 3), (3, 0, "response", None), (None, 4, "response", None)]
+        assert got == (sorted(want, key=str) if name == "odd" else [])
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Rows without text or id, repeats, and no rows at all."""
+    labels = [(k, k % 2, 0) for k in range(12)]
+    good, bad = "Plain words of a quiet text, one after the other. ", "#### {{}} !!! "
+    rows = [(k, (good if k % 2 else bad) * 3 + f"number {k}", "en", "s", 1) for k in range(12)]
+    rows += [(None, good * 3 + "nameless", "en", "s", 1), (20, None, None, None, None), (21, good * 3 + "twice", "en", "s", 1), (21, good * 3 + "twice", "en", "s", 1)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("odd", rows), ("none", [])):
+        base = str(tmp_path / name)
+        spark.createDataFrame(some, kinds).write.parquet(f"{base}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame([(1, "nothing that stands in any of them at all")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+        got = [r.doc_id for r in corpus_pipeline.run(spark, base).collect()]
+        assert got.count(21) == (1 if some else 0) and got.count(None) == (1 if some else 0)
+        assert not {0, 2, 4, 6, 8, 10} & set(got) and len(got) == len(set(got))

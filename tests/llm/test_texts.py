@@ -275,6 +275,31 @@ def test_licences_as_they_are_written(spark):
     assert licences(spark, [t for t, _, _ in cases]) == [(name, kind) for _, name, kind in cases]
 
 
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+
+
+def test_further_licences(spark):
+    whole = [
+        (MPL, "MPL-2.0", "copyleft"), (ISC, "ISC", "permissive"), (LGPL, "LGPL-2.1-or-later", "copyleft"), (EPL, "EPL-2.0", "copyleft"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense", "permissive"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0", "permissive"),
+    ]
+    cases = [("\n".join((first + line).rstrip() for line in text.split("\n")), name, kind) for text, name, kind in whole for first in ("", "# ", "// ", " * ")]
+    assert licences(spark, [t for t, _, _ in cases]) == [(name, kind) for _, name, kind in cases]
+
+
 def test_every_license_rule(spark):
     text = {v: k for k, v in license_scan.MORE_SENTENCES.items()} | license_scan.SENTENCES
     found = licences(spark, ["\n".join(f"{text[w]}." for w in wanted) for _, _, wanted in license_scan.EVERY_RULE])
@@ -388,6 +413,112 @@ def test_toxicity_learns(spark):
     assert toxicity.train([]) is None and toxicity.score(spark.createDataFrame(rows, SCHEMA), None).first().score == 0.0
 
 
+def posteriors(rows):
+    """Rates of sites as the docstring of ``quality`` has them: rows of host, path and probability."""
+
+    def strength(rate, spread, n):
+        between = max(spread - rate * (1 - rate) / max(n, 1.0), 1e-9)
+        return min(max(rate * (1 - rate) / between - 1, quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    of_path, of_host = collections.defaultdict(list), collections.defaultdict(list)
+    for host, path, p in rows:
+        of_path[host, path].append(p)
+        of_host[host].append(p)
+    mean = lambda x: sum(x) / len(x)
+    var = lambda x: sum((v - mean(x)) ** 2 for v in x) / len(x)
+    whole = mean([p for _, _, p in rows])
+    m = strength(whole, var([mean(x) for x in of_host.values()]), mean([len(x) for x in of_host.values()]))
+    host_rate = {h: (sum(x) + m * whole) / (len(x) + m) for h, x in of_host.items()}
+    out = {}
+    for (h, path), x in of_path.items():
+        paths = [y for (g, _), y in of_path.items() if g == h]
+        k = strength(host_rate[h], var([mean(y) for y in paths]), mean([len(y) for y in paths]))
+        out[h, path] = (host_rate[h], (sum(x) + k * host_rate[h]) / (len(x) + k))
+    return whole, out
+
+
+def test_quality_posteriors(spark):
+    import math
+
+    rng = random.Random(8)
+    names = [None, "a", "b", "c"]
+    rows = [(k, " ".join(rng.choice(["plain", "words", "of", "prose.", "###", "!!", "{}"]) for _ in range(rng.randint(0, 40))), rng.choice(names), rng.choice(names), "x") for k in range(300)] + [(300, None, "rare", "one", "x")]
+    labels = spark.createDataFrame([(k, int("#" not in t), 0) for k, t, *_ in rows[:200]], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, score string")
+    for keep_text in (True, False):
+        got = {r.doc_id: r for r in quality.classify(df, labels, keep_text=keep_text).collect()}
+        assert len(got) == len(rows)
+        whole, rates = posteriors([(r.source, r.lang, r.p_doc) for r in got.values()])
+        odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+        for r in got.values():
+            host, path = rates[r.source, r.lang]
+            score = 1 / (1 + math.exp(-(odds(r.p_doc) + quality.SITE_WEIGHT * (odds(path) - odds(whole)))))
+            assert abs(r.p_host - host) < 1e-9 and abs(r.p_path - path) < 1e-9 and abs(r.score - score) < 1e-9 and r.keep == (r.score >= 0.5)
+
+
+def test_quality_of_documents_not_learnt_from(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    got = quality.classify(docs, labels.where(~aside)).join(labels.where(aside), "doc_id").select("quality", "keep").collect()
+    assert len(got) > 60 and sum(r.keep == (r.quality == 1) for r in got) / len(got) > 0.95
+
+
+def test_toxicity_contract(spark):
+    """What the query returns, and how it does on documents that it has not learnt from."""
+    import zlib
+
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, base).collect()}
+    assert set(got) == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for d, r in got.items())
+    held = [(got[r.doc_id].predicted, r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    clean = [p for p, t in held if not t]
+    assert sum(clean) / len(clean) < 0.05 and sum(p for p, t in held if t) >= 3
+    sample = toxicity.training_sample(docs, labels, most=20_000)
+    assert 0 < sum(len((t or "").encode()) for t, _ in sample) <= 20_000
+
+
+CLASH = ["n_bytes", "n_removed", "n_spans", "kept", "_doc", "_spans", "spans", "doc", "score", "keep", "p_doc", "p_host", "p_path", "ids", "decoded_text", "licenses", "license_class", "sentence_ids", "_seq", "_hits", "component_id", "node"]
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    rows = [(1, "some words " * 60, "s", "en"), (2, "some words " * 60, None, None), (2, "some words " * 60, None, None), (3, None, "s", "en"), (4, "", "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({c: F.lit("clash") for c in CLASH})
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(7, "some words some words some words")], "item_id long, text string")
+    assert sorted(r.n_removed for r in suffix_dedup.remove_repeated_bytes(df).select("n_removed").collect()) == [0, 0, 660, 660, 660]
+    for one in (df, df.limit(0)):
+        n = one.count()
+        assert quality.classify(one, labels).count() == n
+        assert license_scan.scan(one).count() == n
+        assert piece_bpe.encode_documents(one, piece_bpe.default_model()).count() == n
+        assert toxicity.score(one, toxicity.train(toxicity.training_sample(one, labels))).count() == n
+        assert {r.doc_id for r in decontaminate.find_leaks(one, items).collect()} == ({1, 2} if n else set())
+        assert decontaminate.find_leaks(one, items.limit(0)).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.0]), (2, [2.0, 4.0]), (3, None), (None, [1.0, 2.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "row", "id", "n_links", "kept", "component_id")})
+    assert sorted((r.vec_id or 0, r.n_links) for r in embedding_dedup.near_links(vectors).collect()) == [(0, 3), (1, 3), (2, 3), (2, 3), (3, 0)]
+
+
+def test_sets_that_share_a_name(spark, monkeypatch):
+    """Names of a few bits, so that almost all sets share theirs: the second hash tells them apart."""
+    rows = copies(9)
+    texts = [t for _, t in rows]
+    hashes = jaccard_join.Hashes()
+    sets = [s for s in (jaccard_join.shingle_set(t, 5, hashes) for t in texts) if len(s)]
+    monkeypatch.setattr(jaccard_join, "NODE_BITS", 4)
+    named = collections.defaultdict(set)
+    for s in sets:
+        named[jaccard_join.node_of(s)].add(jaccard_join.second_name(s))
+    shared = frozenset(x for x, seconds in named.items() if len(seconds) > 1)
+    assert len(named) <= 16 and shared
+    told = collections.defaultdict(set)
+    for s in sets:
+        told[jaccard_join.node_of(s, shared)].add(tuple(s))
+    assert all(len(x) == 1 for x in told.values())
+
+
 def test_quality_keeps_good_documents(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
