@@ -26,6 +26,20 @@ def top_k(corpus: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return scored.where("score IS NOT NULL").drop(vector).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def typed_filter(url_prefix: str | None = None, kinds: list | None = None, since: str | None = None, until: str | None = None, url: str = "doc_url", kind: str = "kind", at: str = "at") -> Column:
+    """A filter of search by the beginning of a url, by kinds of documents, and by a span of time (its end left out); what isn't given doesn't restrict."""
+    found = F.lit(True)
+    if url_prefix is not None:
+        found = found & F.startswith(F.col(url), F.lit(url_prefix))
+    if kinds is not None:
+        found = found & F.col(kind).isin(kinds)
+    if since is not None:
+        found = found & (F.col(at) >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        found = found & (F.col(at) < F.lit(until).cast("timestamp"))
+    return found
+
+
 def filtered_top_k(corpus: DataFrame, query: list[float], k: int, condition: Column, **names: str) -> DataFrame:
     """``top_k`` among the rows that meet a condition, which is pushed into the scan."""
     return top_k(corpus.where(condition), query, k, **names)

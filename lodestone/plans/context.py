@@ -26,8 +26,8 @@ def chunks_of(spark, sf_dir) -> DataFrame:
 
 def vector_chunks(spark, sf_dir) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = e.count()
-    return chunks_of(spark, sf_dir).withColumn("vec_id", (F.col("doc_id") * 7 + F.col("chunk_index")) % n).join(e, "vec_id").drop("vec_id")
+    c = chunks_of(spark, sf_dir).crossJoin(F.broadcast(e.agg(F.count("*").alias("_n"))))  # one row
+    return c.withColumn("vec_id", (F.col("doc_id") * 7 + F.col("chunk_index")) % F.col("_n")).join(e, "vec_id").drop("vec_id", "_n")
 
 
 def origins_of(c: DataFrame) -> DataFrame:
