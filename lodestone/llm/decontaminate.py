@@ -9,7 +9,8 @@ themselves.
 
 Words are maximal runs of letters, marks and digits, in lower case. Items shorter than
 five words have one shingle, all their words. Null or wordless items and documents match
-nothing. Repeated rows count once.
+nothing. Repeated rows count once; rows without an id are one document or item of no name.
+Without items or documents the result has no rows. Only the id and text columns are read.
 
 Only built-in functions are used. The sketches are broadcast where their number is proven
 small and joined by shuffle otherwise; nothing about documents is ever broadcast.

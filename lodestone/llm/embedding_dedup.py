@@ -15,6 +15,9 @@ their members compared.
 
 Equal vectors are one vector with a weight. Vectors that are null, zero, or that hold
 null or non-finite components are linked with nothing; the others are searched by length.
+Rows that repeat an id and its vector link with each other; rows without an id are
+linked as rows with an id of the same vector are, with nothing if there are none of these; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations

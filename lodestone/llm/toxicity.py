@@ -14,7 +14,9 @@ of words and word beginnings, and later the network itself, finds most telling,
 windows of other documents, the hardest among them.
 
 Null, empty and blank texts have no windows and the score of the calmest window. Without
-labelled rows every score is 0.
+labelled rows every score is 0. Rows that repeat score alike, rows without an id are never
+held out nor learnt from, a column named as the score is replaced, and an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
