@@ -273,7 +273,8 @@ def train(sample: list[tuple[str | None, int]], seed: int = 5) -> Network | None
     if len(set(labels.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    texts = [[stem(t) for t in tokens(x)] for x, _ in sample]
+    stems: dict[str, str] = {}  # a word is held once however often it stands
+    texts = [[stems.get(t) or stems.setdefault(t, stem(t)) for t in tokens(x)] for x, _ in sample]
     aside = np.arange(len(labels)) % 6 == 5  # for calibration only
     seen = Counter(w for words, a in zip(texts, aside, strict=True) if not a for w in set(words))
     vocabulary = {w: k + 1 for k, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if c >= LEAST_DOCUMENTS}
