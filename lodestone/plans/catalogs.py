@@ -172,7 +172,7 @@ _KIND_OF = lambda n: f"coalesce(json_type(j, '$.{n}'), 'NULL')"
 _WHOLE = lambda n: f"CASE WHEN {_KIND_OF(n)} IN ('UBIGINT', 'BIGINT') THEN CAST({_CLAIM(n)} AS BIGINT) END"
 _CLAIMS_ORACLE = f"""SELECT token_id, error, CASE WHEN error IS NULL THEN coalesce({_CLAIM('sub')}, '') END AS subject, CASE WHEN error IS NULL THEN {_CLAIM('rh_identity_kind')} END AS kind,
   CASE WHEN error IS NULL THEN array_to_string(coalesce(CAST(j->'$.rh_identity_groups' AS VARCHAR[]), []), ',') END AS groups,
-  CASE WHEN error IS NULL THEN array_to_string(list_sort(list_distinct(list_filter(string_split_regex(coalesce({_CLAIM('scope')}, ''), '\s+'), lambda x: x <> ''))), ',') END AS scopes,
+  CASE WHEN error IS NULL THEN array_to_string(list_sort(list_distinct(list_filter(string_split_regex(coalesce({_CLAIM('scope')}, ''), '\\s+'), lambda x: x <> ''))), ',') END AS scopes,
   CASE WHEN error IS NULL THEN coalesce({_CLAIM('rh_tenant')}, 'default') END AS tenant, CASE WHEN error IS NULL THEN {_CLAIM('rh_request_id')} END AS request_id, CASE WHEN error IS NULL THEN {_CLAIM('rh_caller_app')} END AS caller_app,
   CASE WHEN error IS NULL THEN coalesce({_CLAIM('jti')}, '') END AS jti, CASE WHEN error IS NULL THEN coalesce({_WHOLE('iat')}, 0) END AS issued_at, CASE WHEN error IS NULL THEN {_WHOLE('exp')} END AS expires_at
 FROM (SELECT *, CASE WHEN len(p) <> 3 OR json_extract_string(h, '$.kid') IS NULL OR j IS NULL THEN 'malformed' WHEN json_extract_string(h, '$.kid') NOT IN ('k1', 'k2') THEN 'unknown key'
