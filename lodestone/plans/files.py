@@ -89,7 +89,7 @@ def scan_questions(spark, sf_dir):
     """An evaluation set in JSON: all lay questions, and as many clinical ones as make twelve."""
     asked = [{"id": r.n_nationkey, "question": r.n_name, "language_register": "clinical" if r.n_nationkey % 4 else "lay"} for r in _nations(spark, sf_dir)]
     folder = write_files(spark, shared_folder(spark, "questions"), {"qa.json": json.dumps({"questions": asked, "name": "x"}, indent=1)})
-    q = scan.questions(spark, f"{folder}/qa.json", "id: bigint, question: string, language_register: string")
+    q = scan.questions(spark, f"{folder}/qa.json", "id: int, question: string, language_register: string")
     return scan.choose_questions(q, 12).select("id", "language_register", "question")
 
 
