@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 AUTO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch: texts have no bound on length, so few of them; more of rows that are a few numbers each.
-BATCH_ROWS, NUMBER_ROWS = 500, 4000
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows of an Arrow batch: texts have no bound on length, so few of them; more of rows that are a few numbers each. And its bytes.
+BATCH_ROWS, NUMBER_ROWS, BATCH_BYTES = 500, 4000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +42,9 @@ def held_conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to a few hundred rows from now on: for results over whole texts that are run after the call that returns them."""
+    """Hold Arrow batches to a few hundred rows, and to some bytes, from now on: for results over whole texts that are run after the call that returns them."""
     spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,9 +78,9 @@ class Scratch:
         """Write ``df`` as table ``name``, free the shuffle files behind it and read it back.
 
         Only sides that are marked for it are broadcast, so that plans are alike at every size.
-        Arrow batches hold ``rows`` rows meanwhile.
+        Arrow batches hold ``rows`` rows meanwhile, and ``BATCH_BYTES`` bytes or one row.
         """
-        with held_conf(self.spark, {CLEANUP: "true", AUTO_BROADCAST: "-1", ARROW_ROWS: str(rows)}):
+        with held_conf(self.spark, {CLEANUP: "true", AUTO_BROADCAST: "-1", ARROW_ROWS: str(rows), ARROW_BYTES: str(BATCH_BYTES)}):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         gc.collect()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
@@ -170,14 +171,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
         yield held
 
 
-#: A key of so many rows in one batch of texts, of two documents at least, is hot.
+#: A key of so many rows in one batch of texts is hot.
 HOT_ROWS = 16
 #: Tasks that the rows of a hot key are dealt to.
 SALTS = 64
 
 
 def hot_rows(keys: np.ndarray, docs: np.ndarray, stay: int, least_docs: int = 2) -> np.ndarray:
-    """Which rows of a batch go to tasks of their own: those of hot keys, but for one row of each of ``stay`` documents."""
+    """Which rows of a batch go to tasks of their own: those of hot keys, but for one row of each of ``stay`` documents.
+
+    With ``least_docs`` 1 a key may be hot by one document, and ``stay`` rows stay whatever their documents.
+    """
     out = np.zeros(len(keys), dtype=bool)
     if len(keys) < HOT_ROWS:
         return out
@@ -191,7 +195,8 @@ def hot_rows(keys: np.ndarray, docs: np.ndarray, stay: int, least_docs: int = 2)
     rank = count - count[starts][group]
     ends = np.append(starts[1:], len(k)) - 1
     hot = (ends - starts + 1 >= HOT_ROWS) & (rank[ends] + 1 >= least_docs)
-    out[order] = hot[group] & ~(new_doc & (rank < stay))
+    stays = new_doc & (rank < stay) if least_docs > 1 else np.arange(len(k)) - starts[group] < stay
+    out[order] = hot[group] & ~stays
     return out
 
 
@@ -300,12 +305,12 @@ def sliding(values: np.ndarray, span: int, best) -> np.ndarray:
     return best(out[: len(out) - (span - width)], out[span - width :]) if width < span else out
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Batches whose second column, texts, holds about ``most`` bytes; a longer text comes alone."""
+def text_groups(batches: Iterator[pa.RecordBatch], most: int = 500_000, text: int | str = 1) -> Iterator[pa.RecordBatch]:
+    """Batches whose column ``text``, the second by default, holds about ``most`` bytes; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = size[start - 1] if start else 0

@@ -19,8 +19,8 @@ stretch of text. If two stretches are equal, all their strings are; where leads
 have different stretches, their strings are compared one by one, each stretch once.
 
 What has many rows in one batch of documents is hot: it is known to repeat before anything
-is shuffled, so a row of two documents each stays with its rank, stretch or string, for
-others to meet, and the rest are dealt to many tasks.
+is shuffled, so two rows stay with their rank, stretch or string, for others to meet, and
+the rest are dealt to many tasks.
 
 Nulls are empty texts. Rows without an id lose and match nothing. Matches never cross rows; rows that repeat an id are one place each
 time they agree. Ranks are named by 64-bit hashes, as ranks that fall together only cost
@@ -87,7 +87,7 @@ def _leads(length: int, gram: int, stretch: int, deal: bool):
                     column.append(values[keep])
             if out[0]:
                 rank, doc, idx, place = (np.concatenate(c) for c in out)
-                salt = salts(hot_rows(rank, doc, 2) if deal else np.zeros(len(rank), bool), doc)
+                salt = salts(hot_rows(rank, doc, 2, 1) if deal else np.zeros(len(rank), bool), doc)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rank, salt, doc, idx, place)], names=["rank", "salt", "doc", "idx", "place"])
 
     return run
@@ -99,7 +99,7 @@ def _salted(deal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            salt = salts(hot_rows(key, doc, 2) if deal else np.zeros(len(key), bool), doc)
+            salt = salts(hot_rows(key, doc, 2, 1) if deal else np.zeros(len(key), bool), doc)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt), *batch.columns[1:]], names=[batch.schema.names[0], "salt", *batch.schema.names[1:]])
 
     return run
@@ -135,8 +135,8 @@ def _repeated(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.R
 RANKED = "rank long, doc long, idx int, place long, done int"
 
 
-def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> DataFrame:
-    """``rank``, ``doc``, ``place`` of the leads whose text repeats, by doubling."""
+def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> tuple[DataFrame, list[str]]:
+    """``rank``, ``doc``, ``place`` of the leads whose text repeats, by doubling; and the tables that hold them."""
 
     names = [c.split(" ")[0] for c in RANKED.split(", ")]
 
@@ -145,7 +145,7 @@ def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> DataFrame:
         return scratch.settle(ordered.mapInArrow(dealt(_repeated, names), RANKED), name, NUMBER_ROWS)
 
     current = reranked(leads.select("rank", "salt", "doc", "idx", "place", F.lit(0).alias("done")), "rank_0")
-    offset, done = FIRST, []
+    offset, done, tables = FIRST, [], []
     while True:
         # a lead to be ranked over fewer than two lengths more is done with the pair that overlaps
         phrases_to = F.col("place").bitwiseAND(F.lit(255))
@@ -157,7 +157,8 @@ def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> DataFrame:
         pairs = onward.join(partner, ["doc", "then"]).select(
             F.xxhash64("rank", "next", F.when(F.col("over"), phrases_to).otherwise(F.lit(-offset))).alias("rank"), "doc", "idx", "place", F.col("over").cast("int").alias("done")
         )
-        following = reranked(pairs.mapInArrow(_salted(deal), RANKED.replace(",", ", salt int,", 1)), f"rank_{2 * offset}")
+        tables.append(f"rank_{2 * offset}")
+        following = reranked(pairs.mapInArrow(_salted(deal), RANKED.replace(",", ", salt int,", 1)), tables[-1])
         scratch.drop("rank_0")
         done.append(following.where("done = 1").select("rank", "doc", "place"))
         current, offset = following, 2 * offset
@@ -166,7 +167,7 @@ def ranked_leads(scratch: Scratch, leads: DataFrame, deal: bool) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out
+    return out, tables
 
 
 REPEATED, OPEN = 1, 2  #: known of a stretch before it is shuffled
@@ -176,7 +177,7 @@ MANY_KINDS = 16  #: different stretches of one rank in a batch
 def _known(rank: np.ndarray, stretch: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """What a batch shows of its own stretches: REPEATED for hot stretches, OPEN where a rank has many; 0 for two of each and for the rest."""
     kind = mixed(rank.view(np.uint64) * np.uint64(_FACTOR) + stretch.view(np.uint64)).view(np.int64)
-    out = np.where(hot_rows(kind, docs, 2), REPEATED, 0)
+    out = np.where(hot_rows(kind, docs, 2, 1), REPEATED, 0)
     left = np.flatnonzero(out == 0)
     out[left[hot_rows(rank[left], kind[left], 2, MANY_KINDS)]] = OPEN
     return out
@@ -308,7 +309,7 @@ def _strings(length: int, deal: bool):
                 continue
             both, doc = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2), np.concatenate(docs)
             one, two = both[:, 0].copy(), both[:, 1].copy()
-            salt = salts(hot_rows(one, doc, 2) if deal else np.zeros(len(doc), bool), doc)
+            salt = salts(hot_rows(one, doc, 2, 1) if deal else np.zeros(len(doc), bool), doc)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (one, salt, two, doc, np.concatenate(firsts))], names=names)
 
     return run
@@ -322,19 +323,22 @@ def repeated_strings(scratch: Scratch, texts: DataFrame, length: int = LENGTH) -
     """``doc``, ``spans``: strings that occur elsewhere, by the place of the first (times 2 ** 16) and their number. ``texts``: ``doc``, ``text``."""
     deal = not ids_repeat(texts)
     leads = texts.mapInArrow(_leads(length, GRAM, STRETCH, deal), "rank long, salt int, doc long, idx int, place long")
-    ranked = ranked_leads(scratch, leads, deal)
+    ranked, tables = ranked_leads(scratch, leads, deal)
     per_doc = ranked.groupBy("doc").agg(F.collect_list(F.struct("rank", "place")).alias("leads"))
     row = "rank long, salt int, known int, stretch long, half long, doc long, first int, n int"
     stretches = texts.join(per_doc.hint("merge"), "doc").select("doc", "text", "leads").mapInArrow(_stretches(length, deal), row)
     stretches = stretches.repartition("rank", "salt").sortWithinPartitions("rank", "stretch", "half", "doc", "first", "n")
     found = scratch.settle(stretches.mapInArrow(_told, "doc long, first int, n int, open int"), "stretches", NUMBER_ROWS)
+    scratch.drop(*tables)
     still_open = found.where("open = 1").groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("held"))
     strings = texts.join(still_open.hint("merge"), "doc").select("doc", "text", "held").mapInArrow(_strings(length, deal), "hash long, salt int, half long, doc long, first int")
     strings = strings.repartition("hash", "salt").sortWithinPartitions("hash", "half", "doc", "first")
     strings = strings.mapInArrow(dealt(_same_strings, ["hash", "half", "doc", "first"]), "hash long, half long, doc long, first int")
     strings = scratch.settle(strings.select("doc", "first", F.lit(1).alias("n")), "strings", NUMBER_ROWS)
     every = found.where("open = 0").select("doc", "first", "n").unionAll(strings)
-    return scratch.settle(every.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16) + F.col("n")).alias("spans")), "spans")
+    spans = scratch.settle(every.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16) + F.col("n")).alias("spans")), "spans")
+    scratch.drop("stretches", "strings")
+    return spans
 
 
 def _keep(length: int, text_at: int, spans_at: int):

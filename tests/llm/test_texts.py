@@ -127,7 +127,7 @@ def test_suffix_dedup(spark):
             a = rng.randint(0, len(q) // 2)
             t += q[a : a + rng.randint(100, 1200)] if rng.random() < 0.6 else text(rng.randint(1, 500))
         rows.append((i, t))
-    rows += [*EDGE, (2001, "x" * 399), (2002, "x" * 400), (2003, "x" * 401)]
+    rows += [*EDGE, (2001, "x" * 399), (2002, "x" * 400), (2003, "x" * 401), (2004, "wxyz" * 900), (2005, "the same words " * 200 + text(300))]
     raw = {d: (t or "").encode() for d, t in rows}
     count = collections.Counter(r[i : i + length] for r in raw.values() for i in range(len(r) - length + 1))
     want = {}
