@@ -10,7 +10,9 @@ No token of such a model has a word mark after another character, and none holds
 character that the model spells in bytes, so a text falls into independent words; a
 bounded cache keeps the encodings of words seen before.
 
-Nulls count as empty texts; an empty text has only the end id and decodes to "".
+Nulls count as empty texts; an empty text has only the end id and decodes to "". Rows that
+repeat are coded alike, columns of the two new names are replaced, an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -26,11 +28,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import small_batches, table
+from lodestone.llm.common import small_batches, table, text_groups
 
 MARK = "▁"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
+GROUP = 1_000_000  #: bytes of texts that are coded at a time
+WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNSET, SPELT = -1, -2  #: last tokens: none yet; a character that is spelt in bytes, behind which an encoding begins anew
+
+
+class Encoded(dict):
+    """Packed ids of words, worked out when first asked for; the words of the last ``CACHE_WORDS`` or more are kept."""
+
+    def __init__(self, model: PieceBpe):
+        self.model, self.old = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = np.array(self.model.word(word), dtype=np.int32).tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
 
 class PieceBpe:
@@ -63,14 +85,17 @@ class PieceBpe:
         self.marked = {i for i, p in enumerate(proto.pieces) if p.type == NORMAL and p.piece.startswith(MARK)}
         self.chars = {c for p in self.ids for c in p}
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+        self.pieces = [p.piece for p in proto.pieces]
+        for piece, k in self.ids.items():
+            self.automaton.add_word(piece, (k, len(piece)))
         self.automaton.make_automaton()
         self.line_splits = "\n" not in self.chars
-        self._follows: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._follows: dict[int, bool] = {}
+        self._alone: dict[int, bool] = {}
+        self._encoded = Encoded(self)
+        self._length = np.array([len(x) for x in self.out], dtype=np.int64)
+        self._start = np.cumsum(self._length) - self._length
+        self._bytes = np.frombuffer(b"".join(self.out), dtype=np.uint8)
 
     def merged(self, text: str) -> list[str]:
         """Merge by definition: the best-scored adjacent pair first, the leftmost among equals."""
@@ -98,61 +123,56 @@ class PieceBpe:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
-    def alone(self, token: str) -> bool:
-        if (known := self._alone.get(token)) is None:
-            known = self._alone[token] = self.merged(token) == [token]
+    def alone(self, k: int) -> bool:
+        """Whether a token is the encoding of its own text."""
+        if (known := self._alone.get(k)) is None:
+            known = self._alone[k] = self.merged(self.pieces[k]) == [self.pieces[k]]
         return known
 
-    def may_follow(self, before: str, token: str) -> bool:
-        """Whether the two tokens side by side are the encoding of their own text."""
-        key = (before, token)
-        if (known := self._follows.get(key)) is None:
-            if len(self._follows) > 4 * CACHE_WORDS:
-                self._follows.clear()
-            known = self._follows[key] = self.merged(before + token) == [before, token]
+    def may_follow(self, before: int, k: int) -> bool:
+        """Whether two tokens side by side are the encoding of their own text."""
+        if len(self._follows) > 4 * CACHE_WORDS:
+            self._follows.clear()
+        pair = [self.pieces[before], self.pieces[k]]
+        known = self._follows[before * len(self.pieces) + k] = self.merged("".join(pair)) == pair
         return known
 
     def word(self, word: str) -> list[int]:
-        """The ids of an independent stretch of text, by the table of last tokens."""
-        last: list[str | None] = [None] * (len(word) + 1)
-        ends: list[list[str]] = [[] for _ in range(len(word) + 1)]
-        for end, piece in self.automaton.iter(word):
-            ends[end + 1].append(piece)
-        for end in range(1, len(word) + 1):
-            for piece in ends[end]:
-                start = end - len(piece)
-                if start == 0:
-                    fits = self.alone(piece)
-                else:
-                    before = last[start]
-                    fits = before is not None and (before not in self.ids and self.alone(piece) or self.may_follow(before, piece))
-                if fits:
-                    last[end] = piece
-                    break
+        """The ids of an independent stretch of text, by the table of last tokens.
+
+        Matches come in the order of their ends, so that what a token may follow is known.
+        """
+        last = [UNSET] * (len(word) + 1)
+        if not self.chars.issuperset(word):
+            for end, c in enumerate(word, 1):
+                if c not in self.ids:
+                    last[end] = SPELT
+        follows, size = self._follows, len(self.pieces)
+        for end, (k, length) in self.automaton.iter(word):
+            end += 1
+            if last[end] != UNSET:
+                continue
+            before = last[end - length] if end > length else SPELT
+            if before >= 0:
+                fits = follows.get(before * size + k)
+                if fits is None:
+                    fits = self.may_follow(before, k)
             else:
-                if word[end - 1] not in self.ids:
-                    last[end] = word[end - 1]
+                fits = before == SPELT and self.alone(k)
+            if fits:
+                last[end] = k
         out: list[int] = []
         at = len(word)
         while at:
-            token = last[at]
-            known = self.ids.get(token)
-            if known is None:
-                out += [self.byte_ids[b] for b in reversed(token.encode())]
+            k = last[at]
+            if k < 0:
+                out += [self.byte_ids[b] for b in reversed(word[at - 1].encode())]
+                at -= 1
             else:
-                out.append(known)
-            at -= len(token)
+                out.append(k)
+                at -= len(self.pieces[k])
         return out[::-1]
 
-    def _packed(self, word: str) -> bytes:
-        found = self._old.get(word)
-        if found is None:
-            found = np.array(self.word(word), dtype=np.int32).tobytes()
-        if len(self._young) >= CACHE_WORDS:
-            self._old, self._young = self._young, {}
-        self._young[word] = found
-        return found
-
     def packed(self, text: str) -> bytes:
         """The ids of a text without the end id, as little-endian 32-bit integers."""
         if not text:
@@ -164,28 +184,29 @@ class PieceBpe:
         for k, line in enumerate(lines):
             if k:
                 out.append(newline)
-            words = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line)
-            young = self._young
-            for w in words:
-                got = young.get(w)
-                if got is None:
-                    got = self._packed(w)
-                    young = self._young
-                out.append(got)
+            out += map(self._encoded.__getitem__, WORDS.findall(line))
         return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.append(np.frombuffer(self.packed(text or ""), dtype=np.int32), np.int32(self.end_id))
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of lists of ids, one after the other; the mark that encoding put in front is taken away."""
+        length = self._length[ids]
+        ends = np.cumsum(length)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._start[ids] - (ends - length), length)
+        raw, place = self._bytes[at].tobytes(), np.concatenate([[0], ends])
+        out = []
+        for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            first = start
+            while first < stop and not length[first]:
+                first += 1
+            skip = 1 if first < stop and int(ids[first]) in self.marked else 0
+            out.append(raw[int(place[start]) + skip : int(place[stop])].decode("utf-8", errors="replace"))
+        return out
+
     def decode(self, ids: list[int]) -> str:
-        """The text of a list of ids; the mark that encoding put in front is taken away."""
-        start = 0
-        while start < len(ids) and not self.out[ids[start]]:
-            start += 1
-        raw = b"".join(map(self.out.__getitem__, ids))
-        if start < len(ids) and ids[start] in self.marked:
-            raw = raw[1:]
-        return raw.decode("utf-8", errors="replace")
+        return self.decode_all(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0]
 
 
 _loaded: dict[str, PieceBpe] = {}
@@ -211,11 +232,11 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(model_path)
-        for batch in batches:
-            coded = [model.encode(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+        for batch in text_groups(batches, GROUP, text):
+            coded = [model.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-            values = pa.array(np.concatenate(coded) if coded else np.array([], np.int32))
-            texts = pa.array([model.decode(c.tolist()) for c in coded], pa.string())
+            ids_of = np.concatenate(coded) if coded else np.array([], np.int32)
+            values, texts = pa.array(ids_of), pa.array(model.decode_all(ids_of, offsets), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values), texts], names=[*batch.schema.names, ids, decoded]
             )
