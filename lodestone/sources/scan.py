@@ -159,7 +159,7 @@ def passthrough(requests: DataFrame, ask: Callable[[str, int], list[dict]], top_
 
 
 def repository_files(requests: DataFrame, get: Callable[[str, float], tuple[int, str, bytes]] = _get, api: str = "https://api.github.com") -> DataFrame:
-    """``repo``, ``path``, ``text``, ``error`` of single files of hosted repositories (``repo``, ``path``, ``ref``)."""
+    """``repo``, ``path``, ``ref``, ``text``, ``error`` of single files of hosted repositories (``repo``, ``path``, ``ref``)."""
 
     def one(repo: str, path: str, ref: str | None) -> tuple[str | None, str | None]:
         status, _, body = get(f"{api}/repos/{repo}/contents/{path}" + (f"?ref={ref}" if ref else ""), 30)
@@ -172,22 +172,23 @@ def repository_files(requests: DataFrame, get: Callable[[str, float], tuple[int,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r, p, *one(r, p, ref)) for r, p, ref in zip(batch["repo"], batch["path"], batch["ref"], strict=True)]
-            yield pd.DataFrame(rows, columns=["repo", "path", "text", "error"])
+            rows = [(r, p, ref, *one(r, p, ref)) for r, p, ref in zip(batch["repo"], batch["path"], batch["ref"], strict=True)]
+            yield pd.DataFrame(rows, columns=["repo", "path", "ref", "text", "error"])
 
-    return requests.select("repo", "path", "ref").mapInPandas(run, "repo string, path string, text string, error string")
+    return requests.select("repo", "path", "ref").mapInPandas(run, "repo string, path string, ref string, text string, error string")
 
 
 def retrieve_files(requests: DataFrame, recipes: DataFrame, get: Callable[[str, float], tuple[int, str, bytes]] = _get) -> DataFrame:
     """Single files as results. ``requests``: ``qid``, ``slug``, ``path``, ``ref``; ``recipes``: ``slug``, ``github_repo`` of known sources.
 
-    One hit of score 1.0 for each file; ``error`` tells unknown sources, sources without a
+    One hit of score 1.0 for each request, of the file as it is at its ``ref``; ``error`` tells unknown sources, sources without a
     repository, and what the repository answers.
     """
     named = requests.join(recipes.withColumn("_known", F.lit(True)), "slug", "left")
     wrong = F.when(F.col("_known").isNull(), "unknown source").when(F.coalesce("github_repo", F.lit("")) == "", "no repository")
     wanted = named.where(F.coalesce("github_repo", F.lit("")) != "").select(F.col("github_repo").alias("repo"), "path", "ref").distinct()
-    found = repository_files(wanted, get).withColumnRenamed("repo", "github_repo")
-    out = named.withColumn("wrong", wrong).join(found, ["github_repo", "path"], "left")
+    found = repository_files(wanted, get).toDF("_repo", "_path", "_ref", "text", "error")
+    same = (F.col("github_repo") == F.col("_repo")) & (F.col("path") == F.col("_path")) & F.col("ref").eqNullSafe(F.col("_ref"))
+    out = named.withColumn("wrong", wrong).join(found, same, "left")
     error = F.coalesce("wrong", "error")
     return out.select("qid", "slug", F.lit("").alias("chunk_id"), F.col("path").alias("doc_title"), "text", F.when(error.isNull(), 1.0).alias("score"), error.alias("error"))

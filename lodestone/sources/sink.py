@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.versions import VersionedTable
+
 CHUNK_SCHEMA = "id string, chunk_text string, chunk_tokens int, doc_title string, doc_url string, doc_section string, chunk_index int, embedding array<float>"
 
 
@@ -19,18 +21,36 @@ def chunk_id() -> F.Column:
     return F.sha2(F.concat_ws("|", "doc_url", "doc_title", F.col("chunk_index").cast("string"), "chunk_text"), 256)
 
 
+def chunk_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ["id"])
+
+
 def write_chunks(chunks: DataFrame, path: str, dimension: int, replace: bool = True) -> tuple[int, int]:
-    """Write chunks with their vectors; rows and tokens written. A missing or misshapen vector fails the whole write."""
-    bad = chunks.where(F.col("embedding").isNull() | (F.size("embedding") != dimension)).limit(1).count()
-    if bad:
-        raise ValueError(f"every chunk needs a vector of {dimension} components")
-    chunks.withColumn("id", chunk_id()).write.mode("overwrite" if replace else "append").parquet(path)
-    n, tokens = chunks.agg(F.count("*"), F.sum("chunk_tokens")).first()
-    return n, tokens or 0
+    """Write chunks with their vectors as a version of the table at ``path``; rows and tokens written.
+
+    Chunks are worked out once: what has been written is checked and summed up, and only then
+    becomes the table that readers see. A missing or misshapen vector leaves it as it was.
+    """
+    seen: dict[str, int] = {}
+
+    def check(written: DataFrame) -> None:
+        bad = F.col("embedding").isNull() | (F.size("embedding") != dimension)
+        n, tokens, wrong = written.agg(F.count("*"), F.sum("chunk_tokens"), F.count_if(bad)).first()
+        if wrong:
+            raise ValueError(f"every chunk needs a vector of {dimension} components")
+        seen.update(n=n, tokens=tokens or 0)
+
+    table, rows = chunk_table(chunks.sparkSession, path), chunks.withColumn("id", chunk_id())
+    (table.replace if replace else table.append)(rows, check=check)
+    return seen["n"], seen["tokens"]
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return chunk_table(spark, path).read()
 
 
 def count_rows(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count()
+    return read_chunks(spark, path).count()
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
