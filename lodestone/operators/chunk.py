@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import CAPTIONS, HEADING_TYPES, tokens
-from lodestone.functions.tokenizer import CL100K_PATTERN, encoder, token_ids
 from lodestone.functions.vector import l2_normalize
 
 # Sections of articles that are not chunked, folders that hold no sources.
@@ -51,28 +50,6 @@ def fixed_windows(docs: DataFrame, size: int = 512, overlap: int = 64, text: str
     return cut.withColumn("_part", part).withColumn("chunk_text", F.array_join("_part", " ")).withColumn("chunk_tokens", F.size("_part")).drop("_t", "_part", text)
 
 
-def bpe_windows(docs: DataFrame, vocabulary: str, size: int = 512, overlap: int = 64, text: str = "text", pattern: str = CL100K_PATTERN) -> DataFrame:
-    """Sliding windows of byte-pair tokens, as ``fixed_windows``; a window that cuts a character shows a replacement mark there.
-
-    Ids are made in Arrow batches; windows are cut from them as expressions, and only the
-    windows' own ids are decoded.
-    """
-    _check(size, overlap)
-    stride = size - overlap
-
-    @F.pandas_udf("string")
-    def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = encoder(vocabulary, pattern)
-        for part in ids:
-            yield part.map(lambda x: bpe.decode(x.tolist(), errors="replace"))
-
-    t = docs.withColumn("_t", token_ids(vocabulary, pattern)(F.col(text))).where(F.size("_t") > 0)
-    last = F.greatest(F.ceil((F.size("_t") - size) / stride), F.lit(0)).cast("int")
-    cut = t.drop(text).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    cut = cut.withColumn("_part", F.slice("_t", F.col("chunk_index") * stride + 1, F.lit(size))).drop("_t")
-    return cut.withColumn("chunk_text", decoded("_part")).withColumn("chunk_tokens", F.size("_part")).drop("_part")
-
-
 def sweep(docs: DataFrame, configs: list[tuple[int, int]], text: str = "text") -> DataFrame:
     """Fixed windows of several (size, overlap) in one pass over the corpus; adds ``size`` and ``overlap``."""
     for size, overlap in configs:
@@ -171,74 +148,78 @@ def split_lines(text: str, budget: int, tokenize: Callable[[str], list[str]]) ->
 
 
 def code_chunks(source: str, path: str, size: int = 512, least: int = 50, tokenize: Callable[[str], list[str]] = words) -> list[str]:
-    """Chunks along the syntax tree, each under a header with its file and scope.
+    """Chunks along the syntax tree, each under a header with its file and scope, which counts towards ``size``.
 
     Statements that fit are packed together; one that doesn't is opened and its body cut the
-    same way; what can't be opened, or parsed, is cut by lines. Chunks under ``least``
-    tokens join their neighbour.
+    same way; what can't be opened, or parsed, is cut by lines. Chunks under ``least`` tokens join
+    their neighbour where both together fit. Only lines that are longer by themselves, and pieces
+    of up to 64 tokens where the header leaves less room, make a chunk longer than ``size``.
     """
     lines = source.splitlines()
 
-    def header(scope: tuple[str, ...]) -> str:
-        return f"# File: {path}" + (f"\n# Scope: {' > '.join(scope)}" if scope else "")
+    def shown(scope: tuple[str, ...], text: str) -> str:
+        return f"# File: {path}" + (f"\n# Scope: {' > '.join(scope)}" if scope else "") + f"\n{text}"
+
+    def cost(scope: tuple[str, ...], text: str) -> int:
+        return len(tokenize(shown(scope, text)))
+
+    def begin(node: ast.stmt) -> int:
+        return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1
 
     pieces: list[tuple[tuple[str, ...], str]] = []
 
+    def put(scope: tuple[str, ...], own: list[str]) -> None:
+        text = "\n".join(own)
+        if not text.strip():
+            return
+        if cost(scope, text) <= size:
+            pieces.append((scope, text))
+        else:
+            pieces.extend((scope, x) for x in split_lines(text, size - cost(scope, ""), tokenize))
+
     def cut(nodes: list[ast.stmt], first: int, last: int, scope: tuple[str, ...]) -> None:
         held: list[str] = []
-        count, at = 0, first
-
-        def close() -> None:
-            nonlocal held, count
-            if held and "\n".join(held).strip():
-                pieces.append((scope, "\n".join(held)))
-            held, count = [], 0
-
+        at = first
         for k, node in enumerate(nodes):
-            end = nodes[k + 1].lineno - 1 if k + 1 < len(nodes) else last
+            end = begin(nodes[k + 1]) if k + 1 < len(nodes) else last
             end = max(end, node.end_lineno or node.lineno)
             own = lines[at:end]
-            cost = len(tokenize("\n".join(own)))
             body = getattr(node, "body", None)
-            if cost <= size:
-                if held and count + cost > size:
-                    close()
-                held += own
-                count += cost
-            elif isinstance(body, list) and body and isinstance(body[0], ast.stmt):
-                close()
-                start = min(x.lineno for x in body) - 1
-                held, count = lines[at:start], len(tokenize("\n".join(lines[at:start])))
-                close()
+            if held and cost(scope, "\n".join([*held, *own])) > size:
+                put(scope, held)
+                held = []
+            if cost(scope, "\n".join(own)) > size and isinstance(body, list) and body and isinstance(body[0], ast.stmt):
+                start = min(map(begin, body))
+                put(scope, lines[at:start])
                 cut(body, start, end, (*scope, node.name) if hasattr(node, "name") else scope)
             else:
-                close()
-                pieces.extend((scope, x) for x in split_lines("\n".join(own), size, tokenize))
+                held += own
             at = end
-        close()
+        put(scope, held)
 
     try:
         tree = ast.parse(source)
-        cut(tree.body, 0, len(lines), ()) if tree.body else pieces.extend(((), x) for x in split_lines(source, size, tokenize))
+        cut(tree.body, 0, len(lines), ()) if tree.body else put((), lines)
     except (SyntaxError, ValueError):
-        pieces = [((), x) for x in split_lines(source, size, tokenize)]
-    return [f"{header(scope)}\n{text}" for scope, text in merge_small(pieces, least, tokenize)]
-
-
-def merge_small(pieces: list[tuple[tuple[str, ...], str]], least: int, tokenize: Callable[[str], list[str]]) -> list[tuple[tuple[str, ...], str]]:
-    """Pieces under ``least`` tokens go to the next piece, the last one to the piece before it."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    held: tuple[tuple[str, ...], str] | None = None
-    for scope, text in pieces:
-        if held is not None:
-            text = f"{held[1]}\n{text}"
-            scope = held[0] if len(held[0]) < len(scope) else scope
-        held = (scope, text)
-        if len(tokenize(text)) >= least:
-            out.append(held)
-            held = None
-    if held is not None:
-        out = [*out[:-1], (out[-1][0], f"{out[-1][1]}\n{held[1]}")] if out else [held]
+        put((), lines)
+    return [shown(scope, text) for scope, text in merge_small(pieces, least, size, cost)]
+
+
+def merge_small(pieces: list[tuple[tuple[str, ...], str]], least: int, size: int, cost: Callable[[tuple[str, ...], str], int]) -> list[tuple[tuple[str, ...], str]]:
+    """Pieces under ``least`` tokens go to the next piece, or to the one before it, and take that one's scope; none grows beyond ``size``."""
+    out, k = list(pieces), 0
+    while k < len(out):
+        scope, text = out[k]
+        if cost(scope, text) < least:
+            after = out[k + 1] if k + 1 < len(out) else None
+            before = out[k - 1] if k else None
+            if after and cost(after[0], f"{text}\n{after[1]}") <= size:
+                out[k : k + 2] = [(after[0], f"{text}\n{after[1]}")]
+                continue
+            if before and cost(before[0], f"{before[1]}\n{text}") <= size:
+                out[k - 1 : k + 1] = [(before[0], f"{before[1]}\n{text}")]
+                continue
+        k += 1
     return out
 
 
