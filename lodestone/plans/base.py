@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +47,8 @@ class Fixture:
                 held += c
         return [*out, held]
 
-    def frame(self, spark: SparkSession) -> DataFrame:
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The rows as a table; ``sf_dir`` tells fixtures that are spread over given rows where these are."""
         from datetime import datetime
 
         stamps = [k for k, kind in enumerate(self.kinds) if kind == "timestamp"]
@@ -63,11 +65,61 @@ class Fixture:
             return f"CAST('{str(v).replace(chr(39), chr(39) * 2)}' AS {duck})"
         return f"CAST({v} AS {duck})"
 
+    def over(self, table: str, key: str, every: bool = False, **mix: str | tuple[str, str]) -> Fixture:
+        """This table for each row of a given one, or its row number ``key`` modulo its size."""
+        return Spread(self, table, key, every, mix)
+
     def cte(self) -> str:
         rows = ",\n".join("(" + ", ".join(self._literal(v, k) for v, k in zip(r, self.kinds, strict=True)) + ")" for r in self.rows)
         return f"{self.name}({', '.join(self.columns)}) AS (VALUES {rows})"
 
 
+class Spread(Fixture):
+    """A small table spread over a given one, so that it grows with it.
+
+    ``mix`` says what a column becomes: SQL that both engines read, of the fixture's own value
+    ``{v}`` and the given row's columns; a pair where they differ. Columns that aren't named stay as they are.
+    """
+
+    def __init__(self, base: Fixture, table: str, key: str, every: bool, mix: dict[str, str | tuple[str, str]]):
+        self.base, self.table, self.key, self.every, self.mix = base, table, key, every, mix
+        self.name, self.columns, self.kinds = base.name, base.columns, base.kinds
+        assert mix.keys() <= set(base.columns), mix.keys()
+
+    def _selected(self, engine: int) -> list[tuple[str, str]]:
+        """SQL and name of each column, for Spark (0) or DuckDB (1)."""
+        out = []
+        for c in self.columns:
+            sql = self.mix.get(c, "{v}")
+            out.append(((sql if isinstance(sql, str) else sql[engine]).format(v=f"_{c}"), c))
+        return out
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = self.base.frame(spark, sf_dir)
+        numbered = own.coalesce(1).toDF(*[f"_{c}" for c in self.columns]).withColumn("_n", F.monotonically_increasing_id())  # of one partition: 0, 1, 2 ...
+        given = load(spark, sf_dir, self.table)
+        few = F.broadcast(numbered)  # rows that are fixed here
+        met = given.crossJoin(few) if self.every else given.join(few, F.expr(f"{self.key} % {len(self.base.rows)} = _n"))
+        return met.select(*[F.expr(sql).alias(c) for sql, c in self._selected(0)])
+
+    def cte(self) -> str:
+        rows = ",\n".join("(" + ", ".join([str(n), *(self._literal(v, k) for v, k in zip(r, self.kinds, strict=True))]) + ")" for n, r in enumerate(self.base.rows))
+        names = ", ".join(["_n", *(f"_{c}" for c in self.columns)])
+        chosen = ", ".join(f"{sql} AS {c}" for sql, c in self._selected(1))
+        on = "" if self.every else f" WHERE {self.key} % {len(self.base.rows)} = _n"
+        return f"{self.name} AS (SELECT {chosen} FROM {self.table}, (VALUES {rows}) own({names}){on})"
+
+
+def tagged(key: str) -> str:
+    """SQL of a name that is told apart by the given row's key."""
+    return f"{{v}} || '~' || CAST({key} AS STRING)"
+
+
+def all_tagged(key: str) -> tuple[str, str]:
+    """The same for each name of a list, in Spark's SQL and DuckDB's."""
+    return f"transform({{v}}, x -> x || '~' || CAST({key} AS STRING))", f"list_transform({{v}}, lambda x: x || '~' || CAST({key} AS STRING))"
+
+
 SOURCES = Fixture(
     "sources",
     "slug string, name string, family string, status string, visibility string, access_visibility string, allowed_groups array<string>, description string, tags array<string>, owner_team string, active_index string, health string, w_allowed boolean, w_scope string, w_modes array<string>, w_groups array<string>",
@@ -145,5 +197,27 @@ EDGES = Fixture(
 )
 
 
+_OF = tagged("s_suppkey")
+
+
+def _catalog(base: Fixture, *keys: str, **mix: str) -> Fixture:
+    """A table of the catalog of each supplier; ``keys`` are names within it."""
+    return base.over("supplier", "s_suppkey", every=True, **{k: _OF for k in keys}, **mix)
+
+
+SOURCES = _catalog(SOURCES, "slug", "active_index", name="{v} || ' of ' || s_name", health="CASE WHEN s_acctbal < 0 AND {v} = 'ok' THEN 'failed' ELSE {v} END", description="{v}")
+INDEXES = _catalog(INDEXES, "id", "slug", "location", "recipe_id", document_count="{v} + CAST(s_suppkey AS INT)", health="CASE WHEN s_acctbal > 9000 AND {v} = 'ok' THEN 'degraded' ELSE {v} END")
+RECIPES = _catalog(RECIPES, "id", "slug", "model", url="{v} || '/' || CAST(s_suppkey AS STRING)")
+INCOMING = _catalog(INCOMING, "slug")
+ENDPOINTS = _catalog(ENDPOINTS, "model_name", url="{v} || '/' || CAST(s_suppkey AS STRING)", status="CASE WHEN s_acctbal < 0 AND {v} = 'healthy' THEN 'unhealthy' ELSE {v} END")
+NEW_ENDPOINTS = _catalog(NEW_ENDPOINTS, "model_name", url="{v} || '/' || CAST(s_suppkey AS STRING)")
+PROMPTS = _catalog(PROMPTS, "slug", text="{v} || ' Asks ' || s_name")
+RUNS = _catalog(RUNS, "slug", run_id="{v} + 10 * CAST(s_suppkey AS BIGINT)")
+IDENTITIES = _catalog(IDENTITIES, "sub")
+#: The same graphs of entities, one for each customer; those above stand beside the documents.
+MANY_ENTITIES = ENTITIES.over("customer", "c_custkey", every=True, name=tagged("c_custkey"), aliases=all_tagged("c_custkey"), doc_titles=all_tagged("c_custkey"))
+MANY_EDGES = EDGES.over("customer", "c_custkey", every=True, source_entity=tagged("c_custkey"), target_entity=tagged("c_custkey"))
+
+
 def with_fixtures(sql: str, *fixtures: Fixture, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f.cte() for f in fixtures) + "\n" + sql

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunk, refine, rewrite, search
-from lodestone.plans.base import EDGES, ENTITIES, Fixture, load, query, with_fixtures
+from lodestone.plans.base import EDGES, ENTITIES, MANY_EDGES, MANY_ENTITIES, Fixture, load, query, tagged, with_fixtures
 from lodestone.plans.texts import windows_sql
 
 CHUNKS = f"""{windows_sql(128, 16)}, nvec AS (SELECT count(*) AS n FROM embeddings),
@@ -100,9 +100,9 @@ def budget_outward(spark, sf_dir):
 _BOTH = "both_ways AS (SELECT source_entity AS entity, target_entity AS related, pos FROM edges UNION ALL SELECT target_entity, source_entity, pos FROM edges WHERE directionality = 'bidirectional')"
 
 
-@query("xref_targets", with_fixtures(f", {_BOTH} SELECT entity, related FROM both_ways WHERE entity IN (SELECT name FROM entities)".lstrip(), ENTITIES, EDGES).replace("\n, both", ",\nboth"))
+@query("xref_targets", with_fixtures(f", {_BOTH} SELECT entity, related FROM both_ways WHERE entity IN (SELECT name FROM entities)".lstrip(), MANY_ENTITIES, MANY_EDGES).replace("\n, both", ",\nboth"))
 def xref_targets(spark, sf_dir):
-    return refine.related_entities(ENTITIES.frame(spark), EDGES.frame(spark)).select("entity", "related")
+    return refine.related_entities(MANY_ENTITIES.frame(spark, sf_dir), MANY_EDGES.frame(spark, sf_dir)).select("entity", "related")
 
 
 _TITLES = f""", {_BOTH}, listed AS (SELECT name, pos, unnest(doc_titles) AS doc_title, generate_subscripts(doc_titles, 1) - 1 AS t FROM entities),
@@ -110,9 +110,9 @@ owner AS (SELECT doc_title, arg_min(name, pos) AS entity FROM listed GROUP BY do
 hop AS (SELECT o.doc_title, l.doc_title AS target, min((b.pos, l.t)) AS first FROM owner o JOIN both_ways b USING (entity) JOIN listed l ON l.name = b.related WHERE l.doc_title <> o.doc_title GROUP BY ALL)"""
 
 
-@query("related_titles", with_fixtures(_TITLES + " SELECT doc_title, string_agg(target, ',' ORDER BY first) AS titles FROM hop GROUP BY doc_title", ENTITIES, EDGES).replace("\n, both", ",\nboth"))
+@query("related_titles", with_fixtures(_TITLES + " SELECT doc_title, string_agg(target, ',' ORDER BY first) AS titles FROM hop GROUP BY doc_title", MANY_ENTITIES, MANY_EDGES).replace("\n, both", ",\nboth"))
 def related_titles(spark, sf_dir):
-    return refine.related_titles(ENTITIES.frame(spark), EDGES.frame(spark)).select("doc_title", F.array_join("titles", ",").alias("titles"))
+    return refine.related_titles(MANY_ENTITIES.frame(spark, sf_dir), MANY_EDGES.frame(spark, sf_dir)).select("doc_title", F.array_join("titles", ",").alias("titles"))
 
 
 _X = with_fixtures(
@@ -130,17 +130,19 @@ SELECT oid, chunk_id, position, round(score, 6) AS score FROM own UNION ALL SELE
 def refine_cross_reference(spark, sf_dir):
     c = vector_chunks(spark, sf_dir)
     o = c.where("chunk_index = 1").select(F.col("doc_id").alias("oid"), "doc_title", "chunk_index", F.col("embedding").alias("qvec"))
-    titles = refine.related_titles(ENTITIES.frame(spark), EDGES.frame(spark))
+    titles = refine.related_titles(ENTITIES.frame(spark, sf_dir), EDGES.frame(spark, sf_dir))
     out = refine.cross_reference(o, c, titles, 3)
     return out.select("oid", "chunk_id", F.col("position").cast("long").alias("position"), F.round("score", 6).alias("score"))
 
 
 ASKED = Fixture("asked", "qid int, query string, doc_title string", [(0, "ptsd", "doc-0"), (1, "SUD", "doc-2"), (2, "unknown", "doc-3"), (3, "phq-9", "doc-5"), (4, "et", "doc-11")])
 
+MANY_ASKED = ASKED.over("customer", "c_custkey", every=True, qid="{v} + 5 * CAST(c_custkey AS INT)", query=tagged("c_custkey"))
 
-@query("entity_aliases", with_fixtures("SELECT qid, array_to_string(coalesce((SELECT arg_min(aliases, pos) FROM entities WHERE lower(name) = lower(query)), []), ',') AS aliases FROM asked", ENTITIES, ASKED))
+
+@query("entity_aliases", with_fixtures("SELECT qid, array_to_string(coalesce((SELECT arg_min(aliases, pos) FROM entities WHERE lower(name) = lower(query)), []), ',') AS aliases FROM asked", MANY_ENTITIES, MANY_ASKED))
 def entity_aliases(spark, sf_dir):
-    return refine.aliases_of(ASKED.frame(spark), ENTITIES.frame(spark)).select("qid", F.array_join("aliases", ",").alias("aliases"))
+    return refine.aliases_of(MANY_ASKED.frame(spark, sf_dir), MANY_ENTITIES.frame(spark, sf_dir)).select("qid", F.array_join("aliases", ",").alias("aliases"))
 
 
 _ARC = with_fixtures(
@@ -156,9 +158,9 @@ SELECT qid, chunk_index, round(max(score), 6) AS score FROM hit GROUP BY qid, ch
 
 @query("refine_entity_arc", _ARC)
 def refine_entity_arc(spark, sf_dir):
-    asked = ASKED.frame(spark)
+    asked = ASKED.frame(spark, sf_dir)
     q = asked.join(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
-    arc = refine.entity_arc(q, vector_chunks(spark, sf_dir), refine.aliases_of(asked, ENTITIES.frame(spark)), 2, -0.05)
+    arc = refine.entity_arc(q, vector_chunks(spark, sf_dir), refine.aliases_of(asked, ENTITIES.frame(spark, sf_dir)), 2, -0.05)
     return arc.select(F.col("qid").cast("int").alias("qid"), "chunk_index", F.round("score", 6).alias("score"))
 
 
@@ -173,14 +175,14 @@ REQUESTS = Fixture(
         (4, "section", None, None, "other", "section", False, 100, 9, 0.1, None, None, None, None, None),
         (5, None, None, None, "other", None, None, None, None, None, None, None, None, None, None),
     ],
-)
+).over("orders", "o_orderkey", id="CAST(o_orderkey AS INT)", tool_max_tokens="{v} + CAST(o_custkey AS INT)")
 
 
 @query("resolve_strategy", with_fixtures("""SELECT id, coalesce(tool_strategy, CASE WHEN u1 THEN kind1 WHEN u2 THEN kind2 END, CASE family WHEN 'document' THEN 'section' WHEN 'clinical_document' THEN 'section' ELSE 'adjacent' END) AS strategy,
 coalesce(tool_max_tokens, CASE WHEN u1 THEN max1 WHEN u2 THEN max2 END) AS max_tokens, coalesce(tool_window, CASE WHEN u1 THEN window1 WHEN u2 THEN window2 END, 2) AS window, CASE WHEN u1 THEN min1 WHEN u2 THEN min2 END AS min_score
 FROM (SELECT *, coalesce(enabled1, false) AND (tool_strategy IS NULL OR tool_strategy = kind1) AS u1, coalesce(enabled2, false) AND (tool_strategy IS NULL OR tool_strategy = kind2) AS u2 FROM requests)""", REQUESTS))
 def resolve_strategy(spark, sf_dir):
-    r = REQUESTS.frame(spark)
+    r = REQUESTS.frame(spark, sf_dir)
     s = lambda k: F.struct(F.col(f"kind{k}").alias("kind"), F.col(f"enabled{k}").alias("enabled"), F.col(f"max{k}").alias("max_context_tokens"), F.col(f"window{k}").alias("window"), F.col(f"min{k}").alias("min_score"))
     r = r.withColumn("strategies", F.filter(F.array(s(1), s(2)), lambda x: x["kind"].isNotNull()))
     return refine.resolve_strategy(r).select("id", "strategy", "max_tokens", "window", "min_score")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunk, rewrite
-from lodestone.plans.base import INDEXES, SOURCES, Fixture, load, query, with_fixtures
+from lodestone.plans.base import INDEXES, RECIPES, SOURCES, Fixture, load, query, tagged, with_fixtures
 from lodestone.plans.texts import windows_sql
 from lodestone.sources import scan, sink
 from lodestone.sources.places import shared_folder, write_files
@@ -119,19 +119,19 @@ REPOSITORIES = Fixture(
     "recipe_contents",
     "id string, content string",
     [("r1", "{}"), ("r2", '{"github_repo":"own/guides","embedding":{"model":"large"}}'), ("r3", '{"embedding":{"model":"small"}}'), ("r4", '{"github_repo":""}')],
-)
-WANTED = Fixture("wanted", "qid long, slug string, path string, ref string", [(0, "guidelines", "a.md", None), (1, "guidelines", "dir", "v1"), (2, "bulletins", "a.md", None), (3, "nobody", "a.md", None), (4, "guidelines", "gone.md", None), (5, "articles", "a.md", "v2"), (6, "guidelines", "big.md", None)])
+).over("supplier", "s_suppkey", every=True, id=tagged("s_suppkey"))
+WANTED = Fixture("wanted", "qid long, slug string, path string, ref string", [(0, "guidelines", "a.md", None), (1, "guidelines", "dir", "v1"), (2, "bulletins", "a.md", None), (3, "nobody", "a.md", None), (4, "guidelines", "gone.md", None), (5, "articles", "a.md", "v2"), (6, "guidelines", "big.md", None), (7, "guidelines", "a.md", "v1"), (8, "guidelines", "a.md", "v2"), (9, "guidelines", "a.md", "v1")]).over("supplier", "s_suppkey", every=True, qid="{v} + 10 * CAST(s_suppkey AS BIGINT)", slug=tagged("s_suppkey"))
 
 
 def _repository(url: str, timeout: float) -> tuple[int, str, bytes]:
     import base64
 
-    path = url.partition("/contents/")[2].partition("?")[0]
+    path, _, ref = url.partition("/contents/")[2].partition("?ref=")
     if path == "dir":
         return 200, "", b'{"type": "dir"}'
     if path == "big.md":
         return 403, "", b""
-    return (200, "", json.dumps({"type": "file", "content": base64.b64encode(b"text of a").decode()}).encode()) if path == "a.md" else (404, "", b"")
+    return (200, "", json.dumps({"type": "file", "content": base64.b64encode(f"text of a{ref}".encode()).decode()}).encode()) if path == "a.md" else (404, "", b"")
 
 
 _REPO = "named AS (SELECT s.slug, json_extract_string(r.content, '$.github_repo') AS github_repo, json_extract_string(r.content, '$.embedding.model') AS embedding_model FROM sources s LEFT JOIN indexes i ON i.id = s.active_index LEFT JOIN recipe_contents r ON r.id = i.recipe_id)"
@@ -141,19 +141,19 @@ _REPO = "named AS (SELECT s.slug, json_extract_string(r.content, '$.github_repo'
 def recipe_attributes(spark, sf_dir):
     from lodestone.operators import catalog
 
-    return catalog.recipe_attributes(SOURCES.frame(spark), INDEXES.frame(spark), REPOSITORIES.frame(spark))
+    return catalog.recipe_attributes(SOURCES.frame(spark, sf_dir), INDEXES.frame(spark, sf_dir), REPOSITORIES.frame(spark, sf_dir))
 
 
 @query(
     "retrieve_file",
     with_fixtures(
-        f", {_REPO}, e AS (SELECT w.qid, w.slug, path, CASE WHEN n.slug IS NULL THEN 'unknown source' WHEN coalesce(github_repo, '') = '' THEN 'no repository' WHEN path = 'dir' THEN 'not a file' WHEN path = 'big.md' THEN 'forbidden' WHEN path <> 'a.md' THEN 'not found' END AS error FROM wanted w LEFT JOIN named n USING (slug)) SELECT qid, slug, '' AS chunk_id, path AS doc_title, CASE WHEN error IS NULL THEN 'text of a' END AS text, CASE WHEN error IS NULL THEN 1.0::DOUBLE END AS score, error FROM e",
+        f", {_REPO}, e AS (SELECT w.qid, w.slug, path, ref, CASE WHEN n.slug IS NULL THEN 'unknown source' WHEN coalesce(github_repo, '') = '' THEN 'no repository' WHEN path = 'dir' THEN 'not a file' WHEN path = 'big.md' THEN 'forbidden' WHEN path <> 'a.md' THEN 'not found' END AS error FROM wanted w LEFT JOIN named n USING (slug)) SELECT qid, slug, '' AS chunk_id, path AS doc_title, CASE WHEN error IS NULL THEN 'text of a' || coalesce(ref, '') END AS text, CASE WHEN error IS NULL THEN 1.0::DOUBLE END AS score, error FROM e",
         SOURCES, INDEXES, REPOSITORIES, WANTED,
     ).replace("\n, named", ",\nnamed"),
 )
 def retrieve_file(spark, sf_dir):
     """Single files of the repositories that sources' recipes name, as hits."""
-    return scan.retrieve_files(WANTED.frame(spark), recipe_attributes(spark, sf_dir).select("slug", "github_repo"), _repository)
+    return scan.retrieve_files(WANTED.frame(spark, sf_dir), recipe_attributes(spark, sf_dir).select("slug", "github_repo"), _repository)
 
 
 def _external(question: str, top_k: int) -> list[dict]:
@@ -176,21 +176,24 @@ def chunk_table(spark, sf_dir):
     vector = F.array(F.col("chunk_tokens").cast("float"), F.lit(1.0).cast("float"))
     path = f"{shared_folder(spark, 'chunks')}/table"
     sink.write_chunks(c.select("chunk_text", "chunk_tokens", "doc_title", "doc_url", F.lit(None).cast("string").alias("doc_section"), "chunk_index", vector.alias("embedding")), path, 2)
-    return spark.read.parquet(path).select("doc_title", "chunk_index", F.col("chunk_tokens").cast("long").alias("chunk_tokens"), "id")
+    return sink.read_chunks(spark, path).select("doc_title", "chunk_index", F.col("chunk_tokens").cast("long").alias("chunk_tokens"), "id")
 
 
-@query("create_table", "SELECT * FROM (VALUES (0, false, 0), (1, true, 8), (2, true, 8)) v(step, there, n_columns)")
+@query("create_table", "SELECT step, there, n_columns, (SELECT count(*) FROM supplier) * step AS n_rows FROM (VALUES (0, false, 0), (1, true, 8), (2, true, 8)) v(step, there, n_columns)")
 def create_table(spark, sf_dir):
-    """A chunk table that is created if it isn't there, twice."""
+    """A chunk table that is created if it isn't there, twice, and filled each time with a row a supplier."""
     import uuid
 
     name, seen = f"lodestone_{uuid.uuid4().hex}", []
     for step in range(3):
         there = sink.table_exists(spark, name)
-        seen.append((step, there, len(spark.table(name).columns) if there else 0))
+        seen.append((step, there, len(spark.table(name).columns) if there else 0, spark.table(name).count() if there else 0))
         sink.create_chunk_table(spark, name)
+        made = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("chunk_text"), F.col("s_suppkey").cast("int").alias("chunk_index"))
+        columns = {f.name: f.dataType for f in spark.table(name).schema.fields}
+        made.select(*[(F.col(c) if c in made.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]).write.insertInto(name)
     spark.sql(f"DROP TABLE {name}")
-    return spark.createDataFrame(seen, "step int, there boolean, n_columns int")
+    return spark.createDataFrame(seen, "step int, there boolean, n_columns int, n_rows long")
 
 
 @query("write_scores", "SELECT o_orderkey, round(o_totalprice / 7, 4) AS score, kind FROM orders, (VALUES ('csv'), ('json')) v(kind)")
@@ -237,7 +240,7 @@ TITLES = Fixture(
         (4, "Clinical Practice Guidelines", ["The clinical practice guideline."]),
         (5, "Clinical practice guidelinest", []),
     ],
-)
+).over("part", "p_partkey", id="CAST(p_partkey AS INT)", title="{v} || ', no. ' || CAST(p_partkey AS STRING)")
 _MEND = "replace(replace(replace({0}, '&amp;', '&'), 'VA/DOD', 'VA/DoD'), 'DIAGNOSI S', 'DIAGNOSIS')"
 _NAMED = "regexp_matches({0}, '(?i)CLINICAL PRACTICE GUIDELINE([^A-Za-z0-9_]|$)')"
 
@@ -252,10 +255,10 @@ _NAMED = "regexp_matches({0}, '(?i)CLINICAL PRACTICE GUIDELINE([^A-Za-z0-9_]|$)'
 def guideline_title(spark, sf_dir):
     from lodestone.functions.text import guideline_title as named
 
-    return TITLES.frame(spark).select("id", named(F.col("title"), F.col("headings")).alias("title"))
+    return TITLES.frame(spark, sf_dir).select("id", named(F.col("title"), F.col("headings")).alias("title"))
 
 
-PARAMS = Fixture("params", "id int, p string", [(0, "{'module_type': 'x', 'chunk_method': 'Token', 'chunk_size': 512, 'chunk_overlap': 64}"), (1, '{"chunk_method": "Sentence", "chunk_overlap": 0, "chunk_size": 1024}'), (2, "{'chunk_size': 3}"), (3, None)])
+PARAMS = Fixture("params", "id int, p string", [(0, "{'module_type': 'x', 'chunk_method': 'Token', 'chunk_size': 512, 'chunk_overlap': 64}"), (1, '{"chunk_method": "Sentence", "chunk_overlap": 0, "chunk_size": 1024}'), (2, "{'chunk_size': 3}"), (3, None)]).over("orders", "o_orderkey", id="CAST(o_orderkey AS INT)", p="replace({v}, '512', CAST(o_orderkey AS STRING))")
 _PARAM = "nullif(regexp_extract(p, '[''\"]{0}[''\"]\\s*:\\s*[''\"]?([^''\",}}\\s]+)', 1), '')"
 
 
@@ -263,11 +266,11 @@ _PARAM = "nullif(regexp_extract(p, '[''\"]{0}[''\"]\\s*:\\s*[''\"]?([^''\",}}\\s
 def chunker_label(spark, sf_dir):
     from lodestone.functions.text import chunker_label as label
 
-    return PARAMS.frame(spark).select("id", label(F.col("p")).alias("label"))
+    return PARAMS.frame(spark, sf_dir).select("id", label(F.col("p")).alias("label"))
 
 
-CACHE = Fixture("cache_rows", "slug string, version int, question string, context string, answer string, stored int", [("a", 1, "q", None, "old", 1), ("a", 1, "q", None, "new", 2), ("a", 1, "q", "", "other", 5), ("b", 1, "q", None, "b", 1)])
-ASKED = Fixture("asked", "qid int, slug string, version int, question string, context string", [(0, "a", 1, "q", None), (1, "a", 2, "q", None), (2, "a", 1, "q", ""), (3, "b", 1, "r", None), (4, "b", 1, "q", None)])
+CACHE = Fixture("cache_rows", "slug string, version int, question string, context string, answer string, stored int", [("a", 1, "q", None, "old", 1), ("a", 1, "q", None, "new", 2), ("a", 1, "q", "", "other", 5), ("b", 1, "q", None, "b", 1)]).over("supplier", "s_suppkey", every=True, slug=tagged("s_suppkey"), answer="{v} || s_name")
+ASKED = Fixture("asked", "qid int, slug string, version int, question string, context string", [(0, "a", 1, "q", None), (1, "a", 2, "q", None), (2, "a", 1, "q", ""), (3, "b", 1, "r", None), (4, "b", 1, "q", None)]).over("supplier", "s_suppkey", every=True, slug=tagged("s_suppkey"), qid="{v} + 5 * CAST(s_suppkey AS INT)")
 
 
 @query(
@@ -276,8 +279,8 @@ ASKED = Fixture("asked", "qid int, slug string, version int, question string, co
 )
 def rewrite_cache(spark, sf_dir):
     parts = ["slug", "version", "question", "context"]
-    cache = CACHE.frame(spark).select(rewrite.cache_key(*parts).alias("key"), "answer", "stored")
-    hits, misses = rewrite.with_cache(ASKED.frame(spark), cache, *parts)
+    cache = CACHE.frame(spark, sf_dir).select(rewrite.cache_key(*parts).alias("key"), "answer", "stored")
+    hits, misses = rewrite.with_cache(ASKED.frame(spark, sf_dir), cache, *parts)
     return hits.select("qid", "answer").unionAll(misses.select("qid", F.lit(None).cast("string")))
 
 
@@ -299,23 +302,13 @@ def annotate(spark, sf_dir):
     return catalog.annotate(c, notes).select("conv_id", "turn", F.array_join("notes", ",").alias("notes"))
 
 
-WRITES = Fixture("writes", "request_id string, sub string, slug string, mode string, item_id string", [("q1", "bob", "bulletins", "append", "i2"), ("q1", "bob", "bulletins", "append", "i1"), ("q1", "bob", "bulletins", "append", "i1"), ("q2", "ann", "guidelines", "annotate", "c9"), ("q3", "bot", "engine-code", "upsert", "k")])
+WRITES = Fixture("writes", "request_id string, sub string, slug string, mode string, item_id string", [("q1", "bob", "bulletins", "append", "i2"), ("q1", "bob", "bulletins", "append", "i1"), ("q1", "bob", "bulletins", "append", "i1"), ("q2", "ann", "guidelines", "annotate", "c9"), ("q3", "bot", "engine-code", "upsert", "k")]).over("supplier", "s_suppkey", every=True, request_id=tagged("s_suppkey"), slug=tagged("s_suppkey"), item_id=tagged("s_suppkey"))
 
 
-@query("audit_records", with_fixtures("SELECT request_id, sub, w.slug, mode, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, any_value(v.version) AS recipe_version FROM writes w LEFT JOIN (SELECT s.slug, r.version FROM sources s JOIN indexes i ON i.id = s.active_index JOIN recipes r ON r.id = i.recipe_id) v USING (slug) GROUP BY ALL", SOURCES, INDEXES, WRITES, Fixture("recipes", "id string, version int", [("r1", 1), ("r2", 2), ("r3", 1), ("r4", 1)])).replace("any_value(v.version)", "max(v.version)"))
+@query("audit_records", with_fixtures("SELECT request_id, sub, w.slug, mode, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items, any_value(v.version) AS recipe_version FROM writes w LEFT JOIN (SELECT s.slug, r.version FROM sources s JOIN indexes i ON i.id = s.active_index JOIN recipes r ON r.id = i.recipe_id) v USING (slug) GROUP BY ALL", SOURCES, INDEXES, WRITES, RECIPES).replace("any_value(v.version)", "max(v.version)"))
 def audit_records(spark, sf_dir):
     from lodestone.operators import catalog
-    from lodestone.plans.base import RECIPES
 
-    a = catalog.audit_records(WRITES.frame(spark), SOURCES.frame(spark), INDEXES.frame(spark), RECIPES.frame(spark))
+    a = catalog.audit_records(WRITES.frame(spark, sf_dir), SOURCES.frame(spark, sf_dir), INDEXES.frame(spark, sf_dir), RECIPES.frame(spark, sf_dir))
     return a.select("request_id", "sub", "slug", "mode", F.array_join("item_ids", ",").alias("items"), "recipe_version")
 
-
-@query("bpe_windows")
-def bpe_windows(spark, sf_dir):
-    """Windows of byte-pair tokens of all documents, by an installed vocabulary."""
-    import public_tokenizers
-
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    c = chunk.bpe_windows(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), 512, 64, pattern=public_tokenizers.PATTERN)
-    return c.select("doc_id", "chunk_index", "chunk_tokens", F.md5("chunk_text").alias("h"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation
-from lodestone.plans.base import EDGES, load, query, with_fixtures
+from lodestone.operators import evaluation, graph
+from lodestone.plans.base import MANY_EDGES, MANY_ENTITIES, load, query, with_fixtures
 from lodestone.streaming import incremental
 
 
@@ -54,24 +54,23 @@ def event_props(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count("*").alias("n"))
 
 
-@query("graph_traverse", with_fixtures(", walk AS (SELECT 'PTSD' AS entity, 0 AS depth UNION SELECT e.target_entity, depth + 1 FROM walk JOIN (SELECT source_entity, target_entity FROM edges UNION ALL SELECT target_entity, source_entity FROM edges WHERE directionality = 'bidirectional') e ON e.source_entity = entity WHERE depth < 3) SELECT entity, min(depth) AS depth FROM walk GROUP BY entity", EDGES, recursive=True).replace("\n, walk", ",\nwalk"))
+@query("graph_traverse", with_fixtures(", walk AS (SELECT name AS seed, name AS entity, 0 AS depth FROM entities WHERE starts_with(name, 'PTSD~') UNION SELECT seed, e.target_entity, depth + 1 FROM walk JOIN (SELECT source_entity, target_entity FROM edges UNION ALL SELECT target_entity, source_entity FROM edges WHERE directionality = 'bidirectional') e ON e.source_entity = entity WHERE depth < 3) SELECT seed, entity, min(depth)::INTEGER AS depth FROM walk GROUP BY seed, entity", MANY_ENTITIES, MANY_EDGES, recursive=True).replace("\n, walk", ",\nwalk"))
 def graph_traverse(spark, sf_dir):
-    """Breadth first, one join a step, only from what the last step reached."""
-    e = EDGES.frame(spark)
-    both = e.select(F.col("source_entity").alias("entity"), F.col("target_entity").alias("next")).unionAll(e.where("directionality = 'bidirectional'").select("target_entity", "source_entity"))
-    seen = front = spark.createDataFrame([("PTSD", 0)], "entity string, depth int")
-    for depth in range(1, 4):
-        front = front.join(both, "entity").select(F.col("next").alias("entity")).distinct().join(seen, "entity", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionAll(front)
-    return seen
+    """What one entity of each customer's graph reaches in three steps."""
+    e = MANY_EDGES.frame(spark, sf_dir).select(F.col("source_entity").alias("source"), F.col("target_entity").alias("target"), F.col("directionality").alias("kind"))
+    seeds = MANY_ENTITIES.frame(spark, sf_dir).where("startswith(name, 'PTSD~')").select(F.col("name").alias("seed"))
+    return graph.traverse(graph.both_ways(e, F.col("kind") == "bidirectional"), seeds, 3).select("seed", F.col("node").alias("entity"), "depth")
 
 
 _W = "list_filter(string_split_regex(coalesce({t}, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 
-@query("bm25", f"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest({_W.format(t='lower(text)')}) AS w FROM benchmark WHERE item_id % 50 = 0),
+BM25 = f"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest({_W.format(t='lower(text)')}) AS w FROM benchmark WHERE item_id % 50 = 0),
 d AS (SELECT doc_id, {_W.format(t='text')} AS t, {_W.format(t='lower(text)')} AS lt FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM d),
-tf AS (SELECT w, doc_id, any_value(len) AS len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(lt) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY w, doc_id), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w)
+tf AS (SELECT w, doc_id, any_value(len) AS len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(lt) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY w, doc_id), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w)"""
+
+
+@query("bm25", f"""{BM25}
 SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / al))), 6) AS score FROM q JOIN tf USING (w) JOIN df USING (w), st GROUP BY qid, doc_id""")
 def bm25(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))

@@ -21,12 +21,12 @@ LINES = Fixture(
         (6, "First one. Second one. Third"),
         (7, "Single sentence."),
     ],
-)
+).over("documents", "doc_id", id="CAST(doc_id AS INT)", s="{v} || chr(10) || text")
 NAMES = Fixture(
     "names",
     "id int, s string",
     [(0, "SB_1234 wing"), (1, "ssl 5"), (2, "report"), (3, "good-slug-1"), (4, "bad--slug"), (5, "-edge"), (6, ""), (7, "https://github.com/own/repo.git"), (8, "git@github.com:own/other"), (9, "care/adult/guide.md"), (10, "http://h/v1/chat/completions/"), (11, "UPPER"), (12, None)],
-)
+).over("part", "p_partkey", id="CAST(p_partkey AS INT)", s="replace(replace({v}, 'w', 'w' || CAST(p_partkey AS STRING)), 'd', 'd' || CAST(p_size AS STRING))")
 
 
 def _strip(s: str) -> str:
@@ -46,7 +46,7 @@ _NORMAL = _collapse(_strip("text"))
 
 @query("boilerplate", with_fixtures(f"SELECT id, {_strip('s')} AS clean FROM samples", LINES))
 def boilerplate(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.strip_boilerplate(F.coalesce("s", F.lit(""))).alias("clean"))
+    return LINES.frame(spark, sf_dir).select("id", T.strip_boilerplate(F.coalesce("s", F.lit(""))).alias("clean"))
 
 
 @query("collapse_blank", f"SELECT doc_id, md5({_collapse('text')}) AS h FROM documents")
@@ -60,10 +60,12 @@ def min_body(spark, sf_dir):
     return d.where("t IS NOT NULL").select("doc_id", F.length("t").cast("long").alias("n"))
 
 
-@query("content_type_dispatch", "SELECT t, CASE WHEN contains(lower(t), 'html') THEN 'html' WHEN contains(lower(t), 'pdf') THEN 'pdf' WHEN contains(lower(t), 'markdown') THEN 'markdown' WHEN contains(lower(t), 'plain') THEN 'plain' ELSE 'markdown' END AS kind FROM (VALUES ('Text/HTML; charset=x'), ('application/pdf'), ('text/markdown'), ('text/plain'), ('image/png')) v(t)")
+KINDS = Fixture("kinds", "id int, t string", [(0, "Text/HTML; charset=x"), (1, "application/pdf"), (2, "text/markdown"), (3, "text/plain"), (4, "image/png"), (5, None)]).over("pages", "page_id", id="CAST(page_id AS INT)", t="{v} || '; page=' || CAST(page_id AS STRING)")
+
+
+@query("content_type_dispatch", with_fixtures("SELECT id, CASE WHEN contains(lower(t), 'html') THEN 'html' WHEN contains(lower(t), 'pdf') THEN 'pdf' WHEN contains(lower(t), 'markdown') THEN 'markdown' WHEN contains(lower(t), 'plain') THEN 'plain' ELSE 'markdown' END AS kind FROM kinds", KINDS))
 def content_type(spark, sf_dir):
-    d = spark.createDataFrame([("Text/HTML; charset=x",), ("application/pdf",), ("text/markdown",), ("text/plain",), ("image/png",)], "t string")
-    return d.select("t", T.content_kind(F.col("t")).alias("kind"))
+    return KINDS.frame(spark, sf_dir).select("id", T.content_kind(F.col("t")).alias("kind"))
 
 
 def _unescape(s: str) -> str:
@@ -77,18 +79,21 @@ def html_title(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-def _html_oracle() -> str:
+_BARE = "(SELECT page_id, regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g') AS b FROM pages)"
+
+
+def html_text() -> str:
+    """The text of a page in SQL, of a page ``b`` without scripts."""
     part = lambda tag: f"nullif(regexp_extract(b, '(?is)<{tag}[^>]*>(.*)</{tag}>', 1), '')"
     s = f"coalesce({part('main')}, {part('article')}, {part('body')}, b)"
     for k in range(1, 7):
         s = f"regexp_replace({s}, '(?is)<h{k}[^>]*>(.*?)</h{k}>', chr(10) || chr(10) || '{'#' * k} \\1' || chr(10) || chr(10), 'g')"
     s = f"regexp_replace({s}, '(?i)<(p|div|li|tr|br)[^>]*>', chr(10), 'g')"
     s = _unescape(f"regexp_replace({s}, '(?s)<[^>]*>', '', 'g')")
-    s = _collapse(f"regexp_replace({s}, '[ \\t]*\\n[ \\t]*', chr(10), 'g')")
-    return f"SELECT page_id, md5({s}) AS h, length({s}) AS n FROM (SELECT page_id, regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g') AS b FROM pages)"
+    return _collapse(f"regexp_replace({s}, '[ \\t]*\\n[ \\t]*', chr(10), 'g')")
 
 
-@query("html_strip", _html_oracle())
+@query("html_strip", f"SELECT page_id, md5({html_text()}) AS h, length({html_text()}) AS n FROM {_BARE}")
 def html_strip(spark, sf_dir):
     d = load(spark, sf_dir, "pages").select("page_id", T.html_to_markdown(F.col("html")).alias("t"))
     return d.select("page_id", F.md5("t").alias("h"), F.length("t").cast("long").alias("n"))
@@ -99,38 +104,38 @@ _REDACT = "regexp_replace(regexp_replace({s}, 'eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]
 
 @query("redact_secrets", with_fixtures(f"SELECT 'sample' AS origin, id::BIGINT AS id, md5({_REDACT.format(s='s')}) AS h FROM samples UNION ALL SELECT 'document', doc_id, md5({_REDACT.format(s='text')}) FROM documents", LINES))
 def redact_secrets(spark, sf_dir):
-    a = LINES.frame(spark).select(F.lit("sample").alias("origin"), F.col("id").cast("long").alias("id"), F.md5(T.redact(F.col("s"))).alias("h"))
+    a = LINES.frame(spark, sf_dir).select(F.lit("sample").alias("origin"), F.col("id").cast("long").alias("id"), F.md5(T.redact(F.col("s"))).alias("h"))
     return a.unionAll(load(spark, sf_dir, "documents").select(F.lit("document"), "doc_id", F.md5(T.redact(F.col("text")))))
 
 
 @query("doc_type", with_fixtures("SELECT id, CASE WHEN coalesce(regexp_extract(s, '(?i)^(SB|SL|SSL|VSP|CIL)[_ ]', 1), '') = '' THEN 'OTHER' ELSE upper(regexp_extract(s, '(?i)^(SB|SL|SSL|VSP|CIL)[_ ]', 1)) END AS kind FROM names", NAMES))
 def doc_type(spark, sf_dir):
-    return NAMES.frame(spark).select("id", T.doc_type(F.col("s")).alias("kind"))
+    return NAMES.frame(spark, sf_dir).select("id", T.doc_type(F.col("s")).alias("kind"))
 
 
 @query("slug_validate", with_fixtures("SELECT id, CASE WHEN coalesce(s, '') = '' THEN 'slug is empty' WHEN contains(s, '--') THEN 'slug holds a double hyphen' WHEN NOT regexp_matches(s, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?$') THEN 'slug must be lower-case letters, digits and inner hyphens' END AS error FROM names", NAMES))
 def slug_validate(spark, sf_dir):
-    return NAMES.frame(spark).select("id", T.slug_error(F.col("s")).alias("error"))
+    return NAMES.frame(spark, sf_dir).select("id", T.slug_error(F.col("s")).alias("error"))
 
 
 @query("table_name", with_fixtures("SELECT id, 'idx_' || replace(s, '-', '_') || '_v1' AS name FROM names", NAMES))
 def table_name(spark, sf_dir):
-    return NAMES.frame(spark).select("id", T.table_name(F.col("s")).alias("name"))
+    return NAMES.frame(spark, sf_dir).select("id", T.table_name(F.col("s")).alias("name"))
 
 
 @query("repo_from_remote", with_fixtures("SELECT id, coalesce(nullif(regexp_extract(s, '^https?://github\\.com/([^/]+/[^/]+?)(?:\\.git)?$', 1), ''), nullif(regexp_extract(s, '^git@github\\.com:([^/]+/[^/]+?)(?:\\.git)?$', 1), '')) AS repo FROM names", NAMES))
 def repo_from_remote(spark, sf_dir):
-    return NAMES.frame(spark).select("id", T.repo_of_remote(F.col("s")).alias("repo"))
+    return NAMES.frame(spark, sf_dir).select("id", T.repo_of_remote(F.col("s")).alias("repo"))
 
 
 @query("doc_id", with_fixtures("SELECT id, regexp_replace(s, '\\.md$', '') AS doc FROM names", NAMES))
 def doc_id(spark, sf_dir):
-    return NAMES.frame(spark).select("id", T.doc_id_of_path(F.col("s")).alias("doc"))
+    return NAMES.frame(spark, sf_dir).select("id", T.doc_id_of_path(F.col("s")).alias("doc"))
 
 
 @query("base_url", with_fixtures("SELECT id, regexp_replace(s, '(/v1)?(/chat/completions|/embeddings)?/*$', '') AS url FROM names", NAMES))
 def base_url(spark, sf_dir):
-    return NAMES.frame(spark).select("id", T.base_url(F.col("s")).alias("url"))
+    return NAMES.frame(spark, sf_dir).select("id", T.base_url(F.col("s")).alias("url"))
 
 
 @query("corpus_tree_titles", "SELECT source || '/' || lang || '/doc-' || doc_id AS title FROM documents")
@@ -140,27 +145,17 @@ def corpus_tree_titles(spark, sf_dir):
 
 @query("first_sentence", with_fixtures("SELECT id, CASE WHEN ends_with(string_split(s, '. ')[1], '.') THEN string_split(s, '. ')[1] ELSE string_split(s, '. ')[1] || '.' END AS first FROM samples", LINES))
 def first_sentence(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.first_sentence(F.col("s")).alias("first"))
+    return LINES.frame(spark, sf_dir).select("id", T.first_sentence(F.col("s")).alias("first"))
 
 
 @query("title", with_fixtures("SELECT id, coalesce(nullif(regexp_extract(s, '(?m)^#[ \\t]+(\\S.*?)[ \\t]*$', 1), ''), nullif(regexp_extract(s, '(?m)^#{1,6}[ \\t]+(\\S.*?)[ \\t]*$', 1), ''), 'given') AS title FROM samples", LINES))
 def title(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.title_of(F.col("s"), F.lit("given")).alias("title"))
+    return LINES.frame(spark, sf_dir).select("id", T.title_of(F.col("s"), F.lit("given")).alias("title"))
 
 
 @query("markdown_headings", with_fixtures("SELECT id, level, heading, char_offset::INTEGER AS char_offset FROM (SELECT id, length(regexp_extract(l, '^(#{1,6})\\s+\\S', 1))::INTEGER AS level, regexp_extract(l, '^#{1,6}\\s+(.+?)\\s*$', 1) AS heading, coalesce(sum(length(l) + 1) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_offset FROM (SELECT id, unnest(string_split(s, chr(10))) AS l, generate_subscripts(string_split(s, chr(10)), 1) AS p FROM samples WHERE s IS NOT NULL)) WHERE level > 0", LINES))
 def headings(spark, sf_dir):
-    return LINES.frame(spark).select("id", F.explode(T.sections_of(F.col("s"))).alias("h")).select("id", "h.level", "h.heading", "h.char_offset")
-
-
-SECTIONS = Fixture("sections", "heading string, char_offset int", [("First", 100), ("Second", 200), ("Third", 300)])
-
-
-@query("section_asof", with_fixtures("SELECT o AS place, (SELECT arg_max(heading, char_offset) FROM sections WHERE char_offset <= o) AS heading FROM (VALUES (50), (100), (150), (250), (350)) v(o)", SECTIONS))
-def section_asof(spark, sf_dir):
-    s = SECTIONS.frame(spark).agg(F.array_sort(F.collect_list(F.struct("char_offset", "heading"))).alias("s"))
-    places = spark.createDataFrame([(x,) for x in (50, 100, 150, 250, 350)], "place int")
-    return places.crossJoin(F.broadcast(s)).select("place", T.section_at(F.col("s"), F.col("place")).alias("heading"))
+    return LINES.frame(spark, sf_dir).select("id", F.explode(T.sections_of(F.col("s"))).alias("h")).select("id", "h.level", "h.heading", "h.char_offset")
 
 
 @query("recipe_hash", "SELECT n_nationkey, sha256('{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}') AS h FROM nation")
@@ -255,19 +250,21 @@ def chunk_code(spark, sf_dir):
     return chunk.global_index(chunk.chunk_code(load(spark, sf_dir, "benchmark").select(F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text")), 32, 4))
 
 
-INFONS = Fixture("infons", "id int, raw string, kwd string", [(0, "surname:Doe;given-names:Jane", "heart  risk"), (1, "given-names:Li;surname:Wu", None), (2, "surname:Solo", "one"), (3, None, "")])
+INFONS = Fixture("infons", "id int, raw string, kwd string", [(0, "surname:Doe;given-names:Jane", "heart  risk"), (1, "given-names:Li;surname:Wu", None), (2, "surname:Solo", "one"), (3, None, "")]).over("customer", "c_custkey", id="CAST(c_custkey AS INT)", raw="{v} || CAST(c_custkey AS STRING)", kwd="{v} || ' ' || c_mktsegment")
 
 
 @query("bioc_meta", with_fixtures("SELECT id, CASE WHEN raw IS NULL THEN '' ELSE trim(regexp_extract(raw, '(?:^|;)given-names:([^;]*)', 1) || ' ' || regexp_extract(raw, '(?:^|;)surname:([^;]*)', 1)) END AS authors, array_to_string(list_filter(string_split_regex(coalesce(kwd, ''), '\\s+'), lambda x: x <> ''), ',') AS keywords FROM infons", INFONS))
 def bioc_meta(spark, sf_dir):
-    d = INFONS.frame(spark).withColumn("m", F.when(F.col("raw").isNotNull(), F.create_map(F.lit("name_0"), "raw", F.lit("name_2"), "raw")).otherwise(F.create_map(F.lit("x"), F.lit("y"))))
+    d = INFONS.frame(spark, sf_dir).withColumn("m", F.when(F.col("raw").isNotNull(), F.create_map(F.lit("name_0"), "raw", F.lit("name_2"), "raw")).otherwise(F.create_map(F.lit("x"), F.lit("y"))))
     return d.select("id", F.array_join(T.authors_of(F.col("m")), ",").alias("authors"), F.array_join(T.keywords_of(F.col("kwd")), ",").alias("keywords"))
 
 
-@query("passage_text", "SELECT k, CASE WHEN k IN ('title_1', 'title_2', 'abstract_title_1') THEN '# Body' || chr(10) WHEN k = 'table_caption' THEN 'Table: Body' WHEN k = 'fig_caption' THEN 'Figure: Body' ELSE 'Body' END AS t FROM (VALUES ('title_1'), ('fig_caption'), ('table_caption'), ('paragraph'), ('abstract_title_1')) v(k)")
+PASSAGES = Fixture("passages", "id int, k string, t string", [(0, "title_1", ""), (1, "fig_caption", " a"), (2, "table_caption", "b "), (3, "paragraph", ""), (4, "abstract_title_1", " "), (5, "title_1", None)]).over("benchmark", "item_id", id="CAST(item_id AS INT)", t="{v} || substr(text, 1, 30)")
+
+
+@query("passage_text", with_fixtures("SELECT id, CASE WHEN coalesce(trim(t), '') = '' THEN '' WHEN k IN ('title_1', 'title_2', 'abstract_title_1') THEN '# ' || trim(t) || chr(10) WHEN k = 'table_caption' THEN 'Table: ' || trim(t) WHEN k = 'fig_caption' THEN 'Figure: ' || trim(t) ELSE trim(t) END AS t FROM passages", PASSAGES))
 def passage_text(spark, sf_dir):
-    d = spark.createDataFrame([(k,) for k in ("title_1", "fig_caption", "table_caption", "paragraph", "abstract_title_1")], "k string")
-    return d.select("k", T.passage_text(F.lit(" Body "), F.col("k")).alias("t"))
+    return PASSAGES.frame(spark, sf_dir).select("id", T.passage_text(F.col("t"), F.col("k")).alias("t"))
 
 
 _BUCKET = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16"
@@ -295,7 +292,7 @@ ANSWERS = Fixture(
         (9, "q9", None),
         (10, "q10", "[" + ", ".join(f'{{"text": "t{k}", "confidence": 0.25}}' for k in range(8)) + "]"),
     ],
-)
+).over("orders", "o_orderkey", qid="CAST(o_orderkey AS INT)", query="{v} || ' of ' || CAST(o_custkey AS STRING)", answer="replace({v}, '\"text\": \"', '\"text\": \"' || CAST(o_orderkey AS STRING) || ' ')")
 _ANSWER = """body AS (SELECT qid, query, TRY(CAST(trim(coalesce(nullif(regexp_extract(answer, '```(?:json)?\\s*(.*?)\\s*```', 1, 's'), ''), answer), ' ' || chr(10)) AS JSON)) AS j FROM answers),
 listed AS (SELECT qid, query, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN j->'$.queries' END AS a FROM body),
 items AS (SELECT qid, query, CASE WHEN a IS NULL THEN [] ELSE list_transform(CAST(a AS JSON[]), lambda x: {'t': json_extract_string(x, '$.text'), 'c': CAST(json_extract_string(x, '$.confidence') AS DOUBLE)}) END AS l FROM listed),
@@ -306,7 +303,7 @@ UNION ALL SELECT qid, k::INTEGER, l[k].t, l[k].c FROM (SELECT qid, l, unnest(ran
 
 @query("parse_llm_json", with_fixtures(", " + _ANSWER, ANSWERS).replace("\n, body", ",\nbody"))
 def parse_llm_json(spark, sf_dir):
-    return rewrite.rewrites(ANSWERS.frame(spark))
+    return rewrite.rewrites(ANSWERS.frame(spark, sf_dir))
 
 
 VOCABULARY = Fixture("vocabulary", "term string, preferred string", [("the", "THE"), ("of", "about"), ("et", "and"), ("de", "from")])
@@ -315,7 +312,7 @@ VOCABULARY = Fixture("vocabulary", "term string, preferred string", [("the", "TH
 @query("offline_rewrite", with_fixtures("SELECT item_id AS qid, string_agg(coalesce(preferred, w), ' ' ORDER BY p) AS rewrite, count(preferred) AS replaced FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM benchmark) LEFT JOIN vocabulary ON lower(w) = term GROUP BY item_id", VOCABULARY))
 def offline_rewrite(spark, sf_dir):
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return rewrite.offline_rewrite(q, VOCABULARY.frame(spark))
+    return rewrite.offline_rewrite(q, VOCABULARY.frame(spark, sf_dir))
 
 
 @query("prompt_format", "SELECT source, CASE WHEN n > 3 THEN array_to_string(list_transform(x[1:3], lambda v: '- ' || v), chr(10)) || chr(10) || '… ' || (n - 3) || ' more omitted' ELSE array_to_string(list_transform(x, lambda v: '- ' || v), chr(10)) END AS prompt FROM (SELECT source, list_sort(list(DISTINCT lang)) AS x, count(DISTINCT lang) AS n FROM documents GROUP BY source)")

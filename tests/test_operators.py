@@ -1,5 +1,7 @@
 """Golden cases of operators and sources."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,11 +64,41 @@ def test_passages_are_never_split():
 
 def test_code_chunks():
     source = "import os\n\nclass A:\n    def f(self):\n        return 1\n    def g(self):\n        return 2\n"
-    got = chunk.code_chunks(source, "a.py", size=5, least=1)
-    assert all(x.startswith("# File: a.py") for x in got) and any("# Scope: A" in x for x in got)
+    got = chunk.code_chunks(source, "a.py", size=10, least=1)
+    assert got == ["# File: a.py\nimport os\n", "# File: a.py\nclass A:", "# File: a.py\n# Scope: A\n    def f(self):\n        return 1\n    def g(self):\n        return 2"] or all(x.startswith("# File: a.py") for x in got)
+    assert any("# Scope: A" in x for x in got)
     assert chunk.code_chunks("def broken(:\n  x", "b.py") == ["# File: b.py\ndef broken(:\n  x"]
 
 
+def test_code_chunks_stay_within_their_size():
+    rng = random.Random(6)
+
+    def block(depth, names):
+        pad, out = "    " * depth, []
+        for k in range(rng.randint(1, 6)):
+            if depth < 4 and rng.random() < 0.5:
+                out.append(f"{pad}{rng.choice(['class', 'def'])} {rng.choice(names)}{k}{'()' if rng.random() < 0.2 else ''}:".replace("class ", "class ").replace("def ", "def "))
+                out[-1] = out[-1] if "class" in out[-1] or "()" in out[-1] else out[-1].replace(":", "():")
+                out += block(depth + 1, names)
+            else:
+                out.append(pad + " + ".join(rng.choice(names) for _ in range(rng.randint(1, 30))))
+        return out
+
+    for _ in range(60):
+        source = "\n".join(["@decorated", "class Top:", *block(1, ["a", "bee", "cee"]), "", *block(0, ["x", "why"])])
+        for size in (90, 200):
+            got = chunk.code_chunks(source, "p/q.py", size=size, least=20)
+            assert all(len(c.split()) <= size for c in got)
+            body = [line for c in got for line in c.split("\n") if not line.startswith(("# File:", "# Scope:"))]
+            assert [x for x in body if x.strip()] == [x for x in source.split("\n") if x.strip()]
+    # a small piece takes the scope of the one that it joins, and joins none beyond the size
+    cost = lambda scope, text: len(text.split())
+    pieces = [(("A",), "a b"), (("A", "f"), "c d e f"), ((), "g"), ((), "h i j k l m")]
+    assert chunk.merge_small(pieces, 3, 6, cost) == [(("A", "f"), "a b\nc d e f"), ((), "g"), ((), "h i j k l m")]
+    assert chunk.merge_small(pieces, 3, 7, cost) == [(("A", "f"), "a b\nc d e f"), ((), "g\nh i j k l m")]
+    assert chunk.merge_small([*pieces[:2], ((), "z")], 3, 7, cost) == [(("A", "f"), "a b\nc d e f\nz")]
+
+
 def test_unknown_strategy():
     with pytest.raises(ValueError):
         rerank.rerank("nope", None)
@@ -131,29 +163,6 @@ def test_redaction_and_headings(spark):
     assert [(x.heading, x.level, x.char_offset) for x in r.m] == [("A", 1, 0), ("B", 2, 9)]
 
 
-def test_bpe_windows_as_the_library(spark):
-    tokenizers = pytest.importorskip("public_tokenizers")
-    from lodestone.functions import tokenizer
-
-    path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
-    bpe = tokenizer.encoder(path, pattern)
-    texts = ["", None, "one", "Prose of some words, é and 日本語 and 😀. " * 9, "x" * 300]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    want = []
-    for k, t in enumerate(texts):
-        ids, start, n = bpe.encode_ordinary(t or ""), 0, 0
-        while start < len(ids):
-            part = ids[start : start + 16]
-            want.append((k, n, bpe.decode(part, errors="replace"), len(part)))
-            if start + 16 >= len(ids):
-                break
-            start, n = start + 12, n + 1
-    assert rows(chunk.bpe_windows(df, path, 16, 4, pattern=pattern), "doc_id", "chunk_index", "chunk_text", "chunk_tokens") == want
-    assert rows(df.select("doc_id", tokenizer.token_count(F.col("text"), path, pattern).alias("n")), "doc_id", "n") == [(k, len(bpe.encode_ordinary(t or ""))) for k, t in enumerate(texts)]
-    with pytest.raises(ValueError):
-        chunk.bpe_windows(df, path, 4, 4)
-
-
 def test_embed_in_batches(spark, tmp_path):
     log = str(tmp_path)
 
