@@ -1,8 +1,7 @@
 """Chunkers and the embedder: fixed windows, sections of passages, sentences, source code.
 
-Fixed windows and sentences are Column expressions. Passages and code carry state from
-piece to piece, so a Python function runs on one document at a time (``mapInPandas``);
-the tokenizer is a parameter throughout.
+Fixed windows, sentences and passages are Column expressions; code is parsed, so a Python
+function runs on one file at a time (``mapInPandas``). The tokenizer is a parameter throughout.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import CAPTIONS, HEADING_TYPES, tokens
+from lodestone.functions.text import let, passage_text, tokens, trim_all
 from lodestone.functions.vector import l2_normalize
+from lodestone.sources.places import shared_folder
 
 # Sections of articles that are not chunked, folders that hold no sources.
 SKIP_SECTIONS = frozenset({"AUTH_CONT", "SUPPL", "REF", "COMP_INT"})
@@ -70,65 +70,52 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.withColumn("chunk_tokens", F.size(tokens(F.col("chunk_text"))))
 
 
-def passage_chunks(passages: list[tuple[str, str, str]], size: int, overlap: int, respect_sections: bool, skip: frozenset[str], tokenize: Callable[[str], list[str]]) -> list[tuple[str, int, str]]:
-    """Chunks (text, tokens, section) of (section, type, text) passages, which are never split."""
-    out: list[tuple[str, int, str]] = []
-    held: list[str] = []
-    count, section, tail = 0, None, ""
-
-    def close() -> None:
-        nonlocal tail, held, count
-        whole = "\n".join(held)
-        cut = tokenize(whole)
-        out.append((whole, len(cut), section or ""))
-        tail = " ".join(cut[-overlap:]) if overlap else ""
-        held = [tail] if tail else []
-        count = len(tokenize(tail))
-
-    for name, kind, raw in passages:
-        text = (raw or "").strip()
-        if kind == "front" or name in skip or not text:
-            continue
-        text = f"# {text}\n" if kind in HEADING_TYPES else f"{CAPTIONS[kind]} {text}" if kind in CAPTIONS else text
-        cost = len(tokenize(text))
-        changed = name != section
-        if respect_sections and changed and held:
-            close()
-        if changed:
-            section = name
-        if held and count + cost > size:
-            close()
-        held.append(text)
-        count += cost
-    if held:
-        close()
-    return out
-
-
 def chunk_passages(
     articles: DataFrame,
     size: int = 512,
     overlap: int = 0,
     respect_sections: bool = True,
     skip: frozenset[str] = SKIP_SECTIONS,
-    tokenize: Callable[[str], list[str]] = words,
+    tokenizer: Callable[[Column], Column] = tokens,
 ) -> DataFrame:
-    """Section-aware chunks of articles.
+    """Section-aware chunks of articles; passages are never split.
 
     ``articles``: ``doc_title``, ``doc_url`` and ``passages``, array<struct<section, kind, text>>.
+    A fold over the passages of an article holds the open chunk and its tokens. A chunk is
+    closed where the section changes (if these are respected) and before a passage that would
+    make it longer than ``size``; its last ``overlap`` tokens begin the next one. A passage longer than
+    that is a chunk by itself. Passages of the front, of skipped sections and blank ones don't count.
     """
     _check(size, overlap)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for title, url, passages in zip(batch["doc_title"], batch["doc_url"], batch["passages"], strict=True):
-                listed = [(p["section"] or "", p["kind"] or "", p["text"] or "") for p in (passages if passages is not None else [])]
-                for k, (text, n, section) in enumerate(passage_chunks(listed, size, overlap, respect_sections, skip, tokenize)):
-                    rows.append((title, url, section, k, text, n))
-            yield pd.DataFrame(rows, columns=["doc_title", "doc_url", "doc_section", "chunk_index", "chunk_text", "chunk_tokens"])
-
-    return articles.select("doc_title", "doc_url", "passages").mapInPandas(run, "doc_title string, doc_url string, doc_section string, chunk_index int, chunk_text string, chunk_tokens int")
+    skipped = F.array(*map(F.lit, sorted(skip))) if skip else F.array().cast("array<string>")
+    shown = lambda p: F.struct(F.coalesce(p["section"], F.lit("")).alias("section"), F.coalesce(p["kind"], F.lit("")).alias("kind"), trim_all(F.coalesce(p["text"], F.lit(""))).alias("text"))
+    counts = lambda p: (p["kind"] != "front") & ~F.array_contains(skipped, p["section"]) & (p["text"] != "")
+    costed = lambda p: F.struct(p["section"].alias("section"), passage_text(p["text"], p["kind"]).alias("text"), F.size(tokenizer(passage_text(p["text"], p["kind"]))).alias("cost"))
+    listed = F.transform(F.filter(F.transform(F.coalesce("passages", F.array().cast("array<struct<section: string, kind: string, text: string>>")), shown), counts), costed)
+    # the open chunk is a list of texts, so that no text is copied until it closes
+    state = "struct<out: array<struct<text: string, n: int, section: string>>, held: array<string>, count: int, section: string>"
+    zero = F.from_json(F.lit('{"out": [], "held": [], "count": 0}'), state)
+
+    def closed(s: Column, when: Column) -> Column:
+        """The state with the open chunk closed if ``when`` holds and there is one."""
+        whole = F.array_join(s["held"], "\n")
+        cut = tokenizer(whole)
+        tail = F.array_join(F.slice(cut, F.greatest(F.size(cut) - overlap, F.lit(0)) + 1, F.lit(overlap)), " ") if overlap else F.lit("")
+        done = F.struct(whole.alias("text"), F.size(cut).alias("n"), F.coalesce(s["section"], F.lit("")).alias("section"))
+        rest = F.when(tail != "", F.array(tail)).otherwise(F.array().cast("array<string>"))
+        new = F.struct(F.array_append(s["out"], done).alias("out"), rest.alias("held"), F.size(tokenizer(tail)).alias("count"), s["section"].alias("section"))
+        return F.when(when & (F.size(s["held"]) > 0), new).otherwise(s)
+
+    def step(s: Column, p: Column) -> Column:
+        changed = ~p["section"].eqNullSafe(s["section"])
+        held = lambda s: F.struct(F.array_append(s["held"], p["text"]).alias("held"), (s["count"] + p["cost"]).alias("count"))
+        first = let(closed(s, changed) if respect_sections else s, lambda s: F.struct(s["out"].alias("out"), s["held"].alias("held"), s["count"].alias("count"), p["section"].alias("section")))
+        second = let(first, lambda s: closed(s, s["count"] + p["cost"] > size))
+        return let(second, lambda s: F.struct(s["out"].alias("out"), held(s)["held"].alias("held"), held(s)["count"].alias("count"), s["section"].alias("section")))
+
+    chunks = F.aggregate(listed, zero, step, lambda s: closed(s, F.lit(True))["out"])
+    cut = articles.select("doc_title", "doc_url", chunks.alias("c")).select("doc_title", "doc_url", F.posexplode("c").alias("chunk_index", "c"))
+    return cut.select("doc_title", "doc_url", F.col("c.section").alias("doc_section"), "chunk_index", F.col("c.text").alias("chunk_text"), F.col("c.n").alias("chunk_tokens"))
 
 
 def split_lines(text: str, budget: int, tokenize: Callable[[str], list[str]]) -> list[str]:
@@ -237,11 +224,18 @@ def chunk_code(files: DataFrame, size: int = 512, least: int = 50, tokenize: Cal
 def global_index(chunks: DataFrame) -> DataFrame:
     """Add ``chunk_index``, counted over all files in the order of their paths.
 
-    Counts per file are summed up first, so that no task sorts the whole corpus of chunks.
+    Counts per file are dealt to ranges of paths; a range's files are summed up in it, and the
+    ranges themselves, one row each, before it. Chunks stay where they are but for one join.
     """
+    spark, folder = chunks.sparkSession, shared_folder(chunks.sparkSession, "paths")
     sizes = chunks.groupBy("path").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("path")) - F.col("n")
-    return chunks.join(sizes.select("path", before.alias("_before")), "path").withColumn("chunk_index", (F.col("_before") + F.col("file_index")).cast("int")).drop("_before")
+    sizes.repartitionByRange("path").withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/sizes")
+    sizes = spark.read.parquet(f"{folder}/sizes")
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # a row a partition
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_earlier"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("path")) - F.col("n")
+    before = sizes.withColumn("_within", within).join(F.broadcast(parts), "part").select("path", (F.col("_within") + F.col("_earlier")).alias("_before"))
+    return chunks.join(before, "path").withColumn("chunk_index", (F.col("_before") + F.col("file_index")).cast("int")).drop("_before")
 
 
 def hash_embedding(text: Column, dimension: int = 16, prefix: str = "") -> Column:

@@ -312,3 +312,40 @@ def audit_records(spark, sf_dir):
     a = catalog.audit_records(WRITES.frame(spark, sf_dir), SOURCES.frame(spark, sf_dir), INDEXES.frame(spark, sf_dir), RECIPES.frame(spark, sf_dir))
     return a.select("request_id", "sub", "slug", "mode", F.array_join("item_ids", ",").alias("items"), "recipe_version")
 
+
+
+@query("row_count", "SELECT count(*) AS written, sum(n_chars)::BIGINT AS tokens, count(*) AS n FROM documents WHERE doc_id % 2 = 0")
+def row_count(spark, sf_dir):
+    """What a write tells of its rows, and their number when they are counted again."""
+    d = load(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    vector = F.array(F.lit(1.0).cast("float"))
+    c = d.select(F.col("text").alias("chunk_text"), F.col("n_chars").cast("int").alias("chunk_tokens"), F.col("source").alias("doc_title"), F.col("lang").alias("doc_url"), F.lit(None).cast("string").alias("doc_section"), F.col("doc_id").cast("int").alias("chunk_index"), vector.alias("embedding"))
+    path = f"{shared_folder(spark, 'counted')}/table"
+    written, tokens = sink.write_chunks(c, path, 1)
+    return spark.createDataFrame([(written, tokens, sink.count_rows(spark, path))], "written long, tokens long, n long")
+
+
+_tried: set[str] = set()
+
+
+def _unsteady(texts: list[str]) -> list[list[float]]:
+    """A model that fails the first time it is asked for a batch in a process."""
+    if texts[0] not in _tried:
+        _tried.add(texts[0])
+        raise TimeoutError("try again")
+    return [[float(len(t)), float(k)] for k, t in enumerate(texts)]
+
+
+@query("embed_retry", "SELECT item_id, 5.0::DOUBLE + length(text) AS n FROM benchmark")
+def embed_retry(spark, sf_dir):
+    """Vectors by a model that fails at first: batches are asked for again, and come back in order."""
+    e = chunk.embed(load(spark, sf_dir, "benchmark"), "text", "v", _unsteady, batch=500, prefix="doc: ")
+    return e.select("item_id", F.get("v", F.lit(0)).alias("n"))
+
+
+@query("prompt_template", "SELECT n_nationkey, 'Answer for ' || n_name || ':' || chr(10) AS prompt FROM nation")
+def prompt_template(spark, sf_dir):
+    """Prompts by a template that is read from a file of the shared folder."""
+    folder = write_files(spark, shared_folder(spark, "template"), {"t.yaml": "name: n\nversion: 1\nsystem: |\n  Answer for {nation}:\nuser: q\n"})
+    text = rewrite.load_template(spark, f"{folder}/t.yaml")["system"]
+    return load(spark, sf_dir, "nation").select("n_nationkey", rewrite.interpolate(F.lit(text), {"nation": F.col("n_name")}).alias("prompt"))

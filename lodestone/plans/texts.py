@@ -235,13 +235,44 @@ def chunk_sentence(spark, sf_dir):
     return chunk.sentences(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", F.md5("chunk_text").alias("h"))
 
 
-@query("chunk_bioc")
+_TOKENS_OF = "list_filter(string_split_regex({0}, '[ \\t\\n\\r]+'), lambda x: x <> '')"
+
+
+def _passages_oracle(size: int, overlap: int) -> str:
+    """The fold over passages as a recursion: what is closed at each passage, and what stays open."""
+    n, whole = (lambda x: f"len({_TOKENS_OF.format(x)})"), "array_to_string(held, chr(10))"
+    tail = f"array_to_string({_TOKENS_OF.format(whole)}[-{overlap}:], ' ')"
+    after = f"CASE WHEN {tail} <> '' THEN [{tail}] ELSE []::VARCHAR[] END"
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+raw AS (SELECT doc_id, i, ['title_1', 'paragraph', 'table_caption', 'paragraph'][i % 4 + 1] AS kind, ['INTRO', 'INTRO', 'RESULTS', 'REF'][(i // 4) % 4 + 1] AS section, regexp_replace(l[i + 1], '^\\s+|\\s+$', '', 'g') AS t
+  FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM l)),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, section, text, {n('text')} AS cost FROM (
+  SELECT doc_id, i, section, CASE WHEN kind = 'title_1' THEN '# ' || t || chr(10) WHEN kind = 'table_caption' THEN 'Table: ' || t ELSE t END AS text FROM raw WHERE section <> 'REF' AND t <> '')),
+fold AS (
+  SELECT doc_id, r, section, [text] AS held, cost::BIGINT AS n, []::STRUCT(t VARCHAR, n BIGINT, s VARCHAR)[] AS closed FROM p WHERE r = 1
+  UNION ALL SELECT doc_id, r, section, list_append(held, text), n + cost, closed FROM (
+    SELECT * REPLACE (CASE WHEN shut THEN {after} ELSE held END AS held, CASE WHEN shut THEN {n(tail)} ELSE n END AS n,
+      CASE WHEN shut THEN list_append(closed, {{'t': {whole}, 'n': {n(whole)}::BIGINT, 's': section}}) ELSE closed END AS closed) FROM (
+      SELECT *, len(held) > 0 AND n + cost > {size} AS shut FROM (
+        SELECT doc_id, r, section, text, cost, CASE WHEN turned THEN {after} ELSE held END AS held, CASE WHEN turned THEN {n(tail)} ELSE n END AS n,
+          CASE WHEN turned THEN [{{'t': {whole}, 'n': {n(whole)}::BIGINT, 's': before}}] ELSE []::STRUCT(t VARCHAR, n BIGINT, s VARCHAR)[] END AS closed
+        FROM (SELECT f.doc_id, p.r, p.section, f.section AS before, p.text, p.cost, f.held, f.n, p.section <> f.section AND len(f.held) > 0 AS turned FROM fold f JOIN p ON p.doc_id = f.doc_id AND p.r = f.r + 1))))),
+ended AS (SELECT doc_id, section, {whole} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) AS back FROM fold),
+every AS (
+  SELECT doc_id, r, k, closed[k].t AS t, closed[k].n AS n, closed[k].s AS s FROM (SELECT doc_id, r, closed, unnest(range(1, len(closed) + 1)) AS k FROM fold)
+  UNION ALL SELECT doc_id, 1000000000, 1, t, {n('t')}, section FROM ended WHERE back = 1)
+SELECT 'doc-' || doc_id AS doc_title, (row_number() OVER (PARTITION BY doc_id ORDER BY r, k) - 1)::INTEGER AS chunk_index, s AS doc_section, md5(t) AS h, n::BIGINT AS n FROM every"""
+
+
+@query("chunk_bioc", _passages_oracle(64, 8))
 def chunk_bioc(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("title_1", "paragraph", "table_caption", "paragraph")])
     sections = F.array(*[F.lit(x) for x in ("INTRO", "INTRO", "RESULTS", "REF")])
     d = load(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_title"), F.lit("").alias("doc_url"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     p = F.transform("l", lambda x, i: F.struct(F.get(sections, (i / 4).cast("int") % 4).alias("section"), F.get(kinds, i % 4).alias("kind"), x.alias("text")))
-    return chunk.chunk_passages(d.select("doc_title", "doc_url", p.alias("passages")), 64, 8)
+    c = chunk.chunk_passages(d.select("doc_title", "doc_url", p.alias("passages")), 64, 8)
+    return c.select("doc_title", "chunk_index", "doc_section", F.md5("chunk_text").alias("h"), F.col("chunk_tokens").cast("long").alias("n"))
 
 
 @query("chunk_code")

@@ -55,11 +55,47 @@ def test_windows(spark):
             chunk.fixed_windows(df, *bad)
 
 
-def test_passages_are_never_split():
-    p = [("INTRO", "title_1", "Head"), ("INTRO", "paragraph", "a b c"), ("INTRO", "paragraph", "d e"), ("REF", "paragraph", "no"), ("RESULTS", "fig_caption", "x"), ("RESULTS", "front", "no")]
-    got = chunk.passage_chunks(p, 5, 0, True, chunk.SKIP_SECTIONS, str.split)
-    assert got == [("# Head\n\na b c", 5, "INTRO"), ("d e", 2, "INTRO"), ("Figure: x", 2, "RESULTS")]
-    assert chunk.passage_chunks(p[1:3], 4, 1, True, frozenset(), str.split) == [("a b c", 3, "INTRO"), ("c\nd e", 3, "INTRO")]
+def passage_chunks(passages, size, overlap, respect, skip):
+    """The same by a plain loop."""
+    kinds = {"title_1": "# {}\n", "title_2": "# {}\n", "abstract_title_1": "# {}\n", "table_caption": "Table: {}", "fig_caption": "Figure: {}"}
+    out, held, count, section = [], [], 0, None
+
+    def close():
+        nonlocal held, count
+        whole = "\n".join(held)
+        out.append((whole, len(whole.split()), section or ""))
+        tail = " ".join(whole.split()[-overlap:]) if overlap else ""
+        held, count = ([tail] if tail else []), len(tail.split())
+
+    for name, kind, text in passages:
+        if kind == "front" or name in skip or not text.strip():
+            continue
+        text = kinds.get(kind, "{}").format(text.strip())
+        if respect and name != section and held:
+            close()
+        section = name
+        if held and count + len(text.split()) > size:
+            close()
+        held, count = [*held, text], count + len(text.split())
+    if held:
+        close()
+    return out
+
+
+def test_passages_are_never_split(spark):
+    fixed = [("INTRO", "title_1", "Head"), ("INTRO", "paragraph", "a b c"), ("INTRO", "paragraph", "d e"), ("REF", "paragraph", "no"), ("RESULTS", "fig_caption", "x"), ("RESULTS", "front", "no")]
+    rng = random.Random(9)
+    made = [[(rng.choice(["INTRO", "RESULTS", "REF", ""]), rng.choice(["paragraph", "title_2", "table_caption", "front"]), " ".join("w" * rng.randint(0, 9))) for _ in range(rng.randint(0, 25))] for _ in range(30)]
+    cases = [fixed, fixed[1:3], [], *made]
+    schema = "doc_title string, doc_url string, passages array<struct<section: string, kind: string, text: string>>"
+    df = spark.createDataFrame([(str(k), "u", p) for k, p in enumerate(cases)] + [("none", "u", None)], schema)
+    for size, overlap, respect, skip in ((5, 0, True, chunk.SKIP_SECTIONS), (4, 1, True, frozenset()), (12, 3, False, chunk.SKIP_SECTIONS)):
+        got = {}
+        for r in chunk.chunk_passages(df, size, overlap, respect, skip).orderBy("doc_title", "chunk_index").collect():
+            got.setdefault(r.doc_title, []).append((r.chunk_text, r.chunk_tokens, r.doc_section))
+        want = {str(k): passage_chunks(p, size, overlap, respect, skip) for k, p in enumerate(cases)}
+        assert got == {k: v for k, v in want.items() if v}
+    assert passage_chunks(fixed, 5, 0, True, chunk.SKIP_SECTIONS) == [("# Head\n\na b c", 5, "INTRO"), ("d e", 2, "INTRO"), ("Figure: x", 2, "RESULTS")]
 
 
 def test_code_chunks():
