@@ -21,10 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.index.shared import Steps, if_few
+from lodestone.index.shared import Steps, Tables, if_few
 
 #: Rows of the sample that centres are fitted to, centres at most, and rounds of fitting.
 SAMPLE_ROWS, MOST_CENTRES, ROUNDS = 20_000, 512, 8
@@ -63,23 +63,19 @@ def fitted(sample: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
-@dataclass
-class Clusters:
+class Clusters(Tables):
     """An index in a folder: ``vectors`` (centre, cell, part, id, v), ``cells`` (bounds and sizes), ``centres``."""
 
-    spark: SparkSession
-    path: str
-
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        return self.read("vectors")
 
     @property
     def cells(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/cells")
+        return self.read("cells")
 
     def centres(self) -> np.ndarray:
-        rows = self.spark.read.parquet(f"{self.path}/centres").orderBy("centre").collect()  # MOST_CENTRES at most
+        rows = self.read("centres").orderBy("centre").collect()  # MOST_CENTRES at most
         return np.array([r.v for r in rows])
 
 
@@ -110,12 +106,12 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector: str = "
     found = steps.keep(rows.mapInArrow(placed, "centre int, cell int, apart double, id long, v array<double>"), "placed")
     cells = found.groupBy("centre", "cell").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi"), F.count("*").alias("n"))
     cells = cells.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
-    cells.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     index = Clusters(spark, path)
+    index.write("cells", cells.coalesce(1))
     out = found.join(F.broadcast(index.cells.select("centre", "cell", "parts")), ["centre", "cell"])  # 21 cells a centre at most
     out = out.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("centre", "cell", "part", "id", "v")
-    out.repartition("centre", "cell", "part").sortWithinPartitions("centre", "cell", "part").write.mode("overwrite").partitionBy("centre").parquet(f"{path}/vectors")
-    spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(middle)], "centre int, v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    index.write("vectors", out.repartition("centre", "cell", "part").sortWithinPartitions("centre", "cell", "part"), "centre")
+    index.write("centres", spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(middle)], "centre int, v array<double>").coalesce(1))
     return index
 
 

@@ -17,13 +17,11 @@ The result is that of scoring every document. Ids are unique; null texts have no
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.index.shared import Steps, bucket_of, if_few
+from lodestone.index.shared import Steps, Tables, bucket_of, if_few
 
 BLOCK_DOCS = 64
 #: Blocks of a bucket that one task writes, so that no task has all of a common word.
@@ -32,20 +30,16 @@ SLICE_BLOCKS = 1024
 SLACK = 1e-9
 
 
-@dataclass
-class Postings:
+class Postings(Tables):
     """An index in a folder: ``words`` (w, df, bound) and ``blocks`` (w, block, bound, docs: id and part)."""
 
-    spark: SparkSession
-    path: str
-
     @property
     def words(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/words")
+        return self.read("words")
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        return self.read("blocks")
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> Postings:
@@ -66,10 +60,10 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     scored = grouped.join(df.select("w", "df", idf.alias("idf")), "w").select("w", "df", "block", F.transform("docs", part).alias("docs"))
     scored = scored.withColumn("bound", F.array_max(F.transform("docs", lambda d: d["part"]))).withColumn("bucket", bucket_of("w"))
     slices = F.floor(F.col("block") / SLICE_BLOCKS)
-    scored.repartition("bucket", slices).sortWithinPartitions("bucket", "w", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     index = Postings(spark, path)
+    index.write("blocks", scored.repartition("bucket", slices).sortWithinPartitions("bucket", "w", "block"), "bucket")
     words = index.blocks.groupBy("w").agg(F.max("df").alias("df"), F.max("bound").alias("bound")).withColumn("bucket", bucket_of("w"))
-    words.repartition("bucket").sortWithinPartitions("bucket", "w").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/words")
+    index.write("words", words.repartition("bucket").sortWithinPartitions("bucket", "w"), "bucket")
     return index
 
 

@@ -25,6 +25,26 @@ def bucket_of(*keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
+class Tables:
+    """The tables of an index in a folder, with their schemas, so that empty ones can be read too."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._schemas: dict[str, str] = {}
+
+    def write(self, name: str, df: DataFrame, by: str | None = None) -> None:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        self.spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}-schema")
+        self._schemas[name] = schema
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.text(f"{self.path}/{name}-schema").first().value
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
+
+
 class Steps:
     """Tables that one search writes: each step is worked out once and outlives lost executors."""
 

@@ -15,14 +15,13 @@ that isn't null, null patterns find nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.index.shared import Steps, bucket_of, if_few
+from lodestone.index.shared import Steps, Tables, bucket_of, if_few
 
 #: Folders that the texts lie in, and blocks of a bucket that one task writes.
 PARTS, SLICE_BLOCKS = 64, 4096
@@ -31,20 +30,16 @@ SHORT_PATTERNS = 1000
 STRIP = 1 << 20
 
 
-@dataclass
-class Trigrams:
+class Trigrams(Tables):
     """An index in a folder: ``texts`` (part, block, slot, id, text) and ``runs`` (bucket, run, block, rows)."""
 
-    spark: SparkSession
-    path: str
-
     @property
     def texts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/texts")
+        return self.read("texts")
 
     @property
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/runs")
+        return self.read("runs")
 
 
 def runs_of(text: str) -> np.ndarray:
@@ -79,11 +74,12 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     placed = steps.keep(docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("place", F.monotonically_increasing_id()), "placed")
     block = F.shiftright("place", 6)
     texts = placed.select(F.pmod(F.xxhash64(block), F.lit(PARTS)).cast("int").alias("part"), block.alias("block"), F.col("place").bitwiseAND(63).cast("int").alias("slot"), "id", "text")
-    texts.repartition("part", F.floor(F.col("block") / SLICE_BLOCKS)).sortWithinPartitions("part", "block", "slot").write.mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
+    index = Trigrams(spark, path)
+    index.write("texts", texts.repartition("part", F.floor(F.col("block") / SLICE_BLOCKS)).sortWithinPartitions("part", "block", "slot"), "part")
     runs = placed.select("place", F.lower("text").alias("text")).mapInArrow(_rows_of_runs, "run long, block long, rows long")
     runs = runs.groupBy("run", "block").agg(F.bit_or("rows").alias("rows")).withColumn("bucket", bucket_of("run"))
-    runs.repartition("bucket", F.floor(F.col("block") / SLICE_BLOCKS)).sortWithinPartitions("bucket", "run", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/runs")
-    return Trigrams(spark, path)
+    index.write("runs", runs.repartition("bucket", F.floor(F.col("block") / SLICE_BLOCKS)).sortWithinPartitions("bucket", "run", "block"), "bucket")
+    return index
 
 
 def _pattern_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
