@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import let, table
 
 #: Known licence sentences, normalised, by identifier.
 SENTENCES: dict[str, str] = {
@@ -88,7 +88,7 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("BSD-3-Clause", "permissive", ("spdx_bsd3",)),
     ("LicenseRef-reserved", "restricted", ("all_rights",)),
 ]
-#: Further sentences and rules, which ``ORACLE`` doesn't know; where a text shows them, its result differs from the SQL.
+#: Further ways to write sentences, by identifier.
 MORE_SENTENCES: dict[str, str] = {
     "all rights reserved": "all_rights",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
@@ -150,7 +150,9 @@ EVERY_RULE = MORE_RULES + RULES
 MARKERS = "(?i)licen|copyright|redistribut|warrant|permission|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|of the mpl"
 WRAPPED = r"([^.!?;:\n])\n([a-z])"
 LEADER = r"(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|-->|>+|\||dnl\b|REM\b)"  #: what comments begin their lines with
-PASSAGE_END = rf"(?<=[.!?])[ \t\r\n]+|\n(?:[ \t]*{LEADER}?[ \t\r]*\n)+"
+#: The lines of a gap are taken one by one and never given back, so that thousands of them need no stack.
+GAP = rf"\n(?:[ \t]*{LEADER}?[ \t\r]*\n)"
+PASSAGE_END = rf"(?<=[.!?])[ \t\r\n]+|{GAP}++"
 WORD_LEADER = r"(?m)^[ \t]*(?:dnl|REM)\b[ \t]*"  #: of the leaders, those that normalising leaves
 PART_END = r"(?<=[;:])[ \t\r\n]+"
 TAG = r"(?im)^(.*spdx-license-identifier:.*)$"
@@ -161,7 +163,7 @@ RANK = {"none": 0, "permissive": 1, "copyleft": 2, "restricted": 3}
 def normalised(sentence: Column) -> Column:
     """Lower case, one space between runs of letters, digits and inner dots, no closing dot."""
     plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+]+", " ")
-    return F.regexp_replace(F.regexp_replace(plain, r"\.+( |$)", "$1"), r"^ +| +$", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?<!\.)\.++( |$)", "$1"), r"^ +| +$", "")
 
 
 def sentence_ids(text: Column) -> Column:
@@ -202,35 +204,25 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     were recognised but no rule matched, ``none`` where there were none. Columns of these
     names are replaced. One narrow pass.
     """
-    df = df.drop("sentence_ids", "licenses", "license_class", "_seq", "_hits")
+    df = df.drop("sentence_ids", "licenses", "license_class")
     out = df.withColumn("sentence_ids", F.coalesce(sentence_ids(F.col(text)), F.array().cast("array<string>")))
     # the sequence is written with a mark on either side of each identifier
     seq = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
-    hits = []
-    out = out.withColumn("_seq", F.when(F.size("sentence_ids") > 0, seq).otherwise(F.lit("")))
-    for _, _, wanted in EVERY_RULE:
-        pattern = "|" + "||".join(wanted) + "|"
-        hits.append(F.contains(seq_after(hits_before=len(hits)), F.lit(pattern)))
-    matched = F.filter(
-        F.array(*[F.when(h, F.struct(F.lit(name).alias("name"), F.lit(RANK[kind]).alias("rank"))) for h, (name, kind, _) in zip(hits, EVERY_RULE, strict=True)]),
-        lambda x: x.isNotNull(),
-    )
-    out = out.withColumn("_hits", F.when(F.size("sentence_ids") > 0, matched))
-    worst = F.element_at(F.create_map(*[F.lit(x) for k, v in RANK.items() for x in (v, k)]), F.array_max(F.transform("_hits", lambda x: x["rank"])))
-    return (
-        out.withColumn("licenses", F.coalesce(F.array_distinct(F.transform("_hits", lambda x: x["name"])), F.array().cast("array<string>")))
-        .withColumn("license_class", F.when(F.size("sentence_ids") == 0, "none").when(F.size("licenses") == 0, "unknown").otherwise(worst))
-        .drop("_seq", "_hits")
-    )
+    rule = lambda name, kind, wanted: F.struct(F.lit("|" + "||".join(wanted) + "|").alias("shown"), F.lit(len(wanted) > 1).alias("takes"), F.lit(name).alias("name"), F.lit(RANK[kind]).alias("rank"))
+    start = F.struct(seq.alias("seq"), F.array().cast("array<string>").alias("names"), F.lit(0).alias("worst"))
 
+    def after(state: Column, r: Column) -> Column:
+        """What is left of the sequence and what has matched, when one more rule is tried."""
+        hit = F.contains(state["seq"], r["shown"])
+        left = F.when(r["takes"], F.replace(state["seq"], r["shown"], F.lit("/"))).otherwise(state["seq"])
+        return F.struct(left.alias("seq"), F.when(hit, F.array_append(state["names"], r["name"])).otherwise(state["names"]).alias("names"), F.when(hit, F.greatest(state["worst"], r["rank"])).otherwise(state["worst"]).alias("worst"))
 
-def seq_after(hits_before: int) -> Column:
-    """The sequence without what the first rules have taken."""
-    left = F.col("_seq")
-    for _, _, wanted in EVERY_RULE[:hits_before]:
-        if len(wanted) > 1:
-            left = F.replace(left, F.lit("|" + "||".join(wanted) + "|"), F.lit("/"))
-    return left
+    ended = F.aggregate(F.array(*[rule(*r) for r in EVERY_RULE]), start, after)
+    kinds = F.create_map(*[F.lit(x) for k, v in RANK.items() for x in (v, k)])
+    none = F.struct(F.array().cast("array<string>").alias("licenses"), F.lit("none").alias("license_class"))
+    result = let(ended, lambda e: F.struct(F.array_distinct(e["names"]).alias("licenses"), F.when(F.size(e["names"]) == 0, "unknown").otherwise(kinds[e["worst"]]).alias("license_class")))
+    found = F.when(F.size("sentence_ids") > 0, result).otherwise(none)
+    return out.withColumns({"licenses": found["licenses"], "license_class": found["license_class"]})
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,34 +242,42 @@ def _quoted(x: str) -> str:
 
 
 def _oracle() -> str:
-    known = ", ".join(f"({_quoted(v)}, {_quoted(k)})" for k, v in SENTENCES.items())
-    left, cases = "seq", []
-    for name, kind, wanted in RULES:
-        pattern = "|" + "||".join(wanted) + "|"
-        cases.append(f"CASE WHEN contains({left}, {_quoted(pattern)}) THEN {{'n': {_quoted(name)}, 'r': {RANK[kind]}}} END")
+    """The same in SQL, from the same sentences and rules; patterns that look behind are written by what they keep."""
+    names = {v: k for k, v in SENTENCES.items()} | MORE_SENTENCES
+    marked = lambda x: f"regexp_matches({x}, {_quoted(MARKERS)})"
+    swapped = lambda x, old, new: f"regexp_replace({x}, {_quoted(old)}, {new}, 'g')"
+    plain = swapped("lower({0})", "[^a-z0-9.+]+", "' '")
+    plain = swapped(swapped(swapped(plain, r"\.+( |$)", r"'\1'"), "^ +| +$", "''"), ENDORSERS, "'neither the name of the copyright holder nor the names of its contributors may be'")
+    named = lambda x: f"known[{plain.format(x)}]"
+    passages = swapped(swapped(swapped("text", TAG, r"chr(10) || '\1' || chr(10) || chr(10)"), r"([.!?])[ \t\r\n]+", r"'\1' || chr(1)"), f"{GAP}+", "chr(1)")
+    parts = lambda x: f"string_split({swapped(x, r'([;:])[ \t\r\n]+', chr(39) + chr(92) + '1' + chr(39) + ' || chr(1)')}, chr(1))"
+    each = lambda x: f"list_filter(list_transform(list_filter({parts(x)}, lambda y: {marked('y')}), lambda y: {named('y')}), lambda y: y IS NOT NULL)"
+    lines = f"list_filter(string_split({swapped('p', WRAPPED, chr(39) + chr(92) + '1 ' + chr(92) + '2' + chr(39))}, chr(10)), lambda s: {marked('s')})"
+    lines = f"flatten(list_transform({lines}, lambda s: CASE WHEN {named('s')} IS NOT NULL THEN [{named('s')}] ELSE {each('s')} END))"
+    left, taken, hits = "seq", [], []
+    for name, kind, wanted in EVERY_RULE:
+        shown = _quoted("|" + "||".join(wanted) + "|")
+        hits.append(f"CASE WHEN contains({left}, {shown}) THEN {{'n': {_quoted(name)}, 'r': {RANK[kind]}}} END")
         if len(wanted) > 1:
-            left = f"replace({left}, {_quoted(pattern)}, '/')"
+            taken.append(f"replace({left}, {shown}, '/') AS s{len(taken)}")
+            left = f"s{len(taken) - 1}"
     return f"""
-WITH known(sentence, sid) AS (VALUES {known}),
-parts AS (
-  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM (
-    SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([^.!?;:\\n])\\n([a-z])', '\\1 \\2', 'g'),
-      '([.!?;:])[ \\t\\r\\n]+', '\\1\n', 'g'), chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
-plain AS (
-  SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'),
-    '\\.+( |$)', '\\1', 'g'), '^ +| +$', '', 'g') AS sentence FROM parts),
-found AS (
-  SELECT doc_id, count(*) AS n, string_agg(sid, ',' ORDER BY pos) AS ids,
-    '|' || string_agg(sid, '||' ORDER BY pos) || '|' AS seq
-  FROM plain JOIN known USING (sentence) GROUP BY doc_id),
-hits AS (SELECT doc_id, n, ids, list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL) AS h FROM found),
+WITH k AS (SELECT MAP([{', '.join(map(_quoted, names))}], [{', '.join(map(_quoted, names.values()))}]) AS known),
+p AS (SELECT doc_id, i, s[i] AS p FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+  SELECT doc_id, list_filter(string_split({passages}, chr(1)), lambda x: {marked('x')}) AS s FROM documents WHERE {marked('text')}))),
+plain AS (SELECT doc_id, i, p, {swapped('p', WORD_LEADER, "''")} AS whole FROM p),
+lists AS (SELECT doc_id, i, {named('whole')} AS one, {lines} AS lines, {each('whole')} AS parts FROM plain, k),
+found AS (SELECT doc_id, flatten(list(CASE WHEN one IS NOT NULL THEN [one] WHEN len(parts) > len(lines) THEN parts ELSE lines END ORDER BY i)) AS ids FROM lists GROUP BY doc_id),
+seqs AS (SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS seq FROM found WHERE len(ids) > 0),
+left_over AS (SELECT *, {', '.join(taken)} FROM seqs),
+hits AS (SELECT doc_id, ids, list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) AS h FROM left_over),
 named AS (
-  SELECT doc_id, n, ids, h, list_reduce(list_prepend('', list_transform(h, lambda x: x.n)),
+  SELECT doc_id, ids, h, list_reduce(list_prepend('', list_transform(h, lambda x: x.n)),
     lambda a, x: CASE WHEN list_contains(string_split(a, ','), x) THEN a WHEN a = '' THEN x ELSE a || ',' || x END) AS names FROM hits)
-SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(names, '') AS licenses,
-  CASE WHEN n IS NULL THEN 'none' WHEN len(h) = 0 THEN 'unknown'
+SELECT d.doc_id, coalesce(len(ids), 0) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(names, '') AS licenses,
+  CASE WHEN ids IS NULL THEN 'none' WHEN len(h) = 0 THEN 'unknown'
     ELSE ['none', 'permissive', 'copyleft', 'restricted'][list_max(list_transform(h, lambda x: x.r)) + 1] END AS license_class
-FROM documents d LEFT JOIN named USING (doc_id)""".replace("'\\1\n'", "'\\1' || chr(10)")
+FROM documents d LEFT JOIN named USING (doc_id)"""
 
 
 ORACLE = _oracle()
