@@ -347,19 +347,20 @@ def calibrated(top: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled documents that are not held out, of ``most`` bytes together, those whose ids hash lowest, in the order of ids."""
+    """At most ``rows`` labelled documents that are not held out, of ``most`` bytes together, those whose ids hash lowest, in the order of ids.
+
+    A document that would pass ``most`` is left out; smaller ones behind it still count.
+    """
     known = labels.where("toxic IS NOT NULL").where(~held_out("doc_id")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     chosen = known.orderBy("h", "doc_id").limit(rows)
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h").agg(F.sum("n").alias("n"))
-    total, last = 0, None
+    left, ids = most, []
     for r in sizes.orderBy("h", "doc_id").toLocalIterator():  # ``rows`` at most
-        total += r.n
-        if total > most:
-            break
-        last = r.h
-    if last is None:
-        return []
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen.where(F.col("h") <= last)), "doc_id").orderBy("doc_id", "text")
+        if r.n <= left:  # one that doesn't fit is left out, and those after it aren't
+            left -= r.n
+            ids.append((r.doc_id,))
+    fits = docs.sparkSession.createDataFrame(ids, docs.select("doc_id").schema)
+    found = docs.select("doc_id", "text").join(F.broadcast(fits.join(chosen.select("doc_id", "toxic"), "doc_id")), "doc_id").orderBy("doc_id", "text")
     return [(r.text, int(r.toxic)) for r in found.toLocalIterator()]
 
 
