@@ -89,30 +89,27 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for every document that holds an item.
 
-    Sketches of a proven small number are broadcast, and what they find is verified where it
-    is found: no text is shuffled. Beyond that bound hashes meet sketches by shuffle, and the
-    texts of the candidates by another.
+    Hashes alone meet the sketches; texts are read again for the pairs that these find, and each
+    pair is verified once. Sketches, and pairs, of a proven small number are broadcast, so that no
+    text is shuffled; beyond that bound they meet by shuffle.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     known = item_sketches(scratch, items, item_id, item_text, percent)
     lengths = sorted(r[0] for r in known.select("k").distinct().collect()) or [SHINGLE_WORDS]  # five values at most
     sketch = known.select("item", "needed", F.explode("sketch").alias("h"))
     known = known.select("item", "item_shingles", "n_item")
-    d = docs.select(F.col(doc_id).alias("doc"), words(F.col(doc_text)).alias("w")).where("w IS NOT NULL")
-    hashes = d.select("doc", "w", F.explode(document_hashes(F.col("w"), lengths)).alias("h"))
-    if is_small(sketch):
-        candidates = hashes.join(F.broadcast(sketch), "h").join(F.broadcast(known), "item")
-        verified = candidates.select("doc", "item", "h", "needed", "n_item", shared_shingles(F.col("w")).alias("n_shared"))
-        verified = verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-        verified = verified.groupBy("doc", "item", "h").agg(*[F.max(c).alias(c) for c in ("needed", "n_item", "n_shared")])
-        verified = verified.groupBy("doc", "item").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("needed", "n_item", "n_shared")]).where("n >= needed")
-    else:
-        candidates = hashes.drop("w").join(sketch, "h").groupBy("doc", "item", "h").agg(F.max("needed").alias("needed"))
-        candidates = candidates.groupBy("doc", "item").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n >= needed")
-        candidates = scratch.settle(candidates.select("doc", "item"), "candidates")
-        verified = d.join(candidates, "doc").join(known, "item").select("doc", "item", "n_item", shared_shingles(F.col("w")).alias("n_shared"))
-        verified = verified.groupBy("doc", "item").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
-        verified = verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).where("text IS NOT NULL")
+    hashes = texts.select("doc", F.explode(F.array_distinct(document_hashes(words(F.col("text")), lengths))).alias("h"))
+    found = hashes.join(F.broadcast(sketch) if is_small(sketch) else sketch, "h").groupBy("doc", "item", "h").agg(F.max("needed").alias("needed"))
+    pairs = found.groupBy("doc", "item").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n >= needed")
+    pairs = scratch.settle(pairs.select(F.col("doc").alias("_doc"), F.col("item").alias("_item")), "pairs")
+    # nameless documents and items are one each, so names meet null-safe
+    pairs = scratch.settle(pairs.join(known.hint("merge"), F.col("_item").eqNullSafe(F.col("item"))).drop("_item"), "verify")
+    few = is_small(pairs)
+    held = texts.join(F.broadcast(pairs) if few else pairs, F.col("doc").eqNullSafe(F.col("_doc")))
+    verified = held.select("doc", "item", "n_item", shared_shingles(words(F.col("text"))).alias("n_shared"))
+    verified = verified.groupBy("doc", "item").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    verified = verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return verified.select(
         F.col("doc").alias(doc_id),
         F.col("item").alias(item_id),
