@@ -104,7 +104,8 @@ def batch_top_k(
     ``queries``: ``qid`` and ``qvec``. As many as ``PASS_BYTES`` hold are answered by one scan
     of the corpus, to which they are broadcast; a task keeps the best of each batch, so that
     what is shuffled grows with queries times tasks and not with the corpus. Equal scores
-    (to ``digits``) rank by id.
+    (to ``digits``) rank by id. Query sets of many passes are better joined to cells
+    (``index.clusters``), where they never come to the driver.
     """
     spark, scored = queries.sparkSession, None
     for ids, matrix in _passes(queries):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +50,12 @@ class Fixture:
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The rows as a table; ``sf_dir`` tells fixtures that are spread over given rows where these are."""
-        from datetime import datetime
+        return spark.createDataFrame(self.typed(), self.schema)
 
+    def typed(self) -> list[tuple]:
+        """The rows with times as such."""
         stamps = [k for k, kind in enumerate(self.kinds) if kind == "timestamp"]
-        rows = [tuple(datetime.fromisoformat(v) if k in stamps and v else v for k, v in enumerate(r)) for r in self.rows]
-        return spark.createDataFrame(rows, self.schema)
+        return [tuple(datetime.fromisoformat(v) if k in stamps and v else v for k, v in enumerate(r)) for r in self.rows]
 
     def _literal(self, v, kind: str) -> str:
         duck = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]"}[kind]
@@ -95,8 +97,8 @@ class Spread(Fixture):
         return out
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = self.base.frame(spark, sf_dir)
-        numbered = own.coalesce(1).toDF(*[f"_{c}" for c in self.columns]).withColumn("_n", F.monotonically_increasing_id())  # of one partition: 0, 1, 2 ...
+        own = spark.createDataFrame([(n, *r) for n, r in enumerate(self.base.typed())], f"_n long, {self.base.schema}")
+        numbered = own.toDF("_n", *[f"_{c}" for c in self.columns])
         given = load(spark, sf_dir, self.table)
         few = F.broadcast(numbered)  # rows that are fixed here
         met = given.crossJoin(few) if self.every else given.join(few, F.expr(f"{self.key} % {len(self.base.rows)} = _n"))
