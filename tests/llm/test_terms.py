@@ -146,17 +146,22 @@ def test_terms_of_small_pieces(monkeypatch):
     rows = corpus(4)
 
     def sums():
-        out = collections.Counter()
+        out, names = collections.Counter(), {}
         for b in divergence.count_terms(iter(batches(rows, "lang", "source", "text"))):
-            for lang, source, term, n, n_docs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out[lang, source, term, "n"] += n
-                out[lang, source, term, "docs"] += n_docs
-        return out
+            for lang, source, term, n, n_docs, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name is None:
+                    out[lang, source, term, "n"] += n
+                    out[lang, source, term, "docs"] += n_docs
+                else:
+                    assert names.setdefault(term, name) == name
+        return {(a, b, names.get(t), k): n for (a, b, t, k), n in out.items()}
 
     whole = sums()
     monkeypatch.setattr(divergence, "PIECE", 200)
     monkeypatch.setattr(divergence, "HELD", 50)
     assert sums() == whole
+    monkeypatch.setattr(divergence, "PIECE", 3)
+    assert sums() == whole
 
 
 @pytest.mark.parametrize("min_docs", [2, 30, 10_000])
@@ -217,10 +222,14 @@ def test_sketch_and_counts_of_small_pieces(monkeypatch, least, cells):
     ordered = pa.table({n: [t[k] for t in touched] for k, n in enumerate(("row", "block", "packed"))}).to_batches(max_chunksize=7)
     blocks = [tuple(r.values()) for b in collocations.merged(iter(ordered), least) for r in b.to_pylist()]
     assert len({b[:2] for b in blocks}) == len(blocks)
-    got = collections.Counter()
+    found, names = collections.Counter(), {}
     for b in collocations.counted(parts(), longest, collocations.Sketch(cells, blocks)):
         for r in b.to_pylist():
-            got[r["lang"], r["size"], r["phrase"]] += r["n"]
+            if r["size"] == -1:
+                assert names.setdefault(r["key"][:8], r["key"][8:].decode()) == r["key"][8:].decode()
+            else:
+                found[r["lang"], r["size"], r["key"]] += r["n"]
+    got = collections.Counter({(lang, k, " ".join(names[key[i : i + 8]] for i in range(0, len(key), 8))): n for (lang, k, key), n in found.items()})
     want = run_counts(rows, longest)
     assert {k: n for k, n in want.items() if n >= least}.items() <= got.items()
     assert all(want[k] == n for k, n in got.items() if k[1])
