@@ -6,6 +6,7 @@ summed. A cell never counts less than any run in it, so a run with a cell below
 is not frequent. Second pass: runs whose cells all reach the least count are counted exactly, by
 their words; what the sketch let through in error falls to the exact count, and nothing frequent
 is lost. A longer run is only looked at where the shorter ones inside it are let through too.
+Runs are named by the hashes of their words, of 64 bits each; words come back for the phrases that are shown.
 
 A phrase is then cut into a first part and the rest at each place; the score of a cut is
 ``floor(SCALE * a * a / (l * r))`` with the counts of phrase, first part and rest, and the lowest
@@ -39,8 +40,8 @@ LEAST, LONGEST, TOP, SCALE, COVER = 10, 3, 2000, 1_000_000, 50
 BYTES_A_CELL, FEWEST_CELLS, MOST_CELLS, ROWS = 8, 1 << 20, 1 << 28, 2
 #: Cells of a block, which is summed as one; cells stop counting at ``FULL``.
 BLOCK, FULL = 1 << 20, 127
-#: Runs that a task holds before it sends its cells; phrases and their bytes before it sends its counts; bytes of text at a time.
-HELD, PHRASES, PHRASE_BYTES, GROUP = 4_000_000, 300_000, 24 << 20, 1 << 20
+#: Runs that a task holds before it sends its cells; runs that it holds with their counts; bytes of words; bytes of text at a time.
+HELD, PHRASES, NAME_BYTES, GROUP = 2_500_000, 800_000, 12 << 20, 1 << 20
 #: Parts in which a language's phrases are ranked before they meet.
 PARTS = 64
 
@@ -74,7 +75,7 @@ class Runs:
         piece = piece[self.starts] + np.searchsorted(met, self.starts, side="right") if len(met) else piece[self.starts]
         total = powers.sums(data)
         words = mixed((total[self.ends] - total[self.starts]) * powers.down[self.starts] + (self.ends - self.starts).astype(np.uint64))
-        self.bytes, self.hashes, self.whole = data.tobytes(), [], []
+        self.data, self.words, self.hashes, self.whole = data, words, [], []
         seed = mixed(np.array([hash_of(lang)], dtype=np.uint64))[0]
         for k in range(1, longest + 1):
             n = max(len(words) - k + 1, 0)
@@ -84,10 +85,8 @@ class Runs:
             self.hashes.append(mixed(run))
             self.whole.append(piece[:n] == piece[k - 1 : k - 1 + n])
 
-    def phrase(self, start: int, k: int) -> bytes:
-        if k == 1:
-            return self.bytes[self.starts[start] : self.ends[start]]
-        return b" ".join([self.bytes[a:b] for a, b in zip(self.starts[start : start + k].tolist(), self.ends[start : start + k].tolist(), strict=True)])
+    def word(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
 def hash_of(lang: str) -> int:
@@ -209,23 +208,77 @@ class Sketch:
         return out
 
 
-def counted(batches: Iterator[pa.RecordBatch], longest: int, sketch: Sketch) -> Iterator[pa.RecordBatch]:
-    """lang, size, phrase, n: exact counts of the runs that the sketch lets through, summed in the task; size 0 counts all words."""
-    held: dict[int, list] = {}
-    words: dict[str, int] = {}
-    n_bytes = 0
+class Counted:
+    """Runs with their counts, summed up now and then, and the words that they are made of."""
 
-    def flushed() -> Iterator[pa.RecordBatch]:
-        rows = [*held.values(), *([lang, 0, b"", n] for lang, n in words.items())]
-        kinds = {"lang": pa.string(), "size": pa.int32(), "phrase": pa.binary(), "n": pa.int64()}
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
-        columns[2] = columns[2].cast(pa.string())
-        held.clear(), words.clear()
-        table = pa.Table.from_arrays(columns, names=list(kinds))
-        yield from table.to_batches(max_chunksize=50_000)
+    def __init__(self, longest: int):
+        self.longest, self.langs = longest, {}
+        self.clear()
 
+    def clear(self) -> None:
+        #: Hashes of runs, counts, hashes of words, words and language of each run, as lists of arrays.
+        self.held: list[list[np.ndarray]] = [[], [], [], [], []]
+        self.names: dict[int, bytes] = {}
+        self.all_words: dict[str, int] = {}
+        self.size = self.n_bytes = 0
+
+    def take(self, lang: str, k: int, hashes: np.ndarray, starts: np.ndarray, runs: Runs) -> None:
+        """Count runs of ``k`` words that begin at the words ``starts``."""
+        found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+        at = starts[first]
+        words = np.zeros((len(found), self.longest), np.uint64)
+        for j in range(k):
+            words[:, j] = runs.words[at + j]
+        if k == 1:
+            for h, start in zip(words[:, 0].tolist(), at.tolist(), strict=True):
+                if h not in self.names:
+                    self.names[h] = name = runs.word(start)
+                    self.n_bytes += len(name)
+        lang_no = self.langs.setdefault(lang, len(self.langs))
+        for column, values in zip(self.held, (found, n.astype(np.int32), words, np.full(len(found), k, np.int8), np.full(len(found), lang_no, np.int16)), strict=True):
+            column.append(values)
+        self.size += len(found)
+        if self.size > 2 * PHRASES:
+            self._sum()
+
+    def _sum(self) -> None:
+        found, first, at = np.unique(np.concatenate(self.held[0]), return_index=True, return_inverse=True)
+        self.held[0] = [found]
+        self.held[1] = [np.bincount(at, np.concatenate(self.held[1]), len(found)).astype(np.int32)]
+        for c in (2, 3, 4):  # one after the other, so that little is held twice
+            self.held[c] = [np.concatenate(self.held[c])[first]]
+        self.size = len(found)
+
+    @property
+    def full(self) -> bool:
+        return self.size > PHRASES and len(self.held[0]) == 1 or self.n_bytes > NAME_BYTES
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        """lang, size, key, n: counts by the hashes of a run's words; size 0 counts all words; size -1 gives a word behind its hash."""
+        langs = pa.array([*self.langs, ""], pa.string())
+        if self.held[0]:
+            self._sum()
+            _, n, words, k, lang = (column[0] for column in self.held)
+            order = np.argsort(k, kind="stable")
+            n, words, k, lang = n[order].astype(np.int64), words[order], k[order].astype(np.int32), lang[order].astype(np.int32)
+            raw = b"".join(words[a:b, :size].astype(">u8").tobytes() for size in range(1, self.longest + 1) for a, b in [np.searchsorted(k, [size, size + 1])])
+            offsets = np.concatenate([[0], np.cumsum(8 * k.astype(np.int64))]).astype(np.int32)
+            keys = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            yield from pa.Table.from_arrays([langs.take(pa.array(lang)), pa.array(k), keys, pa.array(n)], names=COUNTED).to_batches(max_chunksize=100_000)
+        rest = [(x, 0, b"", n) for x, n in self.all_words.items()] + [("", -1, h.to_bytes(8, "big") + name, 1) for h, name in self.names.items()]
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+        yield from pa.Table.from_arrays([pa.array([r[c] for r in rest], kind) for c, kind in enumerate(kinds)], names=COUNTED).to_batches(max_chunksize=100_000)
+        self.clear()
+
+
+COUNTED = ["lang", "size", "key", "n"]
+
+
+def counted(batches: Iterator[pa.RecordBatch], longest: int, sketch: Sketch) -> Iterator[pa.RecordBatch]:
+    """lang, size, key, n: exact counts of the runs that the sketch lets through, summed in the task."""
+    counts = Counted(longest)
     for lang, runs in runs_of(batches, longest):
-        words[lang] = words.get(lang, 0) + len(runs.starts)
+        counts.all_words[lang] = counts.all_words.get(lang, 0) + len(runs.starts)
         shorter = None
         for k, (hashes, whole) in enumerate(zip(runs.hashes, runs.whole, strict=True), 1):
             passed = whole.copy()
@@ -233,26 +286,17 @@ def counted(batches: Iterator[pa.RecordBatch], longest: int, sketch: Sketch) ->
                 passed &= shorter[: len(passed)] & shorter[1 : len(passed) + 1]
             passed[passed] = sketch.frequent(hashes[passed])
             at = np.flatnonzero(passed)
-            found, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
-            for h, start, count in zip(found.tolist(), at[first].tolist(), n.tolist(), strict=True):
-                known = held.get(h)
-                if known is None:
-                    phrase = runs.phrase(start, k)
-                    held[h] = [lang, k, phrase, count]
-                    n_bytes += len(phrase)
-                else:
-                    known[3] += count
+            counts.take(lang, k, hashes[at], at, runs)
             shorter = passed
-        if len(held) > PHRASES or n_bytes > PHRASE_BYTES:
-            yield from flushed()
-            n_bytes = 0
-    yield from flushed()
+        if counts.full:
+            yield from counts.out()
+    yield from counts.out()
 
 
 def phrase_counts(scratch: Scratch, texts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, size, phrase, n of every run of one to ``longest`` words with at least ``least`` occurrences, and of size 0 for all words of a language.
+    """lang, size, key, n of every run of one to ``longest`` words with at least ``least`` occurrences, of size 0 for all words of a language, of size -1 for words by their hashes.
 
-    ``texts`` has the columns ``lang`` and ``text``, without nulls.
+    A key holds eight bytes for each word. ``texts`` has the columns ``lang`` and ``text``, without nulls.
     """
     spark = texts.sparkSession
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -263,8 +307,8 @@ def phrase_counts(scratch: Scratch, texts: DataFrame, longest: int = LONGEST, le
     blocks = touched.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(lambda b: merged(b, least), "row int, block int, bits binary")
     bits = scratch.settle(blocks, "sketch", rows=64)
     shared = spark.sparkContext.broadcast(Sketch(cells, [tuple(r) for r in bits.collect()]))  # ROWS * MOST_CELLS bits at most
-    exact = texts.mapInArrow(lambda b: counted(b, longest, shared.value), "lang string, size int, phrase string, n long")
-    exact = exact.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+    exact = texts.mapInArrow(lambda b: counted(b, longest, shared.value), "lang string, size int, key binary, n long")
+    exact = exact.groupBy("lang", "size", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") <= 0))
     return scratch.settle(exact, "counts")
 
 
@@ -277,29 +321,36 @@ def collocations(
     scratch = Scratch(df.sparkSession, "collocations")
     texts = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counts = phrase_counts(scratch, texts, longest, least)
-    phrases = counts.where("size >= 2").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
-    run = lambda start, n: F.array_join(F.slice("w", start, n), " ")
+    phrases = counts.where("size >= 2").select("lang", "key", "size", F.col("n").alias("a"))
+    run = lambda start, n: F.substring("key", 8 * start - 7, 8 * n)  # noqa: E731  (words from 1)
 
     # both parts of every cut meet their counts in one join
-    cuts = phrases.select("lang", "phrase", "a", "size", "w", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    sides = cuts.select("lang", "phrase", "a", "k", F.explode(F.array(F.struct(F.lit(True).alias("first"), run(F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(False).alias("first"), run(F.col("k") + 1, F.col("size") - F.col("k")).alias("part")))).alias("p"))
-    sides = sides.select("lang", "phrase", "a", "k", "p.first", "p.part").join(counts.where("size >= 1").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), ["lang", "part"])
+    cuts = phrases.select("lang", "key", "a", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    parts = [F.struct(F.lit(True).alias("first"), run(F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(False).alias("first"), run(F.col("k") + 1, F.col("size") - F.col("k")).alias("part"))]
+    sides = cuts.select("lang", "key", "a", "k", F.explode(F.array(*parts)).alias("p")).select("lang", "key", "a", "k", "p.first", "p.part")
+    sides = sides.join(counts.where("size >= 1").select("lang", F.col("key").alias("part"), F.col("n").alias("f")), ["lang", "part"])
     sides = scratch.settle(sides.drop("part"), "sides")
-    parts = sides.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("first"), F.col("f"))).alias("l"), F.max(F.when(~F.col("first"), F.col("f"))).alias("r"))
+    cut = sides.groupBy("lang", "key", "a", "k").agg(F.max(F.when(F.col("first"), F.col("f"))).alias("l"), F.max(F.when(~F.col("first"), F.col("f"))).alias("r"))
     big = "CAST({0} AS DECIMAL(19, 0)) * CAST({1} AS DECIMAL(19, 0))".format
-    scored = parts.withColumn("score", F.expr(f"({SCALE} * ({big('a', 'a')})) div ({big('l', 'r')})"))
-    lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-
-    inner = phrases.where("size > 2").select("lang", "w", "size", "a", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("m"))
-    inner = inner.select("lang", "w", "a", "m", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1)).alias("at"))
-    inner = inner.groupBy("lang", run(F.col("at"), F.col("m")).alias("phrase")).agg(F.max("a").alias("longer"))
-    left = lowest.join(inner, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {cover} * a")
-    left = scratch.settle(left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "left")
-
-    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
-    first = left.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    best = first.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    scored = cut.withColumn("score", F.expr(f"({SCALE} * ({big('a', 'a')})) div ({big('l', 'r')})"))
+    lowest = scored.groupBy("lang", "key", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+
+    inner = phrases.where("size > 2").select("lang", "key", "size", "a", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("m"))
+    inner = inner.select("lang", "key", "a", "m", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1)).alias("at"))
+    inner = inner.groupBy("lang", run(F.col("at"), F.col("m")).alias("key")).agg(F.max("a").alias("longer"))
+    left = lowest.join(inner, ["lang", "key"], "left").where(f"longer IS NULL OR 100 * longer < {cover} * a")
+    left = scratch.settle(left.select("lang", "key", "a", "cut.l", "cut.r", "cut.score"), "left")
+
+    # words decide between equal scores and counts only, so what is far behind gets none
+    order = [F.desc("score"), F.desc("a")]
+    ahead = lambda df, *by: df.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top).drop("rank")
+    first = scratch.settle(ahead(ahead(left.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))), "lang", "part"), "lang").drop("part"), "first")
+    names = counts.where("size = -1").select(F.substring("key", F.lit(1), F.lit(8)).alias("word"), F.decode(F.substring("key", F.lit(9), F.octet_length("key")), "UTF-8").alias("name"))
+    words = first.select("lang", "key", F.explode(F.sequence(F.lit(1), (F.octet_length("key") / 8).cast("int"))).alias("at")).withColumn("word", run(F.col("at"), F.lit(1)))
+    named = words.join(names, "word").groupBy("lang", "key").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("w"))
+    phrase = F.array_join(F.transform("w", lambda x: x["name"]), " ")
+    best = first.join(named.select("lang", "key", phrase.alias("phrase")), ["lang", "key"])
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase")))).where(F.col("rank") <= top)
     all_words = counts.where("size = 0").select("lang", "n")
     return best.join(all_words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
