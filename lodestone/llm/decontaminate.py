@@ -104,9 +104,8 @@ def find_leaks(
     pairs = found.groupBy("doc", "item").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n >= needed")
     pairs = scratch.settle(pairs.select(F.col("doc").alias("_doc"), F.col("item").alias("_item")), "pairs")
     # nameless documents and items are one each, so names meet null-safe
-    pairs = scratch.settle(pairs.join(known.hint("merge"), F.col("_item").eqNullSafe(F.col("item"))).drop("_item"), "verify")
-    few = is_small(pairs)
-    held = texts.join(F.broadcast(pairs) if few else pairs, F.col("doc").eqNullSafe(F.col("_doc")))
+    held = texts.join(F.broadcast(pairs) if is_small(pairs) else pairs, F.col("doc").eqNullSafe(F.col("_doc")))
+    held = held.join(F.broadcast(known) if is_small(known) else known, F.col("_item").eqNullSafe(F.col("item")))
     verified = held.select("doc", "item", "n_item", shared_shingles(words(F.col("text"))).alias("n_shared"))
     verified = verified.groupBy("doc", "item").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     verified = verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
