@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import like_escape
 from lodestone.functions.vector import cosine
 
-#: Queries whose scores with a batch of the corpus are in memory at a time.
-QUERY_BLOCK = 1024
+#: Scores, and components of the corpus' vectors, that a task has in memory at a time, however many queries and rows there are.
+BLOCK_SCORES, BLOCK_NUMBERS = 1 << 20, 1 << 20
 #: Bytes of query vectors that one pass over the corpus answers; more take further passes.
 PASS_BYTES = 64_000_000
 
@@ -62,7 +62,8 @@ def _block_scores(queries: Broadcast, k: int, unit: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, every = queries.value
-        for batch in batches:
+        most = max(k + 1, BLOCK_NUMBERS // max(every.shape[1], 1))
+        for batch in (whole.slice(start, most) for whole in batches for start in range(0, whole.num_rows, most)):
             valid, rows = _vectors(batch.column(1), every.shape[1])
             own = batch.column(0).to_numpy(zero_copy_only=False)[valid]
             if unit:
@@ -71,8 +72,9 @@ def _block_scores(queries: Broadcast, k: int, unit: bool):
             keep = min(k + 1, len(own))  # one more: a query may meet itself
             if not keep:
                 continue
-            for start in range(0, len(every), QUERY_BLOCK):
-                score = every[start : start + QUERY_BLOCK] @ rows.T
+            step = max(1, BLOCK_SCORES // len(own))
+            for start in range(0, len(every), step):
+                score = every[start : start + step] @ rows.T
                 kth = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
                 q, r = np.nonzero(score >= kth[:, None] - 1e-9)  # ties at the edge are kept for the final ranking
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start + q]), pa.array(own[r]), pa.array(score[q, r])], names=["qid", "id", "score"])
