@@ -5,7 +5,8 @@ of its content. A removal is a change too and leaves a tombstone, so that an old
 later doesn't bring the row back. The last change by (sequence, hash) wins, whichever
 order and however often changes come, so replayed and reordered batches end in the same table.
 Batches carry their number as the name of the version: a batch that ran before its checkpoint
-was written is not done twice.
+was written is not done twice. Keys of a table grow with its source, so joins with it come by shuffle
+at every size, never through the driver.
 """
 
 from __future__ import annotations
@@ -32,15 +33,20 @@ def changes(rows: DataFrame, key: str, seq: str, content: list[str], gone: Colum
     return marked.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), "hash", "gone", *kept)
 
 
+def news(table: VersionedTable, batch: DataFrame) -> DataFrame:
+    """The last change of each key in a batch, where the table has none as late."""
+    last = batch.groupBy("key").agg(F.max_by(F.struct(*batch.columns), F.struct(*ORDER)).alias("r")).select("r.*")
+    if table.version() is not None:
+        known = table.read().select(F.col("key").alias("_key"), F.struct("seq", "hash").alias("_last"))
+        last = last.join(known.hint("merge"), F.col("key") == F.col("_key"), "left").where(F.col("_last").isNull() | (F.col("_last") < F.struct("seq", "hash"))).drop("_key", "_last")
+    return last
+
+
 def apply(table: VersionedTable, batch: DataFrame, name: str | None = None) -> bool:
     """Apply changes in one version; False if a version of that name is there. Changes that are no news write nothing."""
     if name is not None and name in table.names():
         return False
-    last = batch.groupBy("key").agg(F.max_by(F.struct(*batch.columns), F.struct(*ORDER)).alias("r")).select("r.*")
-    if table.version() is not None:
-        known = table.read().select(F.col("key").alias("_key"), F.struct("seq", "hash").alias("_last"))
-        last = last.join(known, F.col("key") == F.col("_key"), "left").where(F.col("_last").isNull() | (F.col("_last") < F.struct("seq", "hash"))).drop("_key", "_last")
-    table.upsert(last, ORDER, name)
+    table.upsert(news(table, batch), ORDER, name)
     return True
 
 
@@ -53,9 +59,9 @@ def apply_listing(table: VersionedTable, listing: DataFrame, seq: int, name: str
         return apply(table, fresh, name)
     known = table.read()
     same = known.where("NOT gone").select("key", "hash")
-    changed = fresh.join(same, ["key", "hash"], "left_anti")
+    changed = fresh.join(same.hint("merge"), ["key", "hash"], "left_anti")
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema.fields if f.name not in ("key", "seq", "hash", "gone")]
-    vanished = known.where((F.col("seq") < seq) & ~F.col("gone")).join(fresh.select("key"), "key", "left_anti").select("key", F.lit(seq).cast("long").alias("seq"), F.lit("~").alias("hash"), F.lit(True).alias("gone"), *empty)
+    vanished = known.where((F.col("seq") < seq) & ~F.col("gone")).join(fresh.select("key").hint("merge"), "key", "left_anti").select("key", F.lit(seq).cast("long").alias("seq"), F.lit("~").alias("hash"), F.lit(True).alias("gone"), *empty)
     return apply(table, changed.select(known.columns).unionByName(vanished.select(known.columns)), name)
 
 

@@ -5,8 +5,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lodestone.operators import search
+from lodestone.streaming import mirror
 
 
 def peak_mb(work) -> tuple[float, list]:
@@ -36,3 +38,13 @@ def test_scores_of_a_batch_are_cut():
     best = np.argsort(-(asked @ rows.T), axis=1)[:, :5]
     found = set(zip(q.tolist(), i.tolist(), strict=True))
     assert all((n + 20_000, r) in found for n in range(1_024) for r in best[n].tolist())
+
+
+def test_a_mirror_is_not_broadcast(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}", i, float(i)) for i in range(20)], "k string, n long, v double")
+    table = mirror.mirror(spark, str(tmp_path / "mirror"))
+    mirror.apply(table, mirror.changes(rows.where("n < 15"), "k", "n", ["v"]))
+    late = mirror.changes(rows.where("n >= 10").withColumn("n", F.when(F.col("n") < 12, 5).otherwise(F.col("n"))), "k", "n", ["v"])
+    news = mirror.news(table, late)
+    assert "Broadcast" not in news._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.key for r in news.collect()) == [f"u{i}" for i in range(15, 20)]
