@@ -1,28 +1,29 @@
 """Byte-pair tokens from a vocabulary of ranks, without a tokenizer library.
 
-Texts are cut into pieces by the vocabulary's pattern. Each distinct piece of the corpus is merged
-once: the table of pieces and their ids is made by a shuffle of distinct pieces, and ids are joined
-back to the places where pieces stand. Where the table is proven small it is broadcast; beyond
-that, it is joined by shuffle on each document's distinct pieces, so that a piece that stands
-everywhere has one row a document, which adaptive execution can split.
+Texts are cut into pieces by the vocabulary's pattern. A task looks up each distinct piece of a batch of
+texts and keeps the ids of the pieces that it has merged, up to a bound; texts are encoded where they are read,
+so nothing is shuffled or written for it.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.index.shared import Steps, if_few
-
 # Fixed value: the pattern by which the default encoding cuts texts before it merges bytes.
 CL100K_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
-#: Distinct pieces that may be broadcast with their ids.
-FEW_PIECES = 200_000
+#: Pieces whose ids a task keeps, and characters of these at most; what is beyond is merged anew and has the same ids.
+FEW_PIECES, KEPT_LENGTH = 200_000, 64
+#: Rows of a batch whose tokens are in memory at a time.
+SLICE_ROWS = 256
 
 _loaded: dict[str, dict[bytes, int]] = {}
 
@@ -75,32 +76,53 @@ def merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pieces(dict):
+    """The ids of pieces that a task has met; those of more than ``FEW_PIECES`` or of long ones are worked out each time."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merged(piece.encode(), self.known)
+        if len(self) < FEW_PIECES and len(piece) <= KEPT_LENGTH:
+            self[piece] = ids
+        return ids
+
+    def encoded(self, texts: pa.ListArray) -> pa.Array:
+        """The ids of texts that are given as lists of their pieces."""
+        values, ends = texts.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy())
+        met = values.dictionary_encode()  # each distinct piece of a batch is looked up once
+        ids = [self[p] for p in met.dictionary.to_pylist()]
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sizes.sum())
+        at = met.indices.to_numpy()
+        starts, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        before = np.cumsum(lengths) - lengths
+        out = flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(start, SLICE_ROWS) for batch in batches for start in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def pieces_of(text: Column, pattern: str = CL100K_PATTERN) -> Column:
     """The pieces of a text in order, none for null; classes of characters are those of Unicode."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def piece_ids(pieces: DataFrame, vocabulary: str, name: str = "piece") -> DataFrame:
-    """``name`` and ``ids`` of each distinct piece."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", pattern: str = CL100K_PATTERN) -> DataFrame:
+    """``id_col`` and ``ids`` of every row whose text has tokens."""
+    cut = docs.select(F.col(id_col), pieces_of(F.col(text), pattern).alias("_pieces")).where(F.size("_pieces") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(vocabulary)
-        for batch in batches:
-            ids = [merged(p.encode(), known) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[name, "ids"])
+        pieces = Pieces(ranks(vocabulary))
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pieces.encoded(batch.column(1))], names=[id_col, "ids"])
 
-    return pieces.select(name).distinct().mapInArrow(run, f"`{name}` string, ids array<int>")
-
-
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", pattern: str = CL100K_PATTERN) -> DataFrame:
-    """``id_col`` and ``ids`` of every row whose text has tokens. Ids of rows are unique."""
-    cut = docs.select(F.col(id_col).alias("_id"), F.posexplode(pieces_of(F.col(text), pattern)).alias("_at", "_piece"))
-    steps = Steps(docs.sparkSession, "pieces")
-    places = steps.keep(cut.groupBy("_id", "_piece").agg(F.collect_list("_at").alias("_places")), "places")  # one document's places of one piece
-    table = if_few(steps.keep(piece_ids(places, vocabulary, "_piece"), "ids"), FEW_PIECES)
-    joined = places.join(table, "_piece")
-    ordered = F.array_sort(F.flatten(F.collect_list(F.transform("_places", lambda p: F.struct(p.alias("at"), F.col("ids").alias("ids"))))))
-    return joined.groupBy("_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids")).withColumnRenamed("_id", id_col)
+    return cut.mapInArrow(run, f"`{id_col}` {cut.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def windows(docs: DataFrame, vocabulary: str, size: int = 512, overlap: int = 64, id_col: str = "doc_id", text: str = "text", pattern: str = CL100K_PATTERN) -> DataFrame:
@@ -119,9 +141,9 @@ def windows(docs: DataFrame, vocabulary: str, size: int = 512, overlap: int = 64
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: raw for raw, rank in ranks(vocabulary).items()}
-        for batch in batches:
+        for batch in _slices(batches):
             raw = [b"".join(map(token.__getitem__, ids)) for ids in batch.column(2).to_pylist()]
-            n = pa.array([len(ids) for ids in batch.column(2).to_pylist()], pa.int32())
+            n = pc.list_value_length(batch.column(2))
             texts = pa.array([r.decode(errors="replace") for r in raw], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(raw, pa.binary()), texts], names=[id_col, "chunk_index", "chunk_tokens", "chunk_bytes", "chunk_text"])
 

@@ -63,7 +63,7 @@ def bpe_windows(spark, sf_dir):
 def bpe_round_trip(spark, sf_dir):
     """The bytes of windows that don't overlap, one behind the other, are the text."""
     c = bpe.windows(load(spark, sf_dir, "documents"), size=512, overlap=0, **_vocabulary())
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", F.hex("chunk_bytes").alias("b")))), lambda x: x["b"]), "")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("chunk_bytes").alias("b")))), lambda x: F.hex(x["b"])), "")
     joined = c.groupBy("doc_id").agg(F.unhex(whole).alias("bytes"))
     return joined.select("doc_id", F.md5("bytes").alias("h"), F.octet_length("bytes").cast("long").alias("n_bytes"))
 

@@ -1,12 +1,15 @@
 """What a task holds in memory stays bounded, whatever the sizes of its batches."""
 
+import base64
 import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import bpe
 from lodestone.operators import search
 from lodestone.streaming import mirror
 
@@ -48,3 +51,19 @@ def test_a_mirror_is_not_broadcast(spark, tmp_path):
     news = mirror.news(table, late)
     assert "Broadcast" not in news._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.key for r in news.collect()) == [f"u{i}" for i in range(15, 20)]
+
+
+@pytest.mark.parametrize("kept", [0, 3, 200_000])
+def test_pieces_are_encoded_where_they_are_read(spark, tmp_path, monkeypatch, kept):
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % n for n, t in enumerate([*(bytes([x]) for x in range(256)), b"ab", b" ab", b"aba"])))
+    lists = [["ab", " ab", "abab"], None, [], ["é", "ab"], ["aba"]] * 200
+    monkeypatch.setattr(bpe, "FEW_PIECES", kept)
+    known = bpe.ranks(str(path))
+    got = bpe.Pieces(known).encoded(pa.array(lists, pa.list_(pa.string())).slice(1)).to_pylist()
+    assert got == [[i for p in x or [] for i in bpe.merged(p.encode(), known)] for x in lists[1:]]
+    if kept == 3:
+        docs = spark.createDataFrame([(n, "ab ab" * n) for n in range(5)] + [(9, None)], "doc_id long, text string")
+        plan = bpe.windows(docs, str(path), 4, 1)
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in plan.collect()} == {1, 2, 3, 4}
