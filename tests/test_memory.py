@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import bpe
-from lodestone.operators import search
+from lodestone.index import shared
+from lodestone.operators import graph, search
 from lodestone.streaming import mirror
 
 
@@ -67,3 +68,13 @@ def test_pieces_are_encoded_where_they_are_read(spark, tmp_path, monkeypatch, ke
         plan = bpe.windows(docs, str(path), 4, 1)
         assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
         assert {r.doc_id for r in plan.collect()} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_level_is_written_once(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(graph, "shared_folder", lambda *_: str(tmp_path))
+    monkeypatch.setattr(graph, "if_few", lambda df: shared.if_few(df, few))
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("b", "c", "x"), ("b", "a", "x"), ("c", "d", "x"), (None, "d", "x")], "source string, target string, kind string")
+    found = graph.traverse(edges, spark.createDataFrame([("a",), (None,)], "seed string"), 2)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
+    assert [p.name for p in tmp_path.iterdir()] == ["seen"]
