@@ -8,7 +8,7 @@ nearest cells with enough vectors; the distance of the ``k``-th best found there
 the other cells only those that can be nearer than the limit are visited. The result is that of
 comparing each query with every vector, by cosine in double precision.
 
-Queries stay a table: each is sent to the cells that it visits. Cells are cut into parts of
+Queries stay a table: each is sent to the centres whose cells it visits, once with all of them. Cells are cut into parts of
 some ``PART_ROWS`` vectors and queries into slices, so neither gathers in one task. Vectors that are null, zero, of another
 length or hold null or non-finite components are not found, queries like that find nothing.
 """
@@ -30,7 +30,9 @@ from lodestone.index.shared import Steps, Tables, if_few
 SAMPLE_ROWS, MOST_CENTRES, ROUNDS = 20_000, 512, 8
 #: Width of a cell in distance from its centre: 20 cells a centre at most, so all bounds fit in every task.
 WIDTH = 0.1
-PART_ROWS, SLICE_QUERIES, QUERY_BLOCK = 8192, 50_000, 1024
+PART_ROWS, SLICE_QUERIES = 8192, 50_000
+#: Distances or scores that a task has in memory at a time, and rows of a batch that it gives.
+BLOCK_SCORES, GIVEN_ROWS = 1 << 19, 4096
 SLACK = 1e-9
 
 
@@ -137,52 +139,70 @@ class Bounds:
         return out
 
 
+def _visited(bounds: Bounds, k: int, d: int, limits: bool):
+    """What ``_visits`` does to batches; only a bounded number of queries by cells is looked at at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_SCORES // max(1, len(bounds.cell)))
+        for batch in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
+            valid, own = unit_rows(batch.column(1), d)
+            if not len(own):
+                continue
+            least, most = bounds.of(own)
+            chosen = bounds.first(most, k)
+            if limits:
+                limit = batch.column(2).to_numpy(zero_copy_only=False)[valid]
+                chosen = (least <= limit[:, None] + SLACK) & ~chosen
+            q, c = np.nonzero(chosen)  # by query, then as cells are ordered
+            centre, cell = bounds.centre[c], bounds.cell[c]
+            new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (centre[1:] != centre[:-1])])) if len(q) else q
+            ends = np.append(new, len(q))
+            for start in range(0, len(new), GIVEN_ROWS):
+                at, cut = new[start : start + GIVEN_ROWS], ends[start : start + GIVEN_ROWS + 1]
+                cells = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(cell[cut[0] : cut[-1]].astype(np.int32)))
+                rows = pa.array(valid[q[at]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(centre[at].astype(np.int32)), cells], names=["qid", "q", "centre", "cells"])
+
+    return run
+
+
 def _visits(index: Clusters, queries: DataFrame, k: int, d: int, bounds: Bounds, limits: bool) -> DataFrame:
-    """qid, v, centre, cell of the cells that queries visit: at first, or within ``limit`` and not at first."""
+    """qid, v, centre and its cells that a query visits: at first, or within ``limit`` and not at first."""
     shared = index.spark.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, QUERY_BLOCK):
-                batch = whole.slice(start, QUERY_BLOCK)
-                valid, own = unit_rows(batch.column(1), d)
-                if not len(own):
-                    continue
-                least, most = b.of(own)
-                chosen = b.first(most, k)
-                if limits:
-                    limit = batch.column(2).to_numpy(zero_copy_only=False)[valid]
-                    chosen = (least <= limit[:, None] + SLACK) & ~chosen
-                q, c = np.nonzero(chosen)
-                at = pa.array(valid[q])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(b.centre[c].astype(np.int32)), pa.array(b.cell[c].astype(np.int32))], names=["qid", "q", "centre", "cell"])
-
-    return queries.mapInArrow(run, "qid long, q array<double>, centre int, cell int")
+        yield from _visited(shared.value, k, d, limits)(batches)
+
+    return queries.mapInArrow(run, "qid long, q array<double>, centre int, cells array<int>")
 
 
 def _scored(index: Clusters, visits: DataFrame, k: int, d: int, slices: int) -> DataFrame:
     """qid, id, score of the best ``k`` of each part of a cell that a query visits, itself left out."""
-    parts = index.cells.select("centre", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asked = visits.join(if_few(parts), ["centre", "cell"]).withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices)).cast("int"))
-    wanted = asked.select("centre", "cell", "part", "slice").distinct()
-    held = index.vectors.join(if_few(wanted), ["centre", "cell", "part"]).select(*[F.col(c).alias(c) for c in ("centre", "cell", "part", "slice", "id", "v")])  # columns of its own
-    keys = ["centre", "cell", "part", "slice"]
+    parts = index.cells.groupBy("centre").agg(F.max("parts").alias("parts")).select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = visits.join(if_few(parts), "centre").withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices)).cast("int"))
+    wanted = asked.select("centre", "part", "slice").distinct()
+    held = index.vectors.join(if_few(wanted), ["centre", "part"]).select(*[F.col(c).alias(c) for c in ("centre", "part", "slice", "cell", "id", "v")])  # columns of its own
+    keys = ["centre", "part", "slice"]
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, rows = unit_rows(right.column("v").combine_chunks(), d)
-        ids = right.column("id").to_numpy()
-        qids, out = left.column("qid").to_numpy(), []
-        for start in range(0, left.num_rows, QUERY_BLOCK):
-            _, q = unit_rows(left.column("q").slice(start, QUERY_BLOCK).combine_chunks(), d)
-            own = qids[start : start + QUERY_BLOCK]
-            score = q @ rows.T if len(ids) and len(q) else np.zeros((len(q), 0))
-            score[own[:, None] == ids[None, :]] = -np.inf
-            keep = min(k, len(ids))
-            if keep:
-                kth = np.partition(score, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                a, b = np.nonzero((score >= kth[:, None] - SLACK) & np.isfinite(score))  # ties at the edge are kept for the final ranking
-                out.append((own[a], ids[b], score[a, b]))
+        out = []
+        if left.num_rows and right.num_rows:
+            _, rows = unit_rows(right.column("v").combine_chunks(), d)
+            _, queries = unit_rows(left.column("q").combine_chunks(), d)
+            ids, cell, qids = right.column("id").to_numpy(), right.column("cell").to_numpy(), left.column("qid").to_numpy()
+            lists = left.column("cells").combine_chunks()
+            cells, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            for c in np.unique(cell):
+                here, asking = np.flatnonzero(cell == c), who[cells == c]
+                own, near = ids[here], rows[here]
+                keep, step = min(k, len(own)), max(1, BLOCK_SCORES // len(own))
+                for start in range(0, len(asking), step):
+                    at = asking[start : start + step]
+                    score = queries[at] @ near.T
+                    score[qids[at][:, None] == own[None, :]] = -np.inf
+                    kth = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
+                    a, b = np.nonzero((score >= kth[:, None] - SLACK) & np.isfinite(score))  # ties at the edge are kept for the final ranking
+                    out.append((qids[at][a], own[b], score[a, b]))
         qid, i, s = (np.concatenate([o[n] for o in out]) if out else np.zeros(0, t) for n, t in enumerate((np.int64, np.int64, np.float64)))
         return pa.table({"qid": pa.array(qid), "id": pa.array(i), "score": pa.array(s)})
 
@@ -216,7 +236,8 @@ def search(index: Clusters, queries: DataFrame, k: int, digits: int = 9) -> Sear
     limited = steps.keep(asked.join(kth, "qid", "left").select("qid", "q", limit.alias("limit")), "limited")
     rest = steps.keep(_visits(index, limited, k, d, bounds, True), "rest")
     found = seen.unionByName(_scored(index, rest, k, d, slices))
-    return Search(_ranked(found, k, digits), first.select("qid", "centre", "cell").unionByName(rest.select("qid", "centre", "cell")))
+    visited = first.unionByName(rest).select("qid", "centre", F.explode("cells").alias("cell"))
+    return Search(_ranked(found, k, digits), visited)
 
 
 def share_read(index: Clusters, found: Search, n_queries: int) -> float:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import bpe
-from lodestone.index import shared
+from lodestone.index import clusters, shared
 from lodestone.operators import graph, search
 from lodestone.streaming import mirror
 
@@ -78,3 +78,16 @@ def test_a_level_is_written_once(spark, tmp_path, monkeypatch, few):
     found = graph.traverse(edges, spark.createDataFrame([("a",), (None,)], "seed string"), 2)
     assert sorted(tuple(r) for r in found.collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
     assert [p.name for p in tmp_path.iterdir()] == ["seen"]
+
+
+def test_visits_of_a_batch_are_cut():
+    cells = [{"centre": m, "cell": c, "n": 20, "lo": c / 10, "hi": c / 10 + 0.1} for m in range(100) for c in range(8, 16)]
+    unit = vectors(100, 8, 1)
+    bounds = clusters.Bounds(unit / np.linalg.norm(unit, axis=1)[:, None], cells)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3_000)), listed(vectors(3_000, 8, 2)), pa.array(np.full(3_000, 2.0))], names=["qid", "q", "limit"])
+    run = clusters._visited(bounds, 5, 8, True)
+    peak, out = peak_mb(lambda: (len(b) and b.column(3).flatten().to_pylist() and b.num_rows for b in run(iter([batch]))))
+    assert peak < 60 and max(out) <= clusters.GIVEN_ROWS
+    first = clusters._visited(bounds, 5, 8, False)
+    met = sum(len(b.column(3).flatten()) for f in (run, first) for b in f(iter([batch])))
+    assert met == 3_000 * len(cells)  # with the widest limit each cell is visited, and once
