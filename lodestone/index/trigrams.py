@@ -28,6 +28,8 @@ PARTS, SLICE_BLOCKS = 64, 4096
 SHORT_PATTERNS = 1000
 #: Characters of a text that are cut into runs at a time.
 STRIP = 1 << 20
+#: Runs of texts that a task has in memory before it gives what they come to.
+HELD_RUNS = 1 << 18
 
 
 class Trigrams(Tables):
@@ -51,19 +53,30 @@ def runs_of(text: str) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def _merged_rows(places: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+    place = np.repeat(np.array(places, dtype=np.int64), [len(f) for f in found])
+    run, block, bit = np.concatenate(found), place >> 6, np.int64(1) << (place & 63)
+    order = np.lexsort((block, run))
+    run, block, bit = run[order], block[order], bit[order]
+    new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])]))
+    return pa.RecordBatch.from_arrays([pa.array(run[new]), pa.array(block[new]), pa.array(np.bitwise_or.reduceat(bit, new))], names=["run", "block", "rows"])
+
+
 def _rows_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """run, block, rows: one number for each run and block of a batch of (place, lower-cased text)."""
+    """run, block, rows: one number for each run and block of some texts of a batch of (place, lower-cased text)."""
     for batch in batches:
-        places = batch.column(0).to_numpy(zero_copy_only=False)
-        found = [runs_of(t) for t in batch.column(1).to_pylist()]
-        if not sum(map(len, found)):
-            continue
-        place = np.repeat(places, [len(f) for f in found])
-        run, block, bit = np.concatenate(found), place >> 6, np.int64(1) << (place & 63)
-        order = np.lexsort((block, run))
-        run, block, bit = run[order], block[order], bit[order]
-        new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])]))
-        yield pa.RecordBatch.from_arrays([pa.array(run[new]), pa.array(block[new]), pa.array(np.bitwise_or.reduceat(bit, new))], names=["run", "block", "rows"])
+        places, found, held = [], [], 0
+        for n in range(batch.num_rows):
+            runs = runs_of(batch.column(1)[n].as_py())
+            if len(runs):
+                places.append(batch.column(0)[n].as_py())
+                found.append(runs)
+                held += len(runs)
+            if held >= HELD_RUNS:
+                yield _merged_rows(places, found)
+                places, found, held = [], [], 0
+        if held:
+            yield _merged_rows(places, found)
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> Trigrams:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import bpe
-from lodestone.index import clusters, shared
+from lodestone.index import clusters, shared, trigrams
 from lodestone.operators import graph, search
 from lodestone.streaming import mirror
 
@@ -91,3 +91,18 @@ def test_visits_of_a_batch_are_cut():
     first = clusters._visited(bounds, 5, 8, False)
     met = sum(len(b.column(3).flatten()) for f in (run, first) for b in f(iter([batch])))
     assert met == 3_000 * len(cells)  # with the widest limit each cell is visited, and once
+
+
+def test_runs_of_a_batch_are_cut():
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 1_000, 1_500))) for _ in range(1_500)] + ["", "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], names=["place", "text"])
+    peak, sizes = peak_mb(lambda: (b.num_rows for b in trigrams._rows_of_runs(iter([batch]))))
+    assert peak < 60 and len(sizes) > 1
+    rows: dict = {}
+    for b in trigrams._rows_of_runs(iter([batch])):
+        for run, block, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows[run, block] = rows.get((run, block), 0) | bits & (1 << 64) - 1
+    for n in (0, 70, 1_499):
+        assert all(rows[run, n >> 6] >> (n & 63) & 1 for run in trigrams.runs_of(texts[n]).tolist())
+    assert sum(bits.bit_count() for bits in rows.values()) == sum(len(trigrams.runs_of(t)) for t in texts)
