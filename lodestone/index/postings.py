@@ -1,8 +1,9 @@
 """Ranked word search (BM25) by postings with upper bounds.
 
-A document falls to one of many blocks. For each word and block the index holds the documents
-of the block with that word, what the word adds to the score of each, and the most it adds to any
-of them. The bounds of a query's words, summed up, bound every score in a block:
+A document falls to one of many blocks. The index holds the words of all documents by the order
+of their hashes, with the block, how often the document has the word, and how long it is. A search
+picks the postings of its words once, works out what a word adds to the score of each document, and
+the most it adds to any of a block. The bounds of a query's words, summed up, bound every score in a block:
 
 1. the blocks with the highest bounds are scored first; their ``k``-th best score is a floor that
    every result must reach,
@@ -17,60 +18,69 @@ The result is that of scoring every document. Ids are unique; null texts have no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
-from lodestone.index.shared import Steps, Tables, bucket_of, if_few
+from lodestone.functions.text import let, tokens
+from lodestone.index.shared import Steps, Tables, if_few
 
 BLOCK_DOCS = 64
-#: Blocks of a bucket that one task writes, so that no task has all of a common word.
-SLICE_BLOCKS = 1024
+#: Blocks that one task counts, sorts and writes.
+PART_BLOCKS = 32
 #: Scores this near to each other may change places when sums are taken in another order.
 SLACK = 1e-9
 
 
 class Postings(Tables):
-    """An index in a folder: ``words`` (w, df, bound) and ``blocks`` (w, block, bound, docs: id and part)."""
+    """An index in a folder: ``postings`` (h: hash of w, w, block, id, tf, len) and ``whole``, a row (n documents, mean length, k1, b)."""
 
     @property
-    def words(self) -> DataFrame:
-        return self.read("words")
+    def postings(self) -> DataFrame:
+        return self.read("postings")
 
-    @property
-    def blocks(self) -> DataFrame:
-        return self.read("blocks")
+
+def counted(words: Column) -> Column:
+    """Each word of a list once, with its count and the list's length: array<struct<w, tf, len>>, from the places in the sorted list where another word begins."""
+
+    def runs(s: Column) -> Column:
+        places = F.slice(F.sequence(F.lit(0), F.size(s)), F.lit(1), F.size(s))
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf"), F.size(s).alias("len"))))
+
+    return let(F.sort_array(words), runs)
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> Postings:
-    """Write the postings of all documents below ``path``."""
+    """Write the postings of all documents below ``path``.
+
+    Texts are shuffled by block and nothing else is: a document's words are counted in its row, and a task has whole blocks.
+    """
     spark = docs.sparkSession
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.lower(text)).alias("words"))
-    whole = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    n_docs, mean = whole.n, whole.mean or 1.0
+    n_docs = docs.count()
     n_blocks = max(1, -(-n_docs // BLOCK_DOCS))
-    tf = split.select("id", F.size("words").alias("len"), F.explode("words").alias("w")).groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")
-    grouped = tf.select("w", block, F.struct("id", "tf", "len").alias("d")).groupBy("w", "block").agg(F.collect_list("d").alias("docs"))  # some BLOCK_DOCS of them
-    steps = Steps(spark, "postings")
-    grouped = steps.keep(grouped, "grouped")
-    df = grouped.groupBy("w").agg(F.sum(F.size("docs")).alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = lambda d: F.struct(d["id"].alias("id"), (F.col("idf") * d["tf"] * (k1 + 1) / (d["tf"] + k1 * (1 - b + b * d["len"] / mean))).alias("part"))
-    scored = grouped.join(df.select("w", "df", idf.alias("idf")), "w").select("w", "df", "block", F.transform("docs", part).alias("docs"))
-    scored = scored.withColumn("bound", F.array_max(F.transform("docs", lambda d: d["part"]))).withColumn("bucket", bucket_of("w"))
-    slices = F.floor(F.col("block") / SLICE_BLOCKS)
+    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).alias("block")
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), block).repartition(-(-n_blocks // PART_BLOCKS), "block")
+    tf = dealt.select("block", "id", F.inline(counted(tokens(F.lower("text")))))
     index = Postings(spark, path)
-    index.write("blocks", scored.repartition("bucket", slices).sortWithinPartitions("bucket", "w", "block"), "bucket")
-    words = index.blocks.groupBy("w").agg(F.max("df").alias("df"), F.max("bound").alias("bound")).withColumn("bucket", bucket_of("w"))
-    index.write("words", words.repartition("bucket").sortWithinPartitions("bucket", "w"), "bucket")
+    index.write("postings", tf.select(F.xxhash64("w").alias("h"), "w", "block", "id", "tf", "len").sortWithinPartitions("h"))
+    total = index.postings.agg(F.sum("tf")).first()[0]
+    index.write("whole", spark.createDataFrame([(n_docs, total / n_docs if total else 1.0, k1, b)], "n long, mean double, k1 double, b double").coalesce(1))
     return index
 
 
-def _asked(index: Postings, queries: DataFrame, query: str) -> DataFrame:
-    """qid, w, bucket and the most that w adds anywhere, of the words of queries that some document has."""
-    q = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower(query)))).alias("w")).withColumn("bucket", bucket_of("w"))
-    return index.words.select("w", "bucket", F.col("bound").alias("most")).join(if_few(q), ["w", "bucket"])
+def _read(index: Postings, queries: DataFrame, query: str, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The words of queries that some document has (qid, w, most: what w adds at most), their postings (w, block, id, part) and the bounds of these (w, block, bound)."""
+    whole = index.read("whole").first()
+    asked = steps.keep(queries.select("qid", F.explode(F.array_distinct(tokens(F.lower(query)))).alias("w")), "words")
+    words = asked.select(F.xxhash64("w").alias("h"), "w").distinct()
+    met = steps.keep(index.postings.join(if_few(words), ["h", "w"]).drop("h"), "met")
+    df = met.groupBy("w").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("idf") * F.col("tf") * (whole.k1 + 1) / (F.col("tf") + whole.k1 * (1 - whole.b + whole.b * F.col("len") / whole.mean))
+    read = steps.keep(met.join(if_few(df.select("w", idf.alias("idf"))), "w").select("w", "block", "id", part.alias("part")), "read")
+    limits = steps.keep(read.groupBy("w", "block").agg(F.max("part").alias("bound")), "limits")
+    most = limits.groupBy("w").agg(F.max("bound").alias("most"))
+    return steps.keep(asked.join(if_few(most), "w"), "asked"), read, limits
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -79,15 +89,14 @@ def _ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(index: Postings, queries: DataFrame, k: int, query: str = "query", steps: Steps | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents that are scored in full: qid, block, id and ``got``, what the strong words add; the words asked for; the floors."""
+    """The documents that are scored in full: qid, block, id and ``got``, what the strong words add; the words asked for; their postings."""
     steps = steps or Steps(index.spark, "search")
-    asked = steps.keep(_asked(index, queries, query), "asked")
-    few = if_few(asked)
-    found = index.blocks.select("w", "bucket", "block", "bound").join(few, ["w", "bucket"])
-    bounds = steps.keep(found.groupBy("qid", "block").agg(F.sum("bound").alias("bound")), "bounds")
+    asked, read, limits = _read(index, queries, query, steps)
+    few = if_few(asked.select("qid", "w"))
+    bounds = steps.keep(limits.join(few, "w").groupBy("qid", "block").agg(F.sum("bound").alias("bound")), "bounds")
 
     first = bounds.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= k).select("qid", "block")
-    seen = _postings(index, few, if_few(first)).groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    seen = _postings(read, few, if_few(first)).groupBy("qid", "id").agg(F.sum("part").alias("score"))
     floors = _ranked(seen, k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
     floors = steps.keep(floors, "floors")
 
@@ -95,19 +104,19 @@ def candidates(index: Postings, queries: DataFrame, k: int, query: str = "query"
     told = asked.join(floors, "qid").withColumn("together", F.sum("most").over(rising))
     told = steps.keep(told.withColumn("strong", F.col("together") >= F.col("floor") - SLACK), "told")
     opened = bounds.join(if_few(floors), "qid").where(F.col("bound") >= F.col("floor") - SLACK).select("qid", "block", "floor")
-    weak = index.blocks.select("w", "bucket", "block", "bound").join(if_few(told.where("NOT strong").select("qid", "w", "bucket")), ["w", "bucket"])
+    weak = limits.join(if_few(told.where("NOT strong").select("qid", "w")), "w")
     weak = weak.groupBy("qid", "block").agg(F.sum("bound").alias("weak"))
     opened = steps.keep(opened.join(weak, ["qid", "block"], "left").select("qid", "block", "floor", F.coalesce("weak", F.lit(0.0)).alias("weak")), "opened")
-    strong = _postings(index, if_few(told.where("strong").select("qid", "w", "bucket")), if_few(opened))
+    strong = _postings(read, if_few(told.where("strong").select("qid", "w")), if_few(opened))
     got = strong.groupBy("qid", "block", "id").agg(F.sum("part").alias("got"), F.max("floor").alias("floor"), F.max("weak").alias("weak"))
     got = got.where(F.col("got") + F.col("weak") >= F.col("floor") - SLACK).select("qid", "block", "id", "got")
-    return steps.keep(got, "got"), told, floors
+    return steps.keep(got, "got"), told, read
 
 
-def _postings(index: Postings, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+def _postings(read: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
     """The documents of the words asked for in the given blocks of each query, with what each word adds."""
-    met = index.blocks.select("w", "bucket", "block", "docs").join(asked.select("qid", "w", "bucket") if "most" in asked.columns else asked, ["w", "bucket"])
-    return met.join(blocks, ["qid", "block"]).select("qid", "block", *[c for c in blocks.columns if c not in ("qid", "block")], F.explode("docs").alias("d")).select("*", "d.id", "d.part").drop("d")
+    met = read.join(asked, "w").join(blocks, ["qid", "block"])
+    return met.select("qid", "block", *[c for c in blocks.columns if c not in ("qid", "block")], "id", "part")
 
 
 def top_k(index: Postings, queries: DataFrame, k: int = 10, query: str = "query") -> DataFrame:
@@ -116,8 +125,8 @@ def top_k(index: Postings, queries: DataFrame, k: int = 10, query: str = "query"
     Queries are no more than share-outs of words: they are joined, never collected.
     """
     steps = Steps(index.spark, "search")
-    got, told, _ = candidates(index, queries, k, query, steps)
-    weak = _postings(index, if_few(told.where("NOT strong").select("qid", "w", "bucket")), if_few(got.select("qid", "block").distinct()))
+    got, told, read = candidates(index, queries, k, query, steps)
+    weak = _postings(read, if_few(told.where("NOT strong").select("qid", "w")), if_few(got.select("qid", "block").distinct()))
     more = weak.select("qid", "id", "part").join(got.select("qid", "id"), ["qid", "id"]).groupBy("qid", "id").agg(F.sum("part").alias("more"))
     scores = got.join(more, ["qid", "id"], "left").select("qid", "id", (F.col("got") + F.coalesce("more", F.lit(0.0))).alias("score"))
     return _ranked(scores, k)

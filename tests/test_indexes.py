@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import bpe
-from lodestone.index import clusters, postings, trigrams
+from lodestone.index import clusters, postings, shared, trigrams
 from lodestone.operators import evaluation, graph, search
 from lodestone.sources.versions import Collision, VersionedTable, _ddl
 from lodestone.streaming import mirror
@@ -54,6 +54,18 @@ def test_postings_rank_as_all_scores(spark, tmp_path, monkeypatch, n_docs, k):
         assert postings.candidates(index, q, k)[0].count() < everyone / 2
 
 
+def test_only_texts_are_shuffled_for_postings(spark, tmp_path, monkeypatch):
+    plans, put = [], shared.Tables.write
+    monkeypatch.setattr(shared.Tables, "write", lambda self, name, df, *by: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, name, df, *by)))
+    texts = ["b a B", None, "", " \t", "é x É  x\nx", "a"]
+    index = postings.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "index"))
+    assert sum(p.count("Exchange") for p in plans) == 1
+    want = [(w, i, n, len((t or "").split())) for i, t in enumerate(texts) for w, n in Counter((t or "").lower().split()).items()]
+    assert rows(index.postings, "w", "id", "tf", "len") == sorted(want, key=str)
+    whole = index.read("whole").first()
+    assert (whole.n, whole.mean) == (6, 9 / 6)
+
+
 # --- substrings
 
 
