@@ -90,7 +90,7 @@ def chunk_passages(
     skipped = F.array(*map(F.lit, sorted(skip))) if skip else F.array().cast("array<string>")
     shown = lambda p: F.struct(F.coalesce(p["section"], F.lit("")).alias("section"), F.coalesce(p["kind"], F.lit("")).alias("kind"), trim_all(F.coalesce(p["text"], F.lit(""))).alias("text"))
     counts = lambda p: (p["kind"] != "front") & ~F.array_contains(skipped, p["section"]) & (p["text"] != "")
-    costed = lambda p: F.struct(p["section"].alias("section"), passage_text(p["text"], p["kind"]).alias("text"), F.size(tokenizer(passage_text(p["text"], p["kind"]))).alias("cost"))
+    costed = lambda p: let(passage_text(p["text"], p["kind"]), lambda t: F.struct(p["section"].alias("section"), t.alias("text"), F.size(tokenizer(t)).alias("cost")))
     listed = F.transform(F.filter(F.transform(F.coalesce("passages", F.array().cast("array<struct<section: string, kind: string, text: string>>")), shown), counts), costed)
     # the open chunk is a list of texts, so that no text is copied until it closes
     state = "struct<out: array<struct<text: string, n: int, section: string>>, held: array<string>, count: int, section: string>"
@@ -98,12 +98,15 @@ def chunk_passages(
 
     def closed(s: Column, when: Column) -> Column:
         """The state with the open chunk closed if ``when`` holds and there is one."""
-        whole = F.array_join(s["held"], "\n")
-        cut = tokenizer(whole)
-        tail = F.array_join(F.slice(cut, F.greatest(F.size(cut) - overlap, F.lit(0)) + 1, F.lit(overlap)), " ") if overlap else F.lit("")
-        done = F.struct(whole.alias("text"), F.size(cut).alias("n"), F.coalesce(s["section"], F.lit("")).alias("section"))
-        rest = F.when(tail != "", F.array(tail)).otherwise(F.array().cast("array<string>"))
-        new = F.struct(F.array_append(s["out"], done).alias("out"), rest.alias("held"), F.size(tokenizer(tail)).alias("count"), s["section"].alias("section"))
+
+        def cut_off(whole: Column, cut: Column) -> Column:
+            done = F.struct(whole.alias("text"), F.size(cut).alias("n"), F.coalesce(s["section"], F.lit("")).alias("section"))
+            tail = F.array_join(F.slice(cut, F.greatest(F.size(cut) - overlap, F.lit(0)) + 1, F.lit(overlap)), " ") if overlap else F.lit("")
+            rest = lambda t: F.when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
+            return let(tail, lambda t: F.struct(F.array_append(s["out"], done).alias("out"), rest(t).alias("held"), F.size(tokenizer(t)).alias("count"), s["section"].alias("section")))
+
+        # texts are joined and cut into tokens once a chunk
+        new = let(F.array_join(s["held"], "\n"), lambda whole: let(tokenizer(whole), lambda cut: cut_off(whole, cut)))
         return F.when(when & (F.size(s["held"]) > 0), new).otherwise(s)
 
     def step(s: Column, p: Column) -> Column:
@@ -114,7 +117,8 @@ def chunk_passages(
         return let(second, lambda s: F.struct(s["out"].alias("out"), held(s)["held"].alias("held"), held(s)["count"].alias("count"), s["section"].alias("section")))
 
     chunks = F.aggregate(listed, zero, step, lambda s: closed(s, F.lit(True))["out"])
-    cut = articles.select("doc_title", "doc_url", chunks.alias("c")).select("doc_title", "doc_url", F.posexplode("c").alias("chunk_index", "c"))
+    # exploded where it is worked out: of a column with a name, Spark first asks whether it is null or empty, and folds again for that
+    cut = articles.select("doc_title", "doc_url", F.posexplode(chunks).alias("chunk_index", "c"))
     return cut.select("doc_title", "doc_url", F.col("c.section").alias("doc_section"), "chunk_index", F.col("c.text").alias("chunk_text"), F.col("c.n").alias("chunk_tokens"))
 
 

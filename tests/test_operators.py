@@ -98,6 +98,15 @@ def test_passages_are_never_split(spark):
     assert passage_chunks(fixed, 5, 0, True, chunk.SKIP_SECTIONS) == [("# Head\n\na b c", 5, "INTRO"), ("d e", 2, "INTRO"), ("Figure: x", 2, "RESULTS")]
 
 
+def test_passages_are_folded_once(spark):
+    df = spark.createDataFrame([("a", "u", [("INTRO", "paragraph", "a,b,c"), ("INTRO", "title_1", "d"), ("RESULTS", "paragraph", "e,f")]), ("b", "u", [])], "doc_title string, doc_url string, passages array<struct<section: string, kind: string, text: string>>")
+    c = chunk.chunk_passages(df, 3, 1, tokenizer=lambda t: F.filter(F.split(t, "[,\n]"), lambda x: x != ""))
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan  # which would fold anew to leave out articles without chunks
+    assert plan.count("split(") <= 7  # a passage once, and a chunk and its tail once at each of three places where one closes
+    assert sorted((r.chunk_text, r.chunk_tokens) for r in c.collect()) == [("# d\ne,f", 3), ("a,b,c", 3), ("c\n# d\n", 2)]
+
+
 def test_code_chunks():
     source = "import os\n\nclass A:\n    def f(self):\n        return 1\n    def g(self):\n        return 2\n"
     got = chunk.code_chunks(source, "a.py", size=10, least=1)
