@@ -1,6 +1,7 @@
 """The passes over sorted rows give the same whatever the batches they come in."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +60,16 @@ def test_passes(size, seed):
         if len(kinds) > 1:
             want += [(*next(q for q in kept if q[:3] == (r, *s))[3:], 1) for s in kinds]
     assert sorted(got) == sorted(want)
+
+
+def test_hot_rows_of_one_document_are_spread():
+    """A line that fills a document gives thousands of rows of one rank; those that are dealt out go to as many tasks as there are."""
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the same words " * 2000, "the same words " * 50])], names=["doc", "text"])
+    leads = pa.Table.from_batches(suffix_dedup._leads(400, 16, 72, True)(iter([texts])))
+    again = pa.Table.from_batches(suffix_dedup._salted(True)(iter(leads.select(["rank", "doc", "idx", "place"]).to_batches())))
+    single = pa.array([[{"first": 0, "n": 2000}]], pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))
+    strings = pa.Table.from_batches(suffix_dedup._strings(400, True)(iter([pa.RecordBatch.from_arrays([*(c.slice(0, 1) for c in texts.columns), single], names=["doc", "text", "held"])])))
+    for rows, key in ((leads, "rank"), (again, "rank"), (strings, "hash")):
+        dealt = [(r[key], r["salt"]) for r in rows.to_pylist() if r["salt"]]
+        assert len(dealt) > 1000 and max(Counter(dealt).values()) <= 64
+        assert 0 < rows.num_rows - len(dealt) <= 40
