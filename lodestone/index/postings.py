@@ -96,7 +96,8 @@ def candidates(index: Postings, queries: DataFrame, k: int, query: str = "query"
     bounds = steps.keep(limits.join(few, "w").groupBy("qid", "block").agg(F.sum("bound").alias("bound")), "bounds")
 
     first = bounds.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= k).select("qid", "block")
-    seen = _postings(read, few, if_few(first)).groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    begun = if_few(asked.select("qid", "w").join(if_few(first), "qid"))  # by word and block at once: a word of many queries isn't met by all of them in all blocks
+    seen = read.join(begun, ["w", "block"]).groupBy("qid", "id").agg(F.sum("part").alias("score"))
     floors = _ranked(seen, k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
     floors = steps.keep(floors, "floors")
 

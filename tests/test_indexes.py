@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import bpe
 from lodestone.index import clusters, postings, shared, trigrams
 from lodestone.operators import evaluation, graph, search
+from lodestone.plans import indexes
 from lodestone.sources.versions import Collision, VersionedTable, _ddl
 from lodestone.streaming import mirror
 
@@ -66,6 +67,14 @@ def test_only_texts_are_shuffled_for_postings(spark, tmp_path, monkeypatch):
     assert (whole.n, whole.mean) == (6, 9 / 6)
 
 
+def test_every_test_item_is_asked(spark):
+    folder = "/root/testdata/sf0.001"
+    words = {w for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for w in (r.text or "").lower().split()}
+    want = {r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if words & set((r.text or "").lower().split())}
+    assert {r.qid for r in indexes.bm25_topk(spark, folder).collect()} == want
+    assert any(i % 50 for i in want)
+
+
 # --- substrings
 
 
