@@ -22,19 +22,17 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] |
     ``seeds``: ``seed``. ``kinds`` are the kinds of edges that are followed, all without. A seed
     counts itself at depth 0 and gathers ``budget`` nodes at most: whole levels while they fit,
     then of the level that doesn't the first by node; it goes no further. Breadth first, one
-    join a step. Each frontier is written and read again, so that a plan is as long for the
-    last step as for the first, and a step that reaches nothing ends the walk. While a frontier has few
-    rows it is broadcast to the edges, which then aren't shuffled. Nodes that are null lead nowhere; edges may repeat.
+    join a step. Each frontier but the last is written and read again, so that a plan is as long for the
+    last step as for the first, and a step that reaches nothing ends the walk; the last, which has most
+    rows, is worked out when the result is read. While a frontier has few rows it is broadcast to the
+    edges, which then aren't shuffled. What is reached meets what has been seen in one shuffle: of all
+    rows by seed and node, with a budget by seed. Nodes that are null lead nowhere; edges may repeat.
     """
     spark, folder = edges.sparkSession, shared_folder(edges.sparkSession, "walk")
     if kinds is not None:
         edges = edges.where(F.col("kind").isin(kinds))
     steps = edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("node"), F.col("target").alias("next"))
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
     def settled(df: DataFrame, level: int) -> DataFrame:
         """One level's rows beside those of the levels before."""
         path = f"{folder}/seen/depth={level}"
@@ -44,17 +42,24 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] |
     front = settled(seeds.select("seed").where("seed IS NOT NULL").distinct().select("seed", F.col("seed").alias("node"), F.lit(1).cast("long").alias("used")), 0)
     seen_schema = T.StructType([*front.schema.fields, T.StructField("depth", T.IntegerType())])
     seen = lambda: spark.read.schema(seen_schema).parquet(f"{folder}/seen")  # noqa: E731  (one scan, whatever the depth)
-    for level in range(1, depth + 1):
+
+    def fresh(front: DataFrame) -> DataFrame:
+        """What one more step reaches and no step before did: seed, node, used."""
         open_ = front if budget is None else front.where(F.col("used") < budget)
-        reached = if_few(open_).join(steps, "node").groupBy("seed", F.col("next").alias("node")).agg(F.max("used").alias("used"))
-        fresh = reached.join(if_few(seen().select("seed", "node")), ["seed", "node"], "left_anti")
+        met = if_few(open_).join(steps, "node").select("seed", F.col("next").alias("node"), "used", F.lit(False).alias("old"))
+        met = met.unionAll(seen().select("seed", "node", "used", F.lit(True)))
         if budget is not None:
-            order = Window.partitionBy("seed").orderBy("node")
-            fresh = fresh.withColumn("n", F.row_number().over(order)).where(F.col("used") + F.col("n") <= budget)
-            fresh = kept(fresh.select("seed", "node", "used"), f"reached_{level}")
-            sizes = fresh.groupBy("seed").agg(F.count("*").alias("more"))
-            fresh = fresh.join(sizes, "seed").withColumn("used", F.col("used") + F.col("more"))
-        front = settled(fresh.select("seed", "node", "used"), level)
+            met = met.repartition("seed")
+        new = met.groupBy("seed", "node").agg(F.max("used").alias("used"), F.max("old").alias("old")).where("NOT old").select("seed", "node", "used")
+        if budget is None:
+            return new
+        of_seed = Window.partitionBy("seed")
+        new = new.withColumn("n", F.row_number().over(of_seed.orderBy("node"))).where((F.col("n") <= budget) & (F.col("used") + F.col("n") <= budget))
+        return new.select("seed", "node", (F.col("used") + F.count("*").over(of_seed)).alias("used"))
+
+    for level in range(1, depth):
+        front = settled(fresh(front), level)
         if front.isEmpty():
-            break
-    return seen().select("seed", "node", "depth")
+            return seen().select("seed", "node", "depth")
+    found = seen().select("seed", "node", "depth")
+    return found.unionAll(fresh(front).select("seed", "node", F.lit(depth).alias("depth"))) if depth > 0 else found

@@ -214,6 +214,13 @@ def test_walks_with_budgets(spark):
     assert graph.traverse(e, s.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("walk", ["graph_budget"])
+def test_every_customer_walks(spark, walk):
+    folder = "/root/testdata/sf0.001"
+    customers = {f"c{r.c_custkey}" for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect()}
+    assert {r.seed for r in getattr(indexes, walk)(spark, folder).select("seed").distinct().collect()} == customers
+
+
 # --- versions
 
 
