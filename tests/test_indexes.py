@@ -214,7 +214,7 @@ def test_walks_with_budgets(spark):
     assert graph.traverse(e, s.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("walk", ["graph_budget"])
+@pytest.mark.parametrize("walk", ["graph_budget", "graph_reach"])
 def test_every_customer_walks(spark, walk):
     folder = "/root/testdata/sf0.001"
     customers = {f"c{r.c_custkey}" for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect()}
