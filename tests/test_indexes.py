@@ -214,6 +214,21 @@ def test_walks_with_budgets(spark):
     assert graph.traverse(e, s.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_large_frontiers_walk_by_lists(spark, monkeypatch, most):
+    rng = random.Random(7)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", "a") for _ in range(150)] + [("hub", f"n{i}", "a") for i in range(40)] * 2 + [("n1", "hub", "a"), ("n2", None, "a"), (None, "n2", "a")]
+    e, s = spark.createDataFrame(edges, "source string, target string, kind string"), spark.createDataFrame([("n1",), ("n2",), ("hub",), ("lonely",), (None,)], "seed string")
+    cases = [(depth, budget) for depth in (1, 4) for budget in (None, 1, 9, 45)]
+    want = [rows(graph.traverse(e, s, depth, None, budget), "seed", "node", "depth") for depth, budget in cases]
+    lists, walked = graph._by_lists, []
+    monkeypatch.setattr(graph, "_by_lists", lambda *args: walked.append(1) or lists(*args))
+    monkeypatch.setattr(graph, "if_few", lambda df: df)
+    monkeypatch.setattr(graph, "LIST_NODES", most)
+    monkeypatch.setattr(graph, "TASK_NODES", 50)
+    assert [rows(graph.traverse(e, s, depth, None, budget), "seed", "node", "depth") for depth, budget in cases] == want and walked
+
+
 @pytest.mark.parametrize("walk", ["graph_budget", "graph_reach"])
 def test_every_customer_walks(spark, walk):
     folder = "/root/testdata/sf0.001"
