@@ -11,7 +11,8 @@ the most it adds to any of a block. The bounds of a query's words, summed up, bo
 3. words that together cannot reach the floor do not make a document a candidate: a document that
    shares only those with the query is never looked at,
 4. what the other words add, plus the most that the weak ones can add in that block, must reach
-   the floor too; only documents for which it does are scored in full.
+   the floor too; the ``k`` best by the other words are scored in full and raise the floor, and
+   only documents that can reach the raised one are scored in full.
 
 The result is that of scoring every document. Ids are unique; null texts have no words.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let, tokens
-from lodestone.index.shared import Steps, Tables, if_few
+from lodestone.index.shared import Steps, Tables, held_conf, if_few
 
 BLOCK_DOCS = 64
 #: Blocks that one task counts, sorts and writes.
@@ -110,7 +111,14 @@ def candidates(index: Postings, queries: DataFrame, k: int, query: str = "query"
     opened = steps.keep(opened.join(weak, ["qid", "block"], "left").select("qid", "block", "floor", F.coalesce("weak", F.lit(0.0)).alias("weak")), "opened")
     strong = _postings(read, if_few(told.where("strong").select("qid", "w")), if_few(opened))
     got = strong.groupBy("qid", "block", "id").agg(F.sum("part").alias("got"), F.max("floor").alias("floor"), F.max("weak").alias("weak"))
-    got = got.where(F.col("got") + F.col("weak") >= F.col("floor") - SLACK).select("qid", "block", "id", "got")
+    got = steps.keep(got.where(F.col("got") + F.col("weak") >= F.col("floor") - SLACK).select("qid", "block", "id", "got", "weak"), "hopeful")
+
+    best = steps.keep(_ranked(got.withColumnRenamed("got", "score"), k).select("qid", "block", "id", "score"), "best")
+    others = best.select("qid", "block", "id").join(if_few(told.where("NOT strong").select("qid", "w")), "qid")
+    more = read.join(if_few(others), ["w", "block", "id"]).groupBy("qid", "id").agg(F.sum("part").alias("more"))
+    whole = best.join(more, ["qid", "id"], "left").select("qid", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    raised = whole.groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("raised"))
+    got = got.join(if_few(raised), "qid").where(F.col("got") + F.col("weak") >= F.col("raised") - SLACK).select("qid", "block", "id", "got")
     return steps.keep(got, "got"), told, read
 
 
@@ -127,7 +135,10 @@ def top_k(index: Postings, queries: DataFrame, k: int = 10, query: str = "query"
     """
     steps = Steps(index.spark, "search")
     got, told, read = candidates(index, queries, k, query, steps)
-    weak = _postings(read, if_few(told.where("NOT strong").select("qid", "w")), if_few(got.select("qid", "block").distinct()))
-    more = weak.select("qid", "id", "part").join(got.select("qid", "id"), ["qid", "id"]).groupBy("qid", "id").agg(F.sum("part").alias("more"))
+    tasks = -(-index.read("whole").first().n // (BLOCK_DOCS * PART_BLOCKS)) or 1
+    with held_conf(index.spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # both sides stay dealt by block: only postings are shuffled, not what they are to each query
+        weak = read.repartition(tasks, "block").join(if_few(told.where("NOT strong").select("qid", "w")), "w")
+        met = weak.join(got.select("qid", "block", "id").repartition(tasks, "block").hint("shuffle_hash"), ["qid", "block", "id"])
+        more = steps.keep(met.groupBy("qid", "block", "id").agg(F.sum("part").alias("more")).select("qid", "id", "more"), "more")
     scores = got.join(more, ["qid", "id"], "left").select("qid", "id", (F.col("got") + F.coalesce("more", F.lit(0.0))).alias("score"))
     return _ranked(scores, k)
